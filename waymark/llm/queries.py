@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, linededup, neardup, packing, pii, quality, sharding, topk, urls
+from . import bpe, ctw, linededup, neardup, packing, pii, quality, sharding, topk, urls
 from .common import table
 
 
@@ -38,6 +39,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return ctw.score(table(spark, sf_dir, "documents"), own % 5 == 1)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise_documents(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_found", "kinds")
 
@@ -47,7 +53,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_top_k, op3_near_dedup, op4_packing, op5_sharding, op6_url_filters, op7_quality, op9_pii, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_top_k, op3_near_dedup, op4_packing, op5_sharding, op6_url_filters, op7_quality, op8_ctw, op9_pii, op10_bpe)}
 
 _OP1 = f"""
 WITH lines AS (
