@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,9 +101,9 @@ def _count_block(table: pa.Table, depth: int) -> pa.Table:
 
 def _score_block(docs: pa.Table, values: pa.Table, depth: int, unknown: float, end: float) -> pa.Table:
     """Score a block's documents by its strings' and words' values (log10)."""
-    of_word = values.filter(pa.compute.is_valid(values.column("word")))
+    of_word = values.filter(pc.is_valid(values.column("word")))
     base = dict(zip(of_word.column("word").to_pylist(), zip(of_word.column("value").to_pylist(), of_word.column("known").to_pylist())))
-    of_gram = values.filter(pa.compute.is_valid(values.column("gram")))
+    of_gram = values.filter(pc.is_valid(values.column("gram")))
     keys, logs = of_gram.column("gram").to_numpy(), of_gram.column("value").to_numpy()
     order = np.argsort(keys)
     keys, logs = keys[order], logs[order]
