@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, stored
 
-DEPTH = 4
+DEPTH = 5
 #: Bytes of text in a block, on average, and bytes whose strings are sorted at once.
 BLOCK_BYTES, AT_ONCE = 20_000_000, 2_000_000
 END = b"\n"
