@@ -358,7 +358,7 @@ grid2 AS (SELECT * REPLACE (CASE WHEN pc IS NULL THEN m ELSE (1 - 0.25 * pc) * m
 def _chain(grid: str, uncertainty: bool) -> str:
     unsure = "round(avg(1 - c), 7) + 0.0 AS pcgut_uncertainty_mean, round(max(1 - c), 7) + 0.0 AS pcgut_uncertainty_max, " if uncertainty else ""
     return f"""SELECT {K}, 8 AS snapshot_week, round(avg(m), 7) AS pcgut_mastery_mean, round(stddev_pop(m), 7) AS pcgut_mastery_std, round(avg(c), 7) AS pcgut_confidence_mean, {unsure}max(CASE WHEN m >= 0.55 AND c > 0.05 THEN week_index ELSE 0 END)::INT AS pcgut_frontier,
-  round(avg(CASE WHEN m >= 0.55 AND c > 0.05 THEN 1.0::DOUBLE ELSE 0 END), 7) AS pcgut_mastered_ratio, round(avg(greatest(m - pm2, 0) * c), 7) AS pcgut_prerequisite_gap, round(avg(abs(m - pm2)), 7) AS pcgut_smoothness, round(avg(e), 7) AS pcgut_engagement_mean, round(avg(a), 7) AS pcgut_assessment_mean,
+  round(avg(CASE WHEN m >= 0.55 AND c > 0.05 THEN 1.0::DOUBLE ELSE 0 END), 7) AS pcgut_mastered_ratio, round(avg(CASE WHEN pm2 IS NOT NULL THEN greatest(m - pm2, 0) * c END), 7) AS pcgut_prerequisite_gap, round(avg(abs(m - pm2)), 7) AS pcgut_smoothness, round(avg(e), 7) AS pcgut_engagement_mean, round(avg(a), 7) AS pcgut_assessment_mean,
   round(sum(v), 7) AS pcgut_evidence_volume, round(max(c) FILTER (week_index = 8), 7) AS pcgut_recent_confidence, round(max(m) FILTER (week_index = 8), 7) AS pcgut_recent_mastery
 FROM (SELECT *, lag(m) OVER (PARTITION BY id_student ORDER BY week_index) AS pm2 FROM {grid}) GROUP BY {K}"""
 
