@@ -11,7 +11,7 @@ offset o"; a rank within its length turns each piece into its place without any
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,6 +27,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Length bins of the patterns, and documents in a pattern at most.
 BINS, DEPTH = 128, 4
+#: Tokens that a pattern's sequence may lack; best fit finds better places for the pieces of emptier ones.
+UNFILLED = 4
 #: Words that a worker keeps the ids of; the table is emptied when full, which costs time and changes no result.
 MEMO = 1_200_000
 #: Pieces of a length that are ranked together in a task.
@@ -175,19 +177,29 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, bins: int = BINS,
     for b, lengths in by_bin.items():
         if b <= whole:
             target[b] = sum(left[n] for n in lengths)
+    lengths_left = sorted(left)
     usable = [p for p in patterns(whole, depth) if all(target[b] for b in p)]
     if usable:
         for pattern, repeats in zip(usable, np.floor(fit_nnls(usable, target)).astype(int).tolist()):
             while repeats > 0:
-                # Alternate the long and the short end of the bins, so that the sums stay near the capacity.
+                # Alternate the long and the short end of the bins; the last place takes the longest piece that fits.
                 chosen = []
-                for k, b in enumerate(pattern):
+                for k, b in enumerate(pattern[:-1]):
                     free = [n for n in by_bin[b] if left[n] > chosen.count(n)]
                     if not free:
                         break
                     chosen.append(free[-1] if k % 2 == 0 else free[0])
-                if len(chosen) < len(pattern):
+                if len(chosen) < len(pattern) - 1:
                     break
+                room = capacity - sum(chosen)
+                at = bisect_right(lengths_left, room) - 1
+                while at >= 0 and left[lengths_left[at]] <= chosen.count(lengths_left[at]):
+                    if not left[lengths_left[at]]:
+                        lengths_left.pop(at)
+                    at -= 1
+                if at < 0 or room - lengths_left[at] > UNFILLED:
+                    break
+                chosen.append(lengths_left[at])
                 run = min(repeats, *(left[n] // chosen.count(n) for n in chosen))
                 offset = 0
                 for n in chosen:
