@@ -6,9 +6,10 @@ sample flips one bit, so that the XOR of two sketches counts the samples in whic
 rules out candidates far below the threshold; all others are confirmed on the full sets.
 
 Inside a bucket of equal bands not all pairs are formed. Each bucket links its members to one of them, chosen at random
-per bucket; these pairs are confirmed first and joined to components. Only members of one bucket that are still in
-different components are compared with each other, in blocks of bounded size, so a large group of near copies costs a
-few pairs per member and no link between different texts is lost.
+per bucket; the nearest of these pairs are confirmed first and joined to components. Members of one bucket that are
+still in different components are then compared with each other, in blocks of bounded size that return the links they
+confirm and no pairs. So a large group of near copies costs a few rows per member and block, and no link between
+different texts is lost.
 """
 
 from __future__ import annotations
@@ -128,9 +129,9 @@ def _differing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.select("a", "b", bits.alias("differ"))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the stored pairs (a, b) whose full sets are similar enough."""
-    ends = stored(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct().join(classes.select("set_id", "row_key"), "set_id"), "ends")
+def _full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """set_id and shingles (array<long>) of the wanted set_ids, made anew from one text of each class."""
+    ends = stored(wanted.join(classes.select("set_id", "row_key"), "set_id"), "ends")
     few = ends.count() <= FEW
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(F.broadcast(ends) if few else ends, "row_key")
 
@@ -139,65 +140,117 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int
             sets = [shingles(text.as_py(), words).view(np.int64) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["set_id", "shingles"])
 
-    sets = rows.select("set_id", "text").mapInArrow(run, "set_id long, shingles array<long>").dropDuplicates(["set_id"])
-    sets = stored(sets, "sets")
+    return stored(rows.select("set_id", "text").mapInArrow(run, "set_id long, shingles array<long>").dropDuplicates(["set_id"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar enough."""
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("set_id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
     both = pairs.select("a", "b", F.size("set_a").alias("m"), F.size("set_b").alias("n"), F.size(F.array_intersect("set_a", "set_b")).alias("shared"))
     return both.where(100 * F.col("shared") >= percent * (F.col("m") + F.col("n") - F.col("shared"))).select("a", "b")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None, *columns: str) -> DataFrame:
+def _labelled(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
     """rows with comp_<column> for each column of set_ids: its component so far."""
     for c in columns:
-        if labels is None:
-            rows = rows.withColumn(f"comp_{c}", F.col(c))
-        else:
-            known = labels.select(F.col("node").alias(c), F.col("component").alias("_c"))
-            rows = rows.join(known, c, "left").withColumn(f"comp_{c}", F.coalesce("_c", c)).drop("_c")
+        known = labels.select(F.col("node").alias(c), F.col("component").alias("_c"))
+        rows = rows.join(known, c, "left").withColumn(f"comp_{c}", F.coalesce("_c", c)).drop("_c")
     return rows
 
 
-def _inside_buckets(members: DataFrame, limit: int) -> DataFrame:
-    """Pairs (a, b) in different components with at most `limit` differing bits, from block, set_id, comp, sketch.
-
-    Rows of a block are adjacent within a partition; side tells the two halves of a pair of blocks apart (0 first, 1
-    second, 2 both: compare the block with itself).
-    """
-
-    def pairs(block: pd.DataFrame) -> pd.DataFrame:
-        side, ids, comps = block["side"].to_numpy(), block["set_id"].to_numpy(), block["comp"].to_numpy()
-        words = np.stack(block["sketch"].to_numpy()).view(np.uint64)
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        out = []
-        for i in left:
-            other = right[comps[right] != comps[i]]
-            near = other[np.bitwise_count(words[other] ^ words[i]).sum(axis=1, dtype=np.int64) <= limit]
-            out.append(np.stack([np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])], axis=1))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+def _by_block(rows: DataFrame, f, schema: str) -> DataFrame:
+    """f on the rows of each (bucket, first, second), which lie together in one partition."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         key = None
         for frame in frames:
-            for block, rows in frame.groupby(["bucket", "first", "second"], sort=False):
+            for block, part in frame.groupby(["bucket", "first", "second"], sort=False):
                 if block != key and held:
-                    yield pairs(pd.concat(held))
+                    yield f(pd.concat(held, ignore_index=True))
                     held = []
                 key = block
-                held.append(rows)
+                held.append(part)
         if held:
-            yield pairs(pd.concat(held))
+            yield f(pd.concat(held, ignore_index=True))
+
+    place = ["bucket", "first", "second"]
+    return rows.repartition(*place).sortWithinPartitions(*place).mapInPandas(run, schema)
+
 
-    # A block is paired with itself and with each later one of its bucket.
+def _near(block: pd.DataFrame, limit: int) -> np.ndarray:
+    """Pairs of rows (i, j) of a block that are in different components, have at most `limit` differing bits and share
+    no band before the block's own: each pair of a bucket counts once in all its buckets.
+
+    side tells the halves of a pair of blocks apart: 0 first, 1 second, 2 a block with itself.
+    """
+    side, comps, band = block["side"].to_numpy(), block["comp"].to_numpy(), int(block["band"].iloc[0])
+    words, bands = np.stack(block["sketch"].to_numpy()).view(np.uint64), np.stack(block["bands"].to_numpy())
+    out = []
+    for i in np.flatnonzero(side != 1):
+        other = np.flatnonzero((side != 0) & (comps != comps[i]))
+        other = other[other > i] if side[i] == 2 else other
+        other = other[~(bands[other, :band] == bands[i, :band]).any(axis=1)]
+        other = other[np.bitwise_count(words[other] ^ words[i]).sum(axis=1, dtype=np.int64) <= limit]
+        out.append(np.stack([np.full(len(other), i), other], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), int)
+
+
+def _shared(sets: list[np.ndarray], pairs: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets, by products of membership matrices over slices of their elements."""
+    elements, place = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    counts = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, len(elements), columns):
+        cut = slice(*np.searchsorted(place, [low, low + columns]))
+        held = np.zeros((len(sets), columns), np.float32)
+        held[row[cut], place[cut] - low] = 1
+        counts += held @ held.T
+    return counts[pairs[:, 0], pairs[:, 1]].astype(np.int64)
+
+
+def _block_links(block: pd.DataFrame, limit: int, percent: int) -> pd.DataFrame:
+    """Confirmed links of a block, as few as connect what they connect."""
+    pairs, ids = _near(block, limit), block["set_id"].to_numpy()
+    links = []
+    if len(pairs):
+        used = np.unique(pairs)
+        pairs = np.searchsorted(used, pairs)
+        sets = [np.asarray(x, np.int64) for x in block["shingles"].iloc[used]]
+        sizes, shared = np.array([len(x) for x in sets]), _shared(sets, pairs)
+        pairs = pairs[100 * shared >= percent * (sizes[pairs[:, 0]] + sizes[pairs[:, 1]] - shared)]
+        root = list(range(len(used)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for i, j in pairs.tolist():
+            if (x := find(i)) != (y := find(j)):
+                root[x] = y
+                links.append((ids[used[i]], ids[used[j]]))
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+
+def _inside_buckets(members: DataFrame, sets_of, limit: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between members of one bucket in different components.
+
+    members has bucket, band, blocks, set_id, comp, sketch, bands; sets_of gives the full sets of stored set_ids. First
+    only the members with a near partner are kept, then their sets join them; pairs are never rows.
+    """
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select(
-        "bucket", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "set_id", "comp", "sketch",
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
-    dealt = spread.repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side")
+    spread = spread.select("bucket", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "band", "set_id", "comp", "sketch", "bands", side)
+    schema = "bucket long, first int, second int, band int, set_id long, comp long, sketch array<long>, bands array<long>, side int"
+    partnered = stored(_by_block(spread, lambda block: block.iloc[np.unique(_near(block, limit))], schema), "partnered")
+    sets = sets_of(partnered.select("set_id").distinct())
+    full = partnered.join(sets, "set_id").select(*partnered.columns, "shingles")
+    return _by_block(full, lambda block: _block_links(block, limit, percent), "a long, b long").distinct()
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -214,43 +267,32 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     )
     limit = most_differing(percent)
     # The bucket's key holds the band's number; its random member is the least of set_id XOR key.
-    buckets = classes.select("set_id", F.posexplode("bands").alias("band", "value")).select("set_id", F.xxhash64("band", "value").alias("bucket"))
+    buckets = classes.select("set_id", F.posexplode("bands").alias("band", "value")).select("set_id", "band", F.xxhash64("band", "value").alias("bucket"))
     crowded = stored(
         buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.col("set_id").bitwiseXOR(F.col("bucket"))).alias("head")).where("size > 1")
         .select("bucket", "size", F.col("head").bitwiseXOR(F.col("bucket")).alias("head")), "buckets"
     )
     members = stored(buckets.join(crowded, "bucket"), "members")
-    stars = members.where(F.col("set_id") != F.col("head")).select(F.least("set_id", "head").alias("a"), F.greatest("set_id", "head").alias("b"), "set_id").distinct()
-    stars = stored(_differing(stars.select("a", "b").distinct(), classes).where(F.col("differ") <= limit), "stars")
-
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    tried: DataFrame | None = None
-
-    def confirm(pairs: DataFrame) -> bool:
-        """Confirm what was not tried yet; whether there was anything new."""
-        nonlocal links, labels, tried
-        fresh = stored(pairs.select("a", "b").distinct() if tried is None else pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            return False
-        found = stored(_confirmed(fresh, docs, classes, words, percent), "links")
-        tried = fresh if tried is None else tried.unionByName(fresh)
-        links = found if links is None else links.unionByName(found)
-        labels = stored(connected_components(links), "components")
-        return True
-
-    # First each member's nearest star pair, then the nearest pair between any two components, then all that is left.
+    stars = members.where(F.col("set_id") != F.col("head")).groupBy(F.least("set_id", "head").alias("a"), F.greatest("set_id", "head").alias("b")).agg(F.min("size").alias("size"))
+    stars = stored(stars.join(_differing(stars.select("a", "b"), classes).where(F.col("differ") <= limit), ["a", "b"]), "stars")
+    sets_of = lambda wanted: _full_sets(wanted, docs, classes, words)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        fresh = stored(pairs.select("a", "b").distinct(), "pairs")
+        ends = fresh.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+        return stored(_confirmed(fresh, sets_of(ends), percent), "links")
+
+    # First each member's nearest star pair.
     ends = stars.select("a", "b", "differ", F.explode(F.array("a", "b")).alias("end"))
-    best = ends.groupBy("end").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b")
-    if confirm(best):
-        apart = _labelled(stars, labels, "a", "b").where("comp_a != comp_b")
-        between = apart.groupBy(F.least("comp_a", "comp_b").alias("x"), F.greatest("comp_a", "comp_b").alias("y")).agg(F.min(F.struct("differ", "a", "b")).alias("p"))
-        confirm(between.select("p.a", "p.b"))
-    apart = _labelled(stars, labels, "a", "b").where("comp_a != comp_b").select("a", "b")
+    links = confirmed(ends.groupBy("end").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b"))
+    labels = stored(connected_components(links), "components")
+    # What is left: pairs alone in a bucket, and inside larger buckets all members still in different components.
+    links = links.unionByName(confirmed(_labelled(stars.where("size = 2"), labels, "a", "b").where("comp_a != comp_b")))
     larger = _labelled(members.where("size > 2"), labels, "set_id").withColumnRenamed("comp_set_id", "comp")
     mixed = larger.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low != high")
-    inside = larger.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket").join(classes.select("set_id", "sketch"), "set_id")
-    confirm(apart.unionByName(_inside_buckets(inside.select("bucket", "blocks", "set_id", "comp", "sketch"), limit)))
+    inside = larger.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket").join(classes.select("set_id", "sketch", "bands"), "set_id")
+    inside = _inside_buckets(inside.select("bucket", "band", "blocks", "set_id", "comp", "sketch", "bands"), sets_of, limit, percent)
+    labels = stored(connected_components(links.unionByName(stored(inside, "links"))), "components")
 
     named = _labelled(classes.select("set_id", "doc_id"), labels, "set_id").withColumnRenamed("comp_set_id", "component")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
