@@ -20,20 +20,24 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     return moved.where(F.col("m") != F.col("x")).select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
 
 
+def _finished(edges: DataFrame) -> bool:
+    """Whether distinct edges (a < b) are stars: each b has one a, which is no b itself and so the smallest node."""
+    ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("below")).unionByName(edges.select(F.col("a").alias("node"), F.lit(0).alias("below")))
+    nodes = ends.groupBy("node").agg(F.sum("below").alias("n"), F.min("below").alias("least"))
+    return not nodes.agg(F.count_if((F.col("n") > 1) | (F.col("n") > 0) & (F.col("least") == 0))).first()[0]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node of the edges (a, b: long); loops and repeats are harmless.
 
-    Each round is a grouping with map-side minima and one join, so a node with very many neighbours is no group in
-    one task; the number of rounds grows with the logarithm of the longest path.
+    edges are read several times, so they should be a stored table. Each round is two groupings with map-side minima,
+    each with one join, so a node with very many neighbours is no group in one task; the number of rounds grows with
+    the logarithm of the longest path.
     """
-    now = stored(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    mark = lambda df: df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-    before = mark(now)
-    while before[0]:
-        now = stored(_stars(stored(_stars(now, small=False), "large-star"), small=True), "small-star")
-        after = mark(now)
-        if after == before:
+    now = edges.where(F.col("a") != F.col("b")).select("a", "b")
+    while True:
+        now = stored(_stars(_stars(now, small=False), small=True), "stars")
+        if _finished(now):
             break
-        before = after
     every = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return every.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

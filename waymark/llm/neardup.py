@@ -122,11 +122,12 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _differing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs (a, b) with the number of differing bits."""
+    """pairs (a, b and further columns) with the number of differing bits."""
+    kept = pairs.columns
     for side in "ab":
         pairs = pairs.join(classes.select(F.col("set_id").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
     bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return pairs.select("a", "b", bits.alias("differ"))
+    return pairs.select(*kept, bits.alias("differ"))
 
 
 def _full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -274,7 +275,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     )
     members = stored(buckets.join(crowded, "bucket"), "members")
     stars = members.where(F.col("set_id") != F.col("head")).groupBy(F.least("set_id", "head").alias("a"), F.greatest("set_id", "head").alias("b")).agg(F.min("size").alias("size"))
-    stars = stored(stars.join(_differing(stars.select("a", "b"), classes).where(F.col("differ") <= limit), ["a", "b"]), "stars")
+    stars = stored(_differing(stars, classes).where(F.col("differ") <= limit), "pairs")
     sets_of = lambda wanted: _full_sets(wanted, docs, classes, words)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -287,14 +288,17 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     links = confirmed(ends.groupBy("end").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b"))
     labels = stored(connected_components(links), "components")
     # What is left: pairs alone in a bucket, and inside larger buckets all members still in different components.
-    links = links.unionByName(confirmed(_labelled(stars.where("size = 2"), labels, "a", "b").where("comp_a != comp_b")))
+    links = confirmed(_labelled(stars.where("size = 2"), labels, "a", "b").where("comp_a != comp_b"))
     larger = _labelled(members.where("size > 2"), labels, "set_id").withColumnRenamed("comp_set_id", "comp")
     mixed = larger.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low != high")
     inside = larger.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket").join(classes.select("set_id", "sketch", "bands"), "set_id")
     inside = _inside_buckets(inside.select("bucket", "band", "blocks", "set_id", "comp", "sketch", "bands"), sets_of, limit, percent)
-    labels = stored(connected_components(links.unionByName(stored(inside, "links"))), "components")
+    # These links join the components found so far, not single documents.
+    between = _labelled(links.unionByName(inside), labels, "a", "b").select(F.least("comp_a", "comp_b").alias("a"), F.greatest("comp_a", "comp_b").alias("b"))
+    joined = stored(connected_components(stored(between.where("a != b").distinct(), "between")), "joined")
 
-    named = _labelled(classes.select("set_id", "doc_id"), labels, "set_id").withColumnRenamed("comp_set_id", "component")
+    named = _labelled(classes.select("set_id", "doc_id"), labels, "set_id").withColumnRenamed("comp_set_id", "comp")
+    named = _labelled(named, joined, "comp").withColumnRenamed("comp_comp", "component")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = stored(named.select("set_id", "component").join(smallest, "component").select("set_id", "component_id"), "named")
     out = rows.select("doc_id", "row_key", "n_shingles", "set_id").join(named, "set_id", "left")
