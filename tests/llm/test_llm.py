@@ -319,6 +319,22 @@ def test_pseudonyms_are_linked_and_leave_the_rest(spark):
     assert got[2]["text"] in new and got[3]["text"] is None and got[4]["text"] == "clean text without" and got[4]["n_found"] == 0
 
 
+def test_phones_of_any_area_code():
+    f = pii.Feistel(b"k")
+    for old in ("+1 (017) 555-7713", "+1 (171) 555-2028", "(099) 155-0000", "+1-632-055-4827", "1 (632) 155-4827"):
+        new, found = pii.pseudonymise(f"call {old} now", f)
+        assert found == [("phone", 5, len(old))] and new != f"call {old} now" and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", f"call {old} now")
+    assert pii.pseudonymise("build 017-555-7713 of 632-155-4827", f)[1] == []
+    # The other forms of a number are linked; a bare number stays one that is found.
+    digits = lambda s: re.sub("[^0-9]", "", pii.pseudonymise(s, f)[0])[-10:]
+    assert digits("+1 (632) 555-4827") == digits("632-555-4827") and digits("+1 (017) 555-7713") == digits("(017) 555.7713")
+    r = random.Random(2)
+    numbers = {f"({r.randrange(1000):03}) {r.randrange(1000):03}-{r.randrange(10000):04}" for _ in range(3000)}
+    new = {n: pii.CHANGE["phone"](f, n) for n in numbers}
+    planned = lambda s: int(s[1:4]) >= 200 and int(s[6:9]) >= 200
+    assert len(set(new.values())) == len(numbers) and all(planned(a) == planned(b) for a, b in new.items())
+
+
 def test_bpe_equals_the_merges():
     import tiktoken
 

@@ -36,7 +36,7 @@ FORMS = re.compile(
     |(?P<date>(?<![\w./-])[0-9]{1,2}(?P<sep>[/.-])[0-9]{1,2}(?P=sep)[0-9]{4}(?![\w/-]))
     |(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))
     |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
-    |(?P<phone>(?<![\w+])(?:\+?1[ .-]?)?\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-][0-9]{4}(?![\w-]))
+    |(?P<phone>(?<![\w+])(?:(?:\+1[ .-]?\(?|(?:1[ .-]?)?\()[0-9]{3}\)?[ .-]?[0-9]{3}|(?:1[ .-]?)?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2})[ .-][0-9]{4}(?![\w-]))
     |(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))""",
     re.VERBOSE,
 )
@@ -109,12 +109,22 @@ def _card(f: Feistel, s: str) -> str | None:
 
 
 def _phone(f: Feistel, s: str) -> str | None:
+    """Numbers of the numbering plan (area code and exchange from 200) are permuted among themselves, as a bare number
+    has to be one of them, and all others among themselves; so every form of a number has the same pseudonym."""
     d = re.sub("[^0-9]", "", s)
-    head, d = d[:-10], d[-10:]
-    value = ((int(d[:3]) - 200) * 800 + int(d[3:6]) - 200) * 10000 + int(d[6:])
-    rest, last = divmod(f.permute("phone", value, 800 * 800 * 10000), 10000)
-    area, middle = divmod(rest, 800)
-    return refill(s, f"{head}{area + 200:03}{middle + 200:03}{last:04}")
+    head, area, middle, last = d[:-10], int(d[-10:-7]), int(d[-7:-4]), int(d[-4:])
+    if area >= 200 and middle >= 200:
+        value = f.permute("phone", ((area - 200) * 800 + middle - 200) * 10000 + last, 800 * 800 * 10000)
+        area, middle = divmod(value // 10000, 800)
+        area, middle = area + 200, middle + 200
+    else:
+        low = 200 * 1000  # pairs of an area code below 200 and any exchange; then the others with an exchange below 200
+        pair = area * 1000 + middle if area < 200 else low + (area - 200) * 200 + middle
+        value = f.permute("phone-other", pair * 10000 + last, (low + 800 * 200) * 10000)
+        pair = value // 10000
+        area, middle = divmod(pair, 1000) if pair < low else divmod(pair - low, 200)
+        area += 0 if pair < low else 200
+    return refill(s, f"{head}{area:03}{middle:03}{value % 10000:04}")
 
 
 def _ssn(f: Feistel, s: str) -> str | None:
