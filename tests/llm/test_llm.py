@@ -335,6 +335,26 @@ def test_phones_of_any_area_code():
     assert len(set(new.values())) == len(numbers) and all(planned(a) == planned(b) for a, b in new.items())
 
 
+def test_cards_and_ibans_before_other_digits_and_capitals():
+    f = pii.Feistel(b"k")
+    cards = ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"]
+    ibans = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"]
+    cases = [(c, "card", tail) for c in cards for tail in (" 12/27", " 123 now", " 0627 123", "-12/27", "-1234567", " 1234567", "- paid", " 12/27/2024x")]
+    cases += [(c, "iban", tail) for c in ibans for tail in (" BIC COBADEFF", " EUR 50", " COBADEFFXXX", " 4 May", " Betrag")]
+    for old, kind, tail in cases:
+        for head in ("pay ", "no 99 ", "AB12 ", "0000 0000 0000 0000 "):
+            new, found = pii.pseudonymise(head + old + tail, f)
+            at = [x for x in found if x[0] == kind]
+            assert len(at) == 1 and at[0][1] <= len(head) and at[0][1] + at[0][2] >= len(head + old), (head + old + tail, found)
+            assert old not in new and new.endswith(tail[-1])
+    alone = {c: pii.pseudonymise(c, f)[0] for c in (*cards, *ibans)}
+    for old in alone:
+        for tail in (" 12/27",) if old in cards else (" BIC COBADEFF", " EUR 50"):
+            assert pii.pseudonymise(f"pay {old}{tail}", f)[0] == f"pay {alone[old]}{tail}"
+    assert pii.pseudonymise("secret: johnsmith@example.com", f)[1] == [("email", 8, 21)]
+    assert pii.pseudonymise("card 4111 1111 1111 1112 12, DE89 3704 0044 0532 0130 02 EUR, 0000 0000 0000 0000", f)[1] == []
+
+
 def test_bpe_equals_the_merges():
     import tiktoken
 

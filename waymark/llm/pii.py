@@ -37,9 +37,11 @@ FORMS = re.compile(
     |(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))
     |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
     |(?P<phone>(?<![\w+])(?:(?:\+1[ .-]?\(?|(?:1[ .-]?)?\()[0-9]{3}\)?[ .-]?[0-9]{3}|(?:1[ .-]?)?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2})[ .-][0-9]{4}(?![\w-]))
-    |(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))""",
+    |(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?!\w))""",
     re.VERBOSE,
 )
+#: The rest of a group of letters and digits.
+GROUP = re.compile("[A-Za-z0-9]*")
 
 
 class Feistel:
@@ -102,7 +104,7 @@ def refill(form: str, digits: str, characters: str = DIGITS) -> str:
 
 def _card(f: Feistel, s: str) -> str | None:
     d = re.sub("[ -]", "", s)
-    if not luhn(d) or len(set(d)) == 1:
+    if len(d) < 13 or not luhn(d) or len(set(d)) == 1:
         return None
     body = str(f.permute(f"card{d[0]}", int(d[1:-1]), 10 ** (len(d) - 2))).zfill(len(d) - 2)
     return refill(s, d[0] + body + next(c for c in DIGITS if luhn(d[0] + body + c)))
@@ -170,6 +172,14 @@ def _date(f: Feistel, s: str) -> str | None:
     return None
 
 
+def heads(s: str) -> Iterator[str]:
+    """s and its beginnings that end at a space or hyphen, longest first."""
+    yield s
+    for k in range(len(s) - 1, 0, -1):
+        if s[k] in " -":
+            yield s[:k]
+
+
 def _iban(f: Feistel, s: str) -> str | None:
     d = s.replace(" ", "")
     number = lambda x: int("".join(str(int(c, 36)) for c in x))
@@ -199,12 +209,15 @@ CHANGE: dict[str, Callable[[Feistel, str], str | None]] = {"email": _email, "aws
 def pseudonymise(text: str, f: Feistel) -> tuple[str, list[tuple[str, int, int]]]:
     """The new text, and (kind, start, length) of each replaced value in the old one.
 
-    A candidate that fails validation is left as it is. A credential (`token = ...`) needs a digit in its value.
+    A candidate that fails validation is left as it is, and the search goes on after its first group. Of a card or an
+    IBAN the longest beginning that is valid and ends at a separator counts: what follows may be an expiry date, a
+    security code, a BIC or a currency. A credential (`token = ...`) needs a digit in its value.
     """
     if not HINT.search(text):
         return text, []
     out, found, last = [], [], 0
-    for m in FORMS.finditer(text):
+    at = 0
+    while m := FORMS.search(text, at):
         start, end = m.span()
         if m["secret"]:
             kind, (start, end) = "secret", m.span("value")
@@ -214,11 +227,16 @@ def pseudonymise(text: str, f: Feistel) -> tuple[str, list[tuple[str, int, int]]
                 kind, new = "aws", _aws(f, old)
         else:
             kind = next(k for k in CHANGE if m[k])
-            new = CHANGE[kind](f, m.group())
+            for old in heads(m.group()) if kind in ("card", "iban") else [m.group()]:
+                if (new := CHANGE[kind](f, old)) is not None:
+                    end = start + len(old)
+                    break
         if new is not None:
             out += [text[last:start], new]
-            last = end
+            last = at = end
             found.append((kind, start, end - start))
+        else:
+            at = start if m["secret"] else GROUP.match(text, start + 1).end()
     return "".join([*out, text[last:]]), found
 
 
