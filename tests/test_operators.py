@@ -119,6 +119,22 @@ def test_cluster_weights_equal_repeated_rows(spark):
         assert math.isclose(got[name], expected[name])
 
 
+def test_draw_metrics_equal_those_of_weighted_counts(spark):
+    rng = np.random.default_rng(3)
+    rows = [("d", w, "p", "m", f"c{k % 4}", int(rng.integers(0, 2)) if w == 1 else 1, float(np.round(rng.random(), 1))) for w in (1, 2) for k in range(80)]
+    df = table(spark, [*rows, ("d", 3, "p", "m", "c9", 1, 0.5)], "dataset string, week int, protocol string, model string, cluster_id string, y int, p_success double")
+    keys = ["dataset", "week", "protocol", "model"]
+    drawn = bootstrap.draw_table(spark, ["c0", "c1", "c2", "c3"], 120, 5)
+    got = {(r["week"], r["draw"]): r for r in bootstrap.metric_draws(df, drawn, keys).collect()}
+    counts = metrics.threshold_counts(df, keys, "cluster_id").join(drawn, "cluster_id").groupBy(*keys, "draw", "p").agg(F.sum(F.col("s") * F.col("w")).alias("s"), F.sum(F.col("f") * F.col("w")).alias("f"))
+    expected = {(r["week"], r["draw"]): r for r in metrics.metrics_of_counts(counts, [*keys, "draw"]).collect()}
+    assert got.keys() == expected.keys() and len(got) == 240
+    for key, r in expected.items():
+        assert got[key]["n"] == r["n"]
+        for name in metrics.METRICS:
+            assert (got[key][name] is None) == (r[name] is None) and (r[name] is None or math.isclose(got[key][name], r[name], abs_tol=1e-12))
+
+
 def test_draws_are_the_generators(spark):
     got = {(r["draw"], r["cluster_id"]): r["w"] for r in bootstrap.draw_table(spark, ["a", "b", "c"], 50, 7).collect()}
     expected = np.random.default_rng(7).multinomial(3, [1 / 3] * 3, size=50)

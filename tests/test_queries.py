@@ -19,6 +19,18 @@ def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 
 
+def test_bootstraps_take_all_landmarks_and_draws(spark):
+    from waymark.plans import queries
+    from waymark.sources.fixtures import WEEKS
+
+    assert queries.DRAWS == 1000
+    assert {r["week"] for r in QUERIES["B5_bootstrap_distortion"](spark, SMALL).select("week").distinct().collect()} == set(WEEKS)
+    assert QUERIES["B9_paired_difference"](spark, SMALL).agg({"finite_draws": "max"}).first()[0] == 1000
+    assert {r["repeat"] for r in QUERIES["L8_folds"](spark, SMALL).select("repeat").distinct().collect()} == {1, 2, 3, 4, 5}
+    every = QUERIES["A23_subgroup_allocation_all"](spark, SMALL)
+    assert every.select("week").distinct().count() == len(WEEKS)
+
+
 def test_entry_has_all(spark):
     import __spark_entry__ as entry
 

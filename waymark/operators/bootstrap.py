@@ -8,10 +8,11 @@ Counts by threshold and cluster are weighted by the draws; rows of enrolments ne
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.operators.metrics import METRICS, cell_metrics, metrics_of_counts, threshold_counts
+from waymark.operators.metrics import EDGES, METRICS, cell_metrics, threshold_counts
 
 AA, VV, AV, VA = "activity_conditioned", "cutoff_valid", "activity_to_cutoff_valid", "cutoff_valid_to_activity"
 #: Contrasts as weights of the cells AA, AV, VA, VV.
@@ -25,6 +26,10 @@ CONTRASTS = {
     "training_population_shapley": (0.5, 0.5, -0.5, -0.5),
 }
 CELLS = (AA, AV, VA, VV)
+#: Draws whose metrics of a cell are computed together in a task.
+DRAW_BLOCK = 50
+#: Products of a count and a weight that are held at once, at most about so many.
+PRODUCTS = 2_000_000
 
 
 def draw_table(spark: SparkSession, clusters: list[str], n_boot: int, seed: int = 42) -> DataFrame:
@@ -40,11 +45,65 @@ def clusters_of(predictions: DataFrame) -> list[str]:
     return sorted(r[0] for r in predictions.select(F.col("cluster_id").cast("string")).where("cluster_id IS NOT NULL").distinct().collect())
 
 
+def _draw_metrics(p: np.ndarray, s: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """n and METRICS by column from the draws' successes s and failures f (draws x thresholds) at the rising thresholds p."""
+    n, successes, failures = s + f, s.sum(1), f.sum(1)
+    total = successes + failures
+    last = np.searchsorted(-(1 - p), -(1 - p), side="right") - 1  # of the thresholds that tie as risks
+    below = np.cumsum(f, 1)
+    caught, flagged = below[:, last], np.cumsum(n, 1)[:, last]
+    bins = np.searchsorted(EDGES, p, side="right")
+    starts = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        auc = (s * (below - f / 2)).sum(1) / (successes * failures)
+        pr_auc = np.where(f > 0, f * caught / flagged, 0.0).sum(1) / failures
+        brier = (s * (1 - p) ** 2 + f * p**2).sum(1) / total
+        ece = np.abs(np.add.reduceat(s - n * p, starts, axis=1)).sum(1) / total
+    out = np.column_stack([auc, pr_auc, brier, ece])
+    out[(successes == 0) | (failures == 0)] = np.nan
+    return np.column_stack([total, out])
+
+
 def metric_draws(predictions: DataFrame, draws: DataFrame, keys: list[str]) -> DataFrame:
-    """The four metrics per cell and draw."""
-    counts = threshold_counts(predictions, keys, "cluster_id")
-    weighted = counts.join(draws, "cluster_id").groupBy(*keys, "draw", "p").agg(F.sum(F.col("s") * F.col("w")).alias("s"), F.sum(F.col("f") * F.col("w")).alias("f"))
-    return metrics_of_counts(weighted, [*keys, "draw"])
+    """n and the four metrics per cell and draw, as metrics_of_counts has them; cells that a draw leaves empty have no row.
+
+    A task holds the counts by threshold and cluster of one cell and the weights of DRAW_BLOCK draws.
+    """
+    counts = threshold_counts(predictions, keys, "cluster_id").withColumn("cluster_id", F.col("cluster_id").cast("string"))
+    draws = draws.withColumn("_block", F.floor(F.col("draw") / DRAW_BLOCK).cast("int"))
+    cells = predictions.select(*keys).distinct()
+    left = counts.crossJoin(F.broadcast(draws.select("_block").distinct()))
+    right = draws.crossJoin(F.broadcast(cells))
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # columns of their own, though both come from one table
+
+    def run(own: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(columns=["draw", "n", *METRICS])
+        if len(own) and len(drawn):
+            own = own[own["cluster_id"].notna()].sort_values("p")
+        if len(own) and len(drawn):
+            p, starts = np.unique(own["p"].to_numpy(float), return_index=True)
+            cluster, names = pd.factorize(own["cluster_id"])
+            s, f = own["s"].to_numpy(float), own["f"].to_numpy(float)
+            nth, numbers = pd.factorize(drawn["draw"])
+            place = pd.Index(names).get_indexer(drawn["cluster_id"])
+            weights = np.zeros((len(numbers), len(names) + 1))  # the last column is for clusters that the cell lacks
+            weights[nth, place] = drawn["w"].to_numpy()
+            step, found = max(1, PRODUCTS // len(own)), []
+            for k in range(0, len(numbers), step):
+                w = weights[k : k + step][:, cluster]
+                found.append(_draw_metrics(p, np.add.reduceat(w * s, starts, axis=1), np.add.reduceat(w * f, starts, axis=1)))
+            out = pd.DataFrame(np.vstack(found), columns=["n", *METRICS])
+            out.insert(0, "draw", numbers)
+            out = out[out["n"] > 0]
+        out = out.astype({"draw": "int32", "n": "int64"})
+        for k, name in enumerate(keys):
+            out.insert(k, name, own[name].iloc[0] if len(own) else None)
+        return out
+
+    kinds = {f.name: f.dataType.simpleString() for f in counts.schema}
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "draw int, n long", *[f"{m} double" for m in METRICS]])
+    by = [*keys, "_block"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, schema)
 
 
 def long_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:

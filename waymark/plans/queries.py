@@ -13,7 +13,7 @@ from waymark.sources.fixtures import WEEKS, Binding
 
 TYPES = [f"t{k}" for k in range(5)]
 SOURCES = ["click", "error", "purchase", "scroll", "view"]
-DRAWS = 100
+DRAWS = 1000
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -52,8 +52,8 @@ def panel(b: Binding) -> DataFrame:
     return evidence.weekly_panel(vle, assess, WEEKS[-1])
 
 
-def predictions(b: Binding) -> DataFrame:
-    """A deterministic scored panel: five protocols, three models, tied scores."""
+def predictions(b: Binding, factor: int = 7919) -> DataFrame:
+    """A deterministic scored panel: five protocols, three models, tied scores. Another factor gives other scores."""
     rows = members(b).withColumn("model", F.explode(F.array(*map(F.lit, ("m1", "m2", "m3")))))
     arms = [(p, t, e) for t, cells in models.SPECS.items() for p, e in cells]
     cell = F.explode(F.array(*[F.struct(F.lit(p).alias("protocol"), F.lit(t).alias("train_protocol"), F.lit(e).alias("eval_protocol"), F.col(e).alias("use"), F.lit(i % 3).alias("shift")) for i, (p, t, e) in enumerate(arms)]))
@@ -61,7 +61,7 @@ def predictions(b: Binding) -> DataFrame:
     shift: Column = F.lit(0)
     for name, k in arm.items():
         shift = F.when(F.col("cell.train_protocol") == name, k).otherwise(shift)
-    p = (300 * F.col("label") + (F.col("id_student") * 7919 + F.col("week") * 31 + F.substring("model", 2, 1).cast("int") * 17 + shift * 13) % 700) / 1000.0
+    p = (300 * F.col("label") + (F.col("id_student") * factor + F.col("week") * 31 + F.substring("model", 2, 1).cast("int") * 17 + shift * 13) % 700) / 1000.0
     rows = rows.withColumn("cell", cell).where("cell.use")
     return rows.select(
         "dataset", "week", "cell.protocol", "cell.train_protocol", "cell.eval_protocol", "model", *KEY, F.col("label").alias("y"), "risk", "has_activity", "no_activity", "outcome_realized", "cutoff_valid", "membership_class",
@@ -227,19 +227,19 @@ def _(b: Binding) -> DataFrame:
 
 @query("B4_bootstrap_summary")
 def _(b: Binding) -> DataFrame:
-    rows = predictions(b).where(F.col("week").isin(8, 16))
+    rows = predictions(b)
     return rounded(bootstrap.summary(rows, draws(b, rows)))
 
 
 @query("B5_bootstrap_distortion")
 def _(b: Binding) -> DataFrame:
-    rows = predictions(b).where("week = 16")
+    rows = predictions(b)
     return rounded(bootstrap.distortion(rows, draws(b, rows)))
 
 
 @query("B6_decomposition")
 def _(b: Binding) -> DataFrame:
-    rows = predictions(b).where(F.col("week").isin(8, 16))
+    rows = predictions(b)
     return rounded(bootstrap.decomposition(rows, draws(b, rows)))
 
 
@@ -253,21 +253,21 @@ def _(b: Binding) -> DataFrame:
 
 @query("B7_module_clusters")
 def _(b: Binding) -> DataFrame:
-    rows = predictions(b).where("week = 16").withColumn("cluster_id", group_id("module")).withColumn("cluster_unit", F.lit("module"))
+    rows = predictions(b).withColumn("cluster_id", group_id("module")).withColumn("cluster_unit", F.lit("module"))
     return rounded(bootstrap.decomposition(rows, draws(b, rows)))
 
 
 @query("B8_aggregate")
 def _(b: Binding) -> DataFrame:
     rows = predictions(b)
-    return rounded(bootstrap.aggregate(rows, draws(b, rows, 20)))
+    return rounded(bootstrap.aggregate(rows, draws(b, rows)))
 
 
 @query("B9_paired_difference")
 def _(b: Binding) -> DataFrame:
-    rows = predictions(b).where("week = 16")
-    other = rows.where("id_student % 10 != 3")
-    return rounded(bootstrap.paired_difference(other, rows, draws(b, rows, 20)))
+    """The same enrolments, scored twice."""
+    rows = predictions(b)
+    return rounded(bootstrap.paired_difference(predictions(b, 6421), rows, draws(b, rows)))
 
 
 @query("B10_tie_audit")
@@ -277,8 +277,8 @@ def _(b: Binding) -> DataFrame:
 
 @query("A26_exclusion_counts")
 def _(b: Binding) -> DataFrame:
-    rows = predictions(b).where("week = 16")
-    return rounded(bootstrap.exclusion_counts(bootstrap.decomposition(rows, draws(b, rows, 20))))
+    rows = predictions(b)
+    return rounded(bootstrap.exclusion_counts(bootstrap.decomposition(rows, draws(b, rows))))
 
 
 @query("O2_capacities")
@@ -337,6 +337,13 @@ def _(b: Binding) -> DataFrame:
     return rounded(decide.subgroup_allocation(members(b, [16]), b.info(), rows, decide.budget_table(rows, [0.05, 0.2])[1]))
 
 
+@query("A23_subgroup_allocation_all")
+def _(b: Binding) -> DataFrame:
+    """All landmarks; the query above is defined at the last one."""
+    rows = predictions(b)
+    return rounded(decide.subgroup_allocation(members(b), b.info(), rows, decide.budget_table(rows, [0.05, 0.2])[1]))
+
+
 @query("A24_excluded_categorical")
 def _(b: Binding) -> DataFrame:
     return rounded(decide.excluded_categorical(members(b), b.info()))
@@ -378,7 +385,7 @@ def _(b: Binding) -> DataFrame:
 
 @query("L8_folds")
 def _(b: Binding) -> DataFrame:
-    return models.fold_table(roster(b), models.Config(folds=5, repeats=2))
+    return models.fold_table(roster(b), models.Config())
 
 
 @query("L2_benchmark_logistic")
