@@ -135,6 +135,23 @@ def test_draw_metrics_equal_those_of_weighted_counts(spark):
             assert (got[key][name] is None) == (r[name] is None) and (r[name] is None or math.isclose(got[key][name], r[name], abs_tol=1e-12))
 
 
+def test_boosting_has_the_reference_rounds(spark, monkeypatch):
+    asked = {}
+
+    class Stop(Exception):
+        pass
+
+    def boosted(**more):
+        asked.update(more)
+        raise Stop
+
+    monkeypatch.setattr(models, "GBTClassifier", boosted)
+    rows = table(spark, [(0.0, 0), (1.0, 1)], "a double, y int")
+    with pytest.raises(Stop):
+        models.fit_and_score("flat_hgb", rows, rows, ["a"], 1)
+    assert asked["maxIter"] == 250 and asked["stepSize"] == 0.06
+
+
 def test_draws_are_the_generators(spark):
     got = {(r["draw"], r["cluster_id"]): r["w"] for r in bootstrap.draw_table(spark, ["a", "b", "c"], 50, 7).collect()}
     expected = np.random.default_rng(7).multinomial(3, [1 / 3] * 3, size=50)

@@ -133,7 +133,7 @@ def fit_and_score(name: str, train: DataFrame, test: DataFrame, features: list[s
     elif name == "base_dffnn":
         model = MultilayerPerceptronClassifier(featuresCol=column, labelCol="y", layers=[len(features), 128, 64, 32, 2], maxIter=100, seed=seed)
     else:
-        model = GBTClassifier(featuresCol=column, labelCol="y", maxIter=50, stepSize=0.06, maxDepth=4, seed=seed)
+        model = GBTClassifier(featuresCol=column, labelCol="y", maxIter=250, stepSize=0.06, maxDepth=4, seed=seed)
     return _probability(Pipeline(stages=[model]).fit(train), test)
 
 
