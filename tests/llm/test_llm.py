@@ -293,6 +293,28 @@ def test_context_tree_weighting_against_brute_force(spark, small, depth):
         assert math.isclose(r["base_score"], sum(math.log10((train[w] + 0.5) / below) for w in words))
 
 
+def test_top_k_keeps_long_vectors(spark):
+    r = random.Random(4)
+    vectors = {k: [r.uniform(-1, 1) * (1e6 if k % 7 == 0 else 1) for _ in range(4)] for k in range(60)}
+    vectors |= {100: [9e5, 9e5, 1.0, 2.0], 101: [2.5e6, -2.5e6, 0.5, 1.0], 102: [2e6, 2e6, 3.0, 0.25]}
+    odd = [(200, [float("inf"), 1.0, 1.0, 1.0]), (201, [float("nan"), 1.0, 1.0, 1.0]), (202, [None, 1.0, 1.0, 1.0]), (203, None)]
+    df = spark.createDataFrame([*vectors.items(), *odd], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id % 10 = 0 or vec_id >= 100")).collect()
+    whole = {k: [math.floor(x * 1024) for x in v] for k, v in vectors.items()}
+    expected = set()
+    for q in [k for k in whole if k % 10 == 0 or k >= 100]:
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), k) for k, v in whole.items() if k != q)
+        expected |= {(q, n + 1, k, -s) for n, (s, k) in enumerate(scores[: topk.K])}
+    assert {(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in got} == expected
+    # Parts of a sum may be over a long where the sum is not; a score or a component may not.
+    a, b = np.array([[2**40, 2**40, 3]]), np.array([[2**40, -(2**40), 5], [1, 2, 3]])
+    assert topk._products(a, b).tolist() == [[15, 3 * 2**40 + 9]]
+    with pytest.raises(OverflowError):
+        topk._products(a, a)
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.whole_vectors(spark.createDataFrame([(1, [1e18])], "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()
+
+
 def test_feistel_is_a_permutation_within_the_format():
     f = pii.Feistel(b"k")
     for size in (1, 2, 3, 10, 97, 1000):

@@ -23,18 +23,19 @@ K, SCALE = 10, 1024
 BLOCK, QUERY_BLOCK = 16384, 8192
 #: Local cosine threshold above which coordinates are worth looking at, and how many.
 COSINE, AXES = 0.5, 3
-#: Larger components could overflow a long in the product.
-LARGEST = 2**27
+#: Scaled components and scores are below this in absolute value, or an error is raised.
+LIMIT = 2**63
 
 
 def whole_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
     """id, v (array<long>), dim and norm of the vectors that take part.
 
-    Vectors that are null or hold a null, non-finite or (in absolute value) over LARGEST component, empty vectors and
-    null ids take no part.
+    Vectors that are null or hold a null or non-finite component, empty vectors and null ids take no part. A scaled
+    component that does not fit a long is an error.
     """
-    scaled = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.floor(x * scale))
-    valid = F.forall(F.col(vector_col), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double") * scale) <= LARGEST), F.lit(False)))
+    fits = lambda x: F.when(F.abs(x) < float(LIMIT), F.floor(x)).otherwise(F.raise_error(F.lit("a scaled component does not fit a long")).cast("long"))
+    scaled = F.transform(F.col(vector_col).cast("array<double>"), lambda x: fits(x * scale))
+    valid = F.forall(F.col(vector_col), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where((F.size(vector_col) > 0) & valid)
     rows = rows.select(F.col(id_col).cast("long").alias("id"), scaled.alias("v"))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
@@ -42,8 +43,16 @@ def whole_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int =
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The products as integers; where a long could overflow on the way, by Python's integers."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    return (a.astype(float) @ b.T.astype(float)).astype(np.int64) if most < 2**53 else a @ b.T
+    if most < 2**53:
+        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
+    if most < LIMIT * (1 - 1e-9):
+        return a @ b.T
+    exact = a.astype(object) @ b.T.astype(object)
+    if any(not -LIMIT <= x < LIMIT for x in exact.flat):
+        raise OverflowError("a score does not fit a long")
+    return exact.astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +90,7 @@ def _search(key: tuple, queries: pd.DataFrame, block: pd.DataFrame, k: int) -> p
         for own, v, norm, floor in zip(queries["id"], queries["v"], queries["norm"], queries["floor"]):
             q = np.asarray(v, np.int64)
             rows = _within(vectors, norms, q, norm, floor)
+            rows = rows[ids[rows] != own]
             scores, found = _best(_products(q[None, :], vectors[rows])[0], ids[rows], own, k)
             out += [(own, i, s) for i, s in zip(found.tolist(), scores.tolist())]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
