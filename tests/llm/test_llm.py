@@ -315,6 +315,16 @@ def test_top_k_keeps_long_vectors(spark):
         topk.whole_vectors(spark.createDataFrame([(1, [1e18])], "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()
 
 
+def test_packing_ids_of_special_tokens_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    for text in ("end <|endoftext|> start", "A<|endoftext|>B.", "<|ENDOFTEXT|> x <|endoftext|>", "<|startoftext|>Hi,<|endoftext|><|EndOfText|>", "<|endoftext|>\n\n<|endoftext", "plain <| text |>"):
+        assert np.frombuffer(own.packed(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    assert np.frombuffer(own.packed("end <|endoftext|> start"), "<u4").tolist() == [806, 49407, 1572]
+
+
 def test_feistel_is_a_permutation_within_the_format():
     f = pii.Feistel(b"k")
     for size in (1, 2, 3, 10, 97, 1000):

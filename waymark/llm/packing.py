@@ -39,14 +39,15 @@ class WordTokenizer:
     """Ids of whole texts by a `tokenizers` file whose pre-tokenizer never joins across white space.
 
     Texts are cut at ASCII white space and each distinct word is encoded once per worker. Lower-casing A-Z first is
-    part of the tokenizer's own normalisation. Added tokens' strings count as ordinary text.
+    part of the tokenizer's own normalisation. Words that hold an added token's string are encoded as they were written,
+    since the library looks for these strings before it lower-cases.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.special = [t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.model = self.whole.model
         self.memo: dict[bytes, bytes] = {}
 
@@ -66,7 +67,11 @@ class WordTokenizer:
         """The ids as little-endian unsigned 32-bit integers."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        words = text.encode().translate(LOWER).split()
+        raw = text.encode()
+        lower = raw.translate(LOWER)
+        words = lower.split()
+        if any(s in lower for s in self.special):
+            words = [a if any(s in b for s in self.special) else b for a, b in zip(raw.split(), words)]
         get, keep = self.memo.get, self.keep
         return b"".join([get(w) or keep(w) for w in words])
 
