@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,18 +116,16 @@ def test_components_of_a_long_path(spark):
     assert all(got[k] == 0 for k in range(41)) and got[101] == 100 and len(got) == 43
 
 
-def test_top_k_against_numpy(spark):
+def test_top_k_against_numpy(spark, monkeypatch):
     r = np.random.default_rng(3)
     v = (r.normal(size=(300, 8)) * r.lognormal(size=(300, 1))).tolist()
     v[5] = v[6] = v[7]
     rows = [(k, x) for k, x in enumerate(v)] + [(900, None), (901, [1.0, None] * 4), (902, [float("nan")] * 8), (903, [1.0] * 3), (None, [1.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    old = topk.BLOCK
-    topk.BLOCK = 64
-    try:
-        got = topk.top_k(df, df.where("vec_id % 10 = 0")).orderBy("query_id", "rank").collect()
-    finally:
-        topk.BLOCK = old
+    monkeypatch.setattr(topk, "BUCKET", 64 * 8)
+    monkeypatch.setattr(topk, "QUERIES", 7 * 8)
+    monkeypatch.setattr(topk, "BUCKETS_PER_TASK", 2)
+    got = topk.top_k(df, df.where("vec_id % 10 = 0")).orderBy("query_id", "rank").collect()
     whole = np.floor(np.array(v) * 1024).astype(np.int64)
     expected = []
     for q in range(0, 300, 10):
@@ -293,6 +292,46 @@ def test_context_tree_weighting_against_brute_force(spark, small, depth):
         assert math.isclose(r["base_score"], sum(math.log10((train[w] + 0.5) / below) for w in words))
 
 
+def packed(ids, vectors, floors=None):
+    """A block of the search from whole vectors, longest first."""
+    norms = np.sqrt((vectors.astype(float) ** 2).sum(1))
+    order = np.argsort(-norms)
+    cells = {"n": len(ids), "dim": vectors.shape[1], "ids": ids[order].tobytes(), "nums": ids[order].tobytes(), "norms": norms[order].tobytes(), "vectors": vectors[order].astype("<i4").tobytes()}
+    cells["floors"] = (np.full(len(ids), -np.inf) if floors is None else floors[order]).tobytes()
+    return topk.Block(pa.table({f"x_{k}": [v] for k, v in cells.items()}), "x")
+
+
+@pytest.mark.parametrize(("noise", "spread", "most"), [(0.02, 0.0, 0.1), (1.0, 0.0, 0.4), (1.0, 1.0, 0.4)])
+def test_top_k_prunes_without_loss(noise, spread, most):
+    """Near copies, directions at random, and lengths that differ: what is verified of all products, and the result."""
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(60, 64))
+    v = centres[r.integers(0, 60, 4000)] + noise * r.normal(size=(4000, 64)) if noise < 1 else r.normal(size=(4000, 64))
+    v = np.floor(1024 * v / np.linalg.norm(v, axis=1, keepdims=True) * r.lognormal(0, spread, (4000, 1))).astype(np.int64)
+    ids, asked = np.arange(4000), np.arange(0, 4000, 100)
+    scores = v[asked] @ v.T
+    scores[np.arange(40), asked] = -(2**60)
+    floors = np.sort(scores, axis=1)[:, -10].astype(float)
+    search = topk.Search(packed(asked, v[asked], floors), packed(ids, v), 10)
+    got = {(q, i): s for _, q, found, best in search.found for i, s in zip(found.tolist(), best.tolist())}
+    for n, q in enumerate(asked.tolist()):
+        order = sorted(range(4000), key=lambda k: (-scores[n, k], k))[:10]
+        assert all(got[q, k] == scores[n, k] for k in order)
+    assert search.verified <= most * 40 * 4000
+
+
+def test_top_k_of_empty_and_odd_tables(spark):
+    schema = "vec_id long, embedding array<float>, num string, floor string, v string, block string"
+    empty = spark.createDataFrame([], schema)
+    assert topk.top_k(empty, empty).count() == 0
+    rows = [(k, [float(k), 1.0], "a", "b", "c", "d") for k in (1, 2, 2, 3)] + [(None, [1.0, 1.0], *"abcd"), (5, None, *"abcd"), (6, [], *"abcd"), (7, [0.0, 0.0], *"abcd"), (8, [1.0] * 5000, *"abcd")]
+    df = spark.createDataFrame(rows, schema)
+    assert topk.top_k(df, empty).count() == 0 and topk.top_k(empty, df).count() == 0
+    got = [tuple(r) for r in topk.top_k(df, df.where("vec_id in (2, 7, 8)"), 2).orderBy("query_id", "rank").collect()]
+    scale = 1024**2
+    assert got == [(2, 1, 3, 7 * scale), (2, 2, 1, 3 * scale), (7, 1, 1, 0), (7, 2, 2, 0)]  # 8 has no vector of its dimension
+
+
 def test_top_k_keeps_long_vectors(spark):
     r = random.Random(4)
     vectors = {k: [r.uniform(-1, 1) * (1e6 if k % 7 == 0 else 1) for _ in range(4)] for k in range(60)}
