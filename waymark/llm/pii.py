@@ -2,31 +2,36 @@
 
 Numbers and dates that pass their format's validation (checksums, calendars, numbering plans) are permuted within the
 values of that format by a keyed Feistel network; the permutation depends on the key and the kind alone, so equal
-values get equal pseudonyms in every document and different values stay different. Local parts of mail addresses and
-the variable part of credentials are permuted over their own alphabets. Nothing is gathered from the corpus.
+values get equal pseudonyms in every document and different values stay different. Local parts of mail addresses, which
+are compared without case, and the variable part of credentials are permuted over their own alphabets. Nothing is
+gathered from the corpus.
 """
 
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import re
+import secrets
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 ROUNDS = 8
-#: For tests and trials; a production run passes a secret key.
-KEY = b"waymark demonstration key"
-#: Dates are permuted within these days.
-FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: The setting of the session that holds the secret key.
+KEY_SETTING = "spark.waymark.pseudonym.key"
+#: Dates of these years are permuted among themselves; others within their century.
+YEARS = (1900, 2099)
 #: Lengths of the national account numbers by country.
 IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+#: Digits of a national number, without the trunk prefix, by country code.
+NATIONAL = {"33": (9, 9), "34": (9, 9), "44": (9, 10), "49": (7, 11)}
 HEX, DIGITS, SMALL, LARGE = "0123456789abcdef", "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: No text without one of these holds anything that is looked for.
-HINT = re.compile(r"[0-9@]|AKIA|password|token|secret|key", re.I)
+HINT = re.compile(r"[0-9@]|AKIA|ASIA|password|token|secret|key", re.I)
 FORMS = re.compile(
     r"""(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
     |(?P<aws>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))
@@ -37,6 +42,9 @@ FORMS = re.compile(
     |(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))
     |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
     |(?P<phone>(?<![\w+])(?:(?:\+1[ .-]?\(?|(?:1[ .-]?)?\()[0-9]{3}\)?[ .-]?[0-9]{3}|(?:1[ .-]?)?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2})[ .-][0-9]{4}(?![\w-]))
+    |(?P<intl>(?<![\w+])\+(?P<country>33|34|44|49)[ ./-]?(?:\(0\)[ ./-]?)?[(]?[1-9][0-9]{0,4}[)]?(?:[ ./-]?[0-9]{2,8}){1,5}(?![\w-]))
+    |(?P<pairs>(?<![\w+./-])(?<![0-9][ .])0[1-9](?:[ .][0-9]{2}){4}(?![\w-]|[ .][0-9]))
+    |(?P<trunk>(?<![\w+./-])(?<![0-9][ .])0[1-9][0-9]{1,4}(?:[ ]|/)[0-9]{3,4}(?:[ ][0-9]{3,4})(?![\w/-]|[ ][0-9]))
     |(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?!\w))""",
     re.VERBOSE,
 )
@@ -44,6 +52,15 @@ FORMS = re.compile(
 GROUP = re.compile("[A-Za-z0-9]*")
 
 
+@functools.cache
+def alphabet(c: str) -> str | None:
+    """For a letter beyond ASCII those of its case among its 64 neighbouring characters; None for other characters."""
+    if c.isascii() or not c.isalpha():
+        return None
+    first = ord(c) // 64 * 64
+    return "".join(x for x in map(chr, range(first, first + 64)) if x.isalpha() and x.islower() == c.islower() and x.lower().islower() == c.lower().islower() and (x.lower() == x) == (c.lower() == c))
+
+
 class Feistel:
     """Keyed permutations of the numbers below a size and of strings over their own alphabets."""
 
@@ -74,7 +91,7 @@ class Feistel:
 
     def letters(self, kind: str, text: str) -> str:
         """Permute the letters and digits of text, each within its own class, the rest left as it is."""
-        sets = [next((s for s in (DIGITS, SMALL, LARGE) if c in s), None) for c in text]
+        sets = [next((s for s in (DIGITS, SMALL, LARGE) if c in s), None) or alphabet(c) for c in text]
         return self.over(f"{kind}|{''.join('-' if s is None else s[0] for s in sets)}", text, sets)
 
     def over(self, kind: str, text: str, sets: list[str | None]) -> str:
@@ -147,14 +164,31 @@ def _ip(f: Feistel, s: str) -> str | None:
     return ".".join(map(str, f.permute("ip", int.from_bytes(bytes(parts), "big"), 2**32).to_bytes(4, "big")))
 
 
+def _abroad(f: Feistel, s: str) -> str | None:
+    """Numbers with a country code or the trunk prefix 0. The national number is permuted among those of its length, so
+    the forms of a number with and without the code have one pseudonym."""
+    start = 3 if s[0] == "+" else 1
+    trunk = s.find("(0)") + 1  # the place of a bracketed prefix; 0, never a digit of the number, without one
+    places = [k for k in range(start, len(s)) if s[k].isdigit() and k != trunk]
+    number = "".join(s[k] for k in places)
+    low, high = NATIONAL[s[1:3]] if s[0] == "+" else (9, 10)
+    if not low <= len(number) <= high:
+        return None
+    least = 10 ** (len(number) - 1)
+    out = list(s)
+    for k, c in zip(places, str(least + f.permute("phone-national", int(number) - least, 9 * least))):
+        out[k] = c
+    return "".join(out)
+
+
 def _day(f: Feistel, year: int, month: int, day: int) -> datetime.date | None:
     try:
         at = datetime.date(year, month, day).toordinal()
     except ValueError:
         return None
-    if not FIRST_DAY <= at <= LAST_DAY:
-        return None
-    return datetime.date.fromordinal(FIRST_DAY + f.permute("date", at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
+    first, last = YEARS if YEARS[0] <= year <= YEARS[1] else (max(year - year % 100, 1), year - year % 100 + 99)
+    start, end = datetime.date(first, 1, 1).toordinal(), datetime.date(last, 12, 31).toordinal()
+    return datetime.date.fromordinal(start + f.permute("date" if first == YEARS[0] else f"date{first}", at - start, end - start + 1))
 
 
 def _isodate(f: Feistel, s: str) -> str | None:
@@ -203,7 +237,9 @@ def _value(f: Feistel, s: str) -> str:
     return f.over("hex", s, [HEX] * len(s)) if re.fullmatch("[0-9a-f]+", s) else f.letters("secret", s)
 
 
-CHANGE: dict[str, Callable[[Feistel, str], str | None]] = {"email": _email, "aws": _aws, "iban": _iban, "isodate": _isodate, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
+CHANGE: dict[str, Callable[[Feistel, str], str | None]] = {"email": _email, "aws": _aws, "iban": _iban, "isodate": _isodate, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "intl": _abroad, "pairs": _abroad, "trunk": _abroad, "card": _card}
+#: Kinds that are reported under another name.
+REPORTED = {"intl": "phone", "pairs": "phone", "trunk": "phone"}
 
 
 def pseudonymise(text: str, f: Feistel) -> tuple[str, list[tuple[str, int, int]]]:
@@ -234,7 +270,7 @@ def pseudonymise(text: str, f: Feistel) -> tuple[str, list[tuple[str, int, int]]
         if new is not None:
             out += [text[last:start], new]
             last = at = end
-            found.append((kind, start, end - start))
+            found.append((REPORTED.get(kind, kind), start, end - start))
         else:
             at = start if m["secret"] else GROUP.match(text, start + 1).end()
     return "".join([*out, text[last:]]), found
@@ -243,7 +279,14 @@ def pseudonymise(text: str, f: Feistel) -> tuple[str, list[tuple[str, int, int]]
 _FEISTELS: dict[bytes, Feistel] = {}
 
 
-def pseudonymise_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the session's setting; without one a new random key, under which pseudonyms are linked within one
+    result and nobody can undo them."""
+    set_key = spark.conf.get(KEY_SETTING, None)
+    return set_key.encode() if set_key else secrets.token_bytes(32)
+
+
+def pseudonymise_documents(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with its text pseudonymised, n_found, kinds ("email:2,ip:1") and found (kind, start and length in the old text).
 
     A null text stays null with nothing found. Rows are treated one by one: repeated rows give equal results, an empty
@@ -252,7 +295,8 @@ def pseudonymise_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     docs = docs.drop("n_found", "kinds", "found")
     names = docs.columns
     at = names.index("text")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, n_found int, kinds string, found array<struct<kind:string,start:int,length:int>>"
+    plain = [f"c{k}" for k in range(len(names))]  # Python functions take no names with dots
+    schema = f"{', '.join(f'{c} {f.dataType.simpleString()}' for c, f in zip(plain, docs.schema))}, n_found int, kinds string, found array<struct<kind:string,start:int,length:int>>"
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,6 +312,6 @@ def pseudonymise_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 spans.append([{"kind": k, "start": s, "length": n} for k, s, n in found])
             columns = [pa.array(texts, batch.schema.field(k).type) if k == at else batch.column(k) for k in range(len(names))]
             columns += [pa.array(counts, pa.int32()), pa.array(kinds, pa.string()), pa.array(spans, span)]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "n_found", "kinds", "found"])
+            yield pa.RecordBatch.from_arrays(columns, [*plain, "n_found", "kinds", "found"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*plain).mapInArrow(run, schema).toDF(*names, "n_found", "kinds", "found")
