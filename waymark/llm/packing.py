@@ -2,9 +2,9 @@
 
 Tokenised documents are cut into pieces of at most `capacity` tokens and the pieces are put into as few sequences as
 possible. Only the histogram of piece lengths (at most `capacity` rows, whatever the corpus size) reaches the driver.
-There, patterns of up to DEPTH length bins that fill a sequence exactly are enumerated, repeat counts are fitted to
-the binned histogram by non-negative least squares, rounded down, and what remains is packed best-fit by decreasing
-length, the gaps that patterns left included. The plan says "ranks a to b of length l go to sequences s, s+1, ... at
+There, patterns of up to DEPTH length bins that fill a sequence are enumerated, repeat counts are fitted to the binned
+histogram by non-negative least squares and rounded down, each repeat takes pieces of its bins that fill a sequence
+exactly, and what remains is packed best-fit by decreasing length. The plan says "ranks a to b of length l go to sequences s, s+1, ... at
 offset o"; a rank within its length turns each piece into its place without any further shuffle of tokens.
 """
 
@@ -27,12 +27,13 @@ CAPACITY = 4096
 END_ID = 1
 #: Length bins of the patterns, and documents in a pattern at most.
 BINS, DEPTH = 128, 4
-#: Tokens that a pattern's sequence may lack; best fit finds better places for the pieces of emptier ones.
-UNFILLED = 4
+#: Shares of the fitted repeats that are tried, best fit alone (0) last: bins are coarser than lengths, so the last few
+#: repeats of a pattern can take pieces that best fit would need. The plan of the fewest sequences counts.
+SHARES = (1.0, 0.5, 0.0)
 #: Words that a worker keeps the ids of; the table is emptied when full, which costs time and changes no result.
 MEMO = 1_200_000
 #: Pieces of a length that are ranked together in a task.
-RANKED = 500
+RANKED = 4000
 
 
 class WordTokenizer:
@@ -111,52 +112,105 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {id_type.simpleString()}, piece int, start long, length long, ids_crc32 long, uid long")
 
 
-def patterns(capacity_bins: int, depth: int) -> list[tuple[int, ...]]:
-    """All non-increasing tuples of 1 to depth bins that sum to capacity_bins."""
+def patterns(usable: list[int], whole: int, depth: int) -> np.ndarray:
+    """All non-increasing rows of 1 to depth of the usable bins that sum to whole, filled up with zeros."""
     found: list[tuple[int, ...]] = []
+    bins = sorted(usable)
+    last = set(bins)
 
     def grow(head: tuple[int, ...], rest: int, most: int) -> None:
-        if rest == 0:
-            found.append(head)
-        elif len(head) < depth:
-            for b in range(min(rest, most), (rest - 1) // (depth - len(head)), -1):
+        if rest <= most and rest in last:
+            found.append((*head, rest))
+        if len(head) + 1 < depth:
+            for b in bins[bisect_right(bins, (rest - 1) // (depth - len(head))) : bisect_right(bins, min(rest - 1, most))]:
                 grow((*head, b), rest - b, b)
 
-    grow((), capacity_bins, capacity_bins)
-    return found
-
-
-def fit_nnls(columns: list[tuple[int, ...]], target: np.ndarray, sweeps: int = 25) -> np.ndarray:
-    """Non-negative least squares by coordinate descent: repeat counts x that bring the patterns' bins near target."""
-    sparse = []
-    for column in columns:
-        bins, times = np.unique(column, return_counts=True)
-        sparse.append((bins.tolist(), times.tolist(), float(times @ times)))
-    rest, x = target.astype(float).tolist(), [0.0] * len(columns)
-    for _ in range(sweeps):
-        moved = 0.0
-        for j, (bins, times, norm) in enumerate(sparse):
-            step = sum(rest[b] * t for b, t in zip(bins, times)) / norm
-            step = max(step, -x[j])
-            if step:
-                x[j] += step
-                moved = max(moved, abs(step))
-                for b, t in zip(bins, times):
-                    rest[b] -= step * t
-        if moved < 0.5:
-            break
-    return np.array(x)
+    grow((), whole, whole)
+    return np.array([(*p, *[0] * (depth - len(p))) for p in found], np.int64).reshape(len(found), depth)
+
+
+def fit_nnls(columns: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative least squares by an active set: the patterns that repeat and their repeat counts.
+
+    Repeats bring the patterns' bins as near to target as they can: no pattern that is left out would come nearer.
+    Never more patterns repeat than there are bins.
+    """
+    size = len(target)
+    used, x, rest = np.zeros(0, np.int64), np.zeros(0), target.astype(float).copy()
+    rest[0] = 0.0  # the filling
+    near = 1e-9 * max(target.max(initial=0.0), 1.0)
+    banned: set[int] = set()
+
+    def matrix(chosen: np.ndarray) -> np.ndarray:
+        out = np.zeros((size, len(chosen)))
+        for k in range(columns.shape[1]):
+            np.add.at(out, (columns[chosen, k], np.arange(len(chosen))), 1.0)
+        out[0] = 0.0
+        return out
+
+    while True:
+        gain = rest[columns].sum(axis=1)
+        gain[used] = 0.0
+        gain[list(banned)] = 0.0
+        best = int(gain.argmax()) if len(gain) else 0
+        if not len(gain) or gain[best] <= near:
+            return used, x
+        used, x = np.append(used, best), np.append(x, 0.0)
+        while True:
+            own = matrix(used)
+            fitted = np.linalg.lstsq(own, target * (np.arange(size) > 0), rcond=None)[0]
+            if (fitted > near).all():
+                break
+            # Go towards the fit until the first pattern reaches zero, and leave that one out.
+            low = fitted <= near
+            step = np.min(x[low] / np.maximum(x[low] - fitted[low], 1e-300))
+            x = x + step * (fitted - x)
+            stay = ~(low & (x <= near))
+            if stay.all():
+                stay[np.flatnonzero(low)[0]] = False
+            if not stay[-1]:
+                banned.add(best)  # of no use to this set of patterns: rounding would offer it for ever
+            used, x = used[stay], x[stay]
+            if not len(used):
+                fitted = x
+                break
+        if best in used:
+            banned.clear()
+        x = fitted
+        rest = target - (matrix(used) @ x if len(used) else 0.0)
+        rest[0] = 0.0
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, bins: int = BINS, depth: int = DEPTH) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, end rank, sequence of the first rank, offset): a place for every piece of the histogram.
 
-    An empty histogram has an empty plan. The number of rows depends on the number of lengths and patterns, not on
-    the counts.
+    Never more sequences than best fit by itself. An empty histogram has an empty plan. The number of rows depends on the number of lengths
+    and patterns, not on the counts.
     """
-    bins = min(bins, capacity)
-    width = -(-capacity // bins)
+    width = -(-capacity // min(bins, capacity))
     whole = capacity // width
+    target = np.zeros(whole + 2)
+    for n, count in histogram.items():
+        target[min(-(-n // width), whole + 1)] += count
+    target[whole + 1] = 0
+    usable = patterns(np.flatnonzero(target).tolist(), whole, depth)
+    used, counts = fit_nnls(usable, target)
+    order = np.argsort(-counts, kind="stable")
+    fitted = [([b for b in usable[used[k]].tolist() if b], float(counts[k])) for k in order]
+    best: list[tuple[int, int, int, int, int]] = []
+    for share in SHARES:
+        places = _placed(histogram, capacity, width, [(pattern, int(count * share)) for pattern, count in fitted])
+        if not best or _sequences(places) < _sequences(best):
+            best = places
+    return best
+
+
+def _sequences(places: list[tuple[int, int, int, int, int]]) -> int:
+    return max((s + last - first for _, first, last, s, _ in places), default=0)
+
+
+def _placed(histogram: dict[int, int], capacity: int, width: int, repeated: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int]]:
+    """The plan by patterns of bins with their repeats, as far as they fill sequences exactly, and best fit for the rest."""
     taken: dict[int, int] = defaultdict(int)
     left = {n: c for n, c in histogram.items() if c}
     by_bin: dict[int, list[int]] = defaultdict(list)
@@ -178,41 +232,34 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, bins: int = BINS,
                 insort(sizes, gap)
             gaps[gap].append((sequence, count))
 
-    target = np.zeros(whole + 2)
-    for b, lengths in by_bin.items():
-        if b <= whole:
-            target[b] = sum(left[n] for n in lengths)
     lengths_left = sorted(left)
-    usable = [p for p in patterns(whole, depth) if all(target[b] for b in p)]
-    if usable:
-        for pattern, repeats in zip(usable, np.floor(fit_nnls(usable, target)).astype(int).tolist()):
-            while repeats > 0:
-                # Alternate the long and the short end of the bins; the last place takes the longest piece that fits.
-                chosen = []
-                for k, b in enumerate(pattern[:-1]):
-                    free = [n for n in by_bin[b] if left[n] > chosen.count(n)]
-                    if not free:
-                        break
-                    chosen.append(free[-1] if k % 2 == 0 else free[0])
-                if len(chosen) < len(pattern) - 1:
-                    break
-                room = capacity - sum(chosen)
-                at = bisect_right(lengths_left, room) - 1
-                while at >= 0 and left[lengths_left[at]] <= chosen.count(lengths_left[at]):
-                    if not left[lengths_left[at]]:
-                        lengths_left.pop(at)
-                    at -= 1
-                if at < 0 or room - lengths_left[at] > UNFILLED:
+    for pattern, repeats in repeated:
+        while repeats > 0:
+            # Alternate the long and the short end of the bins; the last place takes the longest piece that fits.
+            chosen = []
+            for nth, b in enumerate(pattern[:-1]):
+                free = [n for n in by_bin[b] if left[n] > chosen.count(n)]
+                if not free:
                     break
-                chosen.append(lengths_left[at])
-                run = min(repeats, *(left[n] // chosen.count(n) for n in chosen))
-                offset = 0
-                for n in chosen:
-                    put(n, run, sequences, offset)
-                    offset += n
-                leave(capacity - offset, sequences, run)
-                sequences += run
-                repeats -= run
+                chosen.append(free[-1] if nth % 2 == 0 else free[0])
+            if len(chosen) < len(pattern) - 1:
+                break
+            room = capacity - sum(chosen)
+            at = bisect_right(lengths_left, room) - 1
+            while at >= 0 and left[lengths_left[at]] <= chosen.count(lengths_left[at]):
+                if not left[lengths_left[at]]:
+                    lengths_left.pop(at)
+                at -= 1
+            if at < 0 or lengths_left[at] < room:
+                break
+            chosen.append(lengths_left[at])
+            run = min(repeats, *(left[n] // chosen.count(n) for n in chosen))
+            offset = 0
+            for n in chosen:
+                put(n, run, sequences, offset)
+                offset += n
+            sequences += run
+            repeats -= run
     for n in sorted(left, reverse=True):
         while left[n]:
             at = bisect_left(sizes, n)
