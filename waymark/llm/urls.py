@@ -1,25 +1,31 @@
 """URL filters: fixed host-and-path rules, and association rules mined from labelled pages.
 
-Spark's FP-growth finds combinations of URL tokens that go with a bad label; rules that pass the support, confidence
-and lift thresholds are kept. A page is matched through an inverted index: each rule is listed under its rarest token,
-so a URL looks up its own tokens and tests only the rules found there.
+Labels are those of the fixed rules and of a table. Spark's FP-growth finds the combinations
+of URL tokens that go with a bad verdict; those that pass the support, confidence and significance bounds are kept if
+each of their tokens raises the confidence. A page is matched through an inverted index: each rule is listed under its
+rarest token, so a URL looks up its own tokens and tests only the rules found there.
 """
 
 from __future__ import annotations
 
 import json
-from collections import defaultdict
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules as (verdict, host, path).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.5, 1.5
-#: Labelled pages that a rule must hold at least, so that in few labels a single page makes no rule.
-MIN_PAGES = 20
+#: A rule holds this share of the pages at least, and MIN_PAGES bad pages, so that a few pages make no rule.
+MIN_SUPPORT, MIN_PAGES = 0.002, 20
+#: Its confidence takes away at least this share of what the base rate leaves open, and lies so many standard errors
+#: (of a binomial count at the base rate) above it.
+MIN_GAIN, MIN_Z = 0.5, 4.0
+#: Rules that are looked up in the plan itself; more of them are a table that the pages' tokens join.
+RULES_HELD = 10_000
 BAD = "label=bad"
 
 
@@ -42,49 +48,81 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(of(host, "h:"), of(path, "p:"), of(query, "q:")))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_pages: int = MIN_PAGES) -> list[tuple[list[str], float, float, float]]:
-    """(tokens, confidence, lift, support) of the rules from url and bad (boolean); none with fewer than min_pages bad pages.
+def verdicts(rows: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """rows (page_id, url, ...) with host, path and best (size, rule, verdict): the longest fixed rule that fits, or null."""
+    host, path = host_and_path(F.col("url"))
+    rows = rows.withColumns({"host": host, "path": path})
+    if not rules:
+        return rows.withColumn("best", F.lit(None).cast("struct<size:int,rule:string,verdict:string>"))
+    given = F.array(*[F.struct(F.lit(len(h + p)).alias("size"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in rules])
+    fits = lambda r: ((F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"]))) & F.startswith(F.col("path"), r["path"])
+    return rows.withColumn("best", F.array_max(F.filter(given, fits)))
 
-    The rules are few whatever the input: every one holds at least the share min_support of the labelled pages.
-    """
-    n, n_bad = labelled.select(F.count("*"), F.count_if("bad")).first()
-    if n_bad < min_pages:
-        return []
-    items = labelled.select(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array())).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_pages / n), minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift))
-    return sorted((sorted(r["antecedent"]), r["confidence"], r["lift"], r["support"]) for r in rules.collect())
 
+def mine(known: DataFrame, min_support: float = MIN_SUPPORT, min_gain: float = MIN_GAIN, min_z: float = MIN_Z, min_pages: int = MIN_PAGES) -> DataFrame:
+    """tokens (sorted array), rarest (of them), confidence, lift, pages and bad of the rules from url and bad (boolean).
 
-def matches(found: Column, rules: list[list[str]], frequency: dict[str, int] | None = None) -> Column:
-    """Whether the tokens in the array column hold all tokens of a rule."""
-    if not rules:
-        return F.lit(False)
-    seen = frequency or {}
-    index: dict[str, list[list[str]]] = defaultdict(list)
-    for rule in rules:
-        index[min(rule, key=lambda t: (seen.get(t, 0), t))].append(rule)
-    inverted = F.from_json(F.lit(json.dumps(index)), "map<string,array<array<string>>>")
-    listed = F.flatten(F.transform(found, lambda t: F.coalesce(F.try_element_at(inverted, t), F.array().cast("array<array<string>>"))))
-    return F.exists(listed, lambda rule: F.size(F.array_except(rule, found)) == 0)
+    Of tokens that occur on exactly the same pages the first by name stands for all, as they would multiply every rule.
+    A rule is kept if it is more confident than the same rule without any one of its tokens. Item sets and rules stay on
+    the executors. No bad pages, or fewer than min_pages, give no rules.
+    """
+    spark, schema = known.sparkSession, "tokens array<string>, rarest string, confidence double, lift double, pages long, bad long"
+    pages = stored(known.select(tokens(F.col("url")).alias("tokens"), F.coalesce("bad", F.lit(False)).alias("bad")).withColumn("id", F.monotonically_increasing_id()), "mined-pages")
+    n, n_bad = pages.select(F.count("*"), F.count_if("bad")).first()
+    if n_bad < min_pages:
+        return spark.createDataFrame([], schema)
+    least, base = max(min_support, min_pages / n), n_bad / n
+    # At most (tokens of a URL) / min_support tokens are frequent, whatever the input.
+    held = pages.select("id", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("pages"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark"))
+    frequent = held.where(F.col("pages") >= least * n).groupBy("pages", "mark").agg(F.min("token").alias("token"))
+    count = {r["token"]: r["pages"] for r in frequent.select("token", "pages").collect()}
+    if not count:
+        return spark.createDataFrame([], schema)
+    items = F.concat(F.array_intersect("tokens", F.array(*map(F.lit, sorted(count)))), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array()))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=1.0).fit(pages.select(items.alias("items")))
+    sets = stored(model.freqItemsets.select(F.sort_array(F.array_remove("items", BAD)).alias("tokens"), F.array_contains("items", BAD).alias("with_bad"), "freq"), "item-sets")
+    both = sets.where("with_bad").select("tokens", F.col("freq").alias("bad")).join(sets.where(~F.col("with_bad")).select("tokens", F.col("freq").alias("pages")), "tokens")
+    every = both.where(F.size("tokens") > 0).withColumn("confidence", F.col("bad") / F.col("pages"))
+    spread = (n * base * (1 - base)) ** 0.5 if base < 1 else float("inf")
+    z = (F.col("bad") - F.col("pages") * base) / (F.sqrt(F.col("pages") / float(n)) * spread)
+    rules = every.where((F.col("confidence") >= base + min_gain * (1 - base)) & (z >= min_z))
+    # The rule without one of its tokens; every such rule with a bad page is among the frequent sets.
+    shorter = rules.select("tokens", "confidence", F.explode("tokens").alias("without")).select("tokens", "confidence", F.array_remove("tokens", F.col("without")).alias("rest")).where(F.size("rest") > 0)
+    idle = shorter.join(every.select(F.col("tokens").alias("rest"), F.col("confidence").alias("other")), "rest").where("other >= confidence").select("tokens").distinct()
+    rarest = F.array_min(F.transform("tokens", lambda t: F.struct(F.try_element_at(F.create_map(*[F.lit(x) for p in sorted(count.items()) for x in p]), t).alias("n"), t.alias("t"))))["t"]
+    return rules.join(idle, "tokens", "left_anti").select("tokens", rarest.alias("rarest"), "confidence", (F.col("confidence") / base).alias("lift"), F.col("pages").cast("long").alias("pages"), F.col("bad").cast("long").alias("bad"))
+
+
+def matches(rows: DataFrame, rules: DataFrame, held: int = RULES_HELD) -> DataFrame:
+    """rows (with url) and mined: whether the tokens of the url hold all tokens of a rule (tokens, rarest)."""
+    own = tokens(F.col("url"))
+    index = rules.groupBy("rarest").agg(F.collect_list("tokens").alias("listed"))
+    if rules.count() <= held:
+        inverted = {r["rarest"]: r["listed"] for r in index.collect()}
+        if not inverted:
+            return rows.withColumn("mined", F.lit(False))
+        listed = F.from_json(F.lit(json.dumps(inverted)), "map<string,array<array<string>>>")
+        found = F.flatten(F.transform(own, lambda t: F.coalesce(F.try_element_at(listed, t), F.array().cast("array<array<string>>"))))
+        return rows.withColumn("mined", F.coalesce(F.exists(found, lambda rule: F.size(F.array_except(rule, own)) == 0), F.lit(False)))
+    named = stored(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
+    asked = named.select("row", own.alias("own")).withColumn("token", F.explode("own"))
+    hit = asked.join(rules.select(F.col("rarest").alias("token"), "tokens"), "token").where(F.size(F.array_except("tokens", "own")) == 0).select("row").distinct().withColumn("mined", F.lit(True))
+    return named.join(hit, "row", "left").withColumn("mined", F.coalesce("mined", F.lit(False))).drop("row")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, **thresholds: float) -> DataFrame:
     """page_id, host, path, rule, verdict and mined (whether an association rule matches) for every row of pages.
 
     A fixed rule fits its host and all subdomains if the path starts with the rule's; of several the longest decides.
-    Without one, pages that an association rule matches are blocked and all others allowed. A page counts as bad if
-    its label (doc_id = page_id) has quality 0 or is toxic; null labels count as good, several labels of a page each
-    on their own. Null and repeated rows give a row each; empty labels mine no rules.
+    Without one, pages that an association rule matches are blocked and all others allowed. Rules are mined from all
+    pages: bad are those that a fixed rule blocks and, where none decides, those whose label (doc_id = page_id) has quality
+    0 or is toxic. Pages without a verdict or a label count as good, or else a combination would be judged by the part
+    of its pages that the fixed rules reach. Several labels of a page count each on their own. Null and repeated rows
+    give a row each; empty tables mine no rules. Other columns are not read.
     """
-    joined = pages.select("page_id", "url").join(labels.select(F.col("doc_id").alias("page_id"), "quality", "toxic"), "page_id")
-    bad = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))
-    mined = [r[0] for r in mine(joined.select("url", bad.alias("bad")), **thresholds)]
-    host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    given = F.array(*[F.struct(F.lit(len(h + p)).alias("size"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in rules])
-    fits = lambda r: ((F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"]))) & F.startswith(F.col("path"), r["path"])
-    rows = rows.withColumn("best", F.array_max(F.filter(given, fits)) if rules else F.lit(None).cast("struct<size:int,rule:string,verdict:string>"))
-    rows = rows.withColumn("mined", matches(tokens(F.col("url")), mined)).withColumn("mined", F.coalesce("mined", F.lit(False)))
+    rows = verdicts(pages.select("page_id", "url"), rules)
+    joined = rows.join(labels.select(F.col("doc_id").alias("page_id"), "quality", "toxic"), "page_id", "left")
+    known = joined.select("url", F.coalesce(F.col("best.verdict") == "block", (F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False)).alias("bad"))
+    rows = matches(rows, stored(mine(known, **thresholds), "rules"))
     verdict = F.coalesce("best.verdict", F.when(F.col("mined"), "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "mined")
