@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hot_keys, salted_join, stored, whole, wide_hash
 
 #: A line on this many sites is boilerplate.
 MIN_SITES = 10
@@ -22,25 +22,25 @@ WORD = r"[^\x20\x09-\x0D]"
 
 
 def lines_of(docs: DataFrame, site: str = "source") -> DataFrame:
-    """doc_id, row_key, line (from 0), line_hash, site of every line with a word."""
-    split = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.col(site).alias("site"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    return split.where(F.col("words").rlike(WORD)).select("doc_id", "row_key", "line", F.xxhash64("words").alias("line_hash"), "site")
+    """doc_id, row_key, line (from 0), line_key, site of every line with a word; the keys are 128-bit hashes."""
+    split = docs.select("doc_id", wide_hash("doc_id", "text").alias("row_key"), F.col(site).alias("site"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
+    return split.where(F.col("words").rlike(WORD)).select("doc_id", "row_key", "line", wide_hash("words").alias("line_key"), "site")
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """line_hash and its first occurrence (doc_id, row_key, line) of the lines on at least min_sites sites."""
-    spread = lines.groupBy("line_hash").agg(
+    """line_key, rows (its occurrences) and first (doc_id, row_key, line) of the lines on at least min_sites sites."""
+    spread = lines.groupBy("line_key").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("about"), F.count("site").alias("rows"), F.min(F.struct("doc_id", "row_key", "line")).alias("first")
     )
     # No line is on more sites than it has occurrences.
     likely = stored(spread.where((F.col("rows") >= min_sites) & (F.col("about") * (1 + MARGIN) >= min_sites)), "line-spread")
     sure = F.col("about") * (1 - MARGIN) >= min_sites
-    near = likely.where(~sure).select("line_hash")
+    near = likely.where(~sure).select("line_key")
     exact = (
-        lines.join(near, "line_hash", "left_semi").groupBy("line_hash", "site").agg(F.count("*").alias("_"))
-        .groupBy("line_hash").agg(F.count("site").alias("sites")).where(F.col("sites") >= min_sites)
+        lines.join(near, "line_key", "left_semi").groupBy("line_key", "site").agg(F.count("*").alias("n"))
+        .groupBy("line_key").agg(F.count("site").alias("sites")).where(F.col("sites") >= min_sites)
     )
-    return likely.where(sure).unionByName(likely.where(~sure).join(exact.select("line_hash"), "line_hash", "left_semi")).select("line_hash", "first")
+    return likely.where(sure).unionByName(likely.where(~sure).join(exact.select("line_key"), "line_key", "left_semi")).select("line_key", "rows", "first")
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
@@ -49,16 +49,16 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source
     Lines are what "\\n" separates; those without a word are never counted or removed. The first occurrence of a line
     is that of the smallest doc_id (null before all). Rows equal in doc_id and text are one document and lose the same
     lines. A null text stays null with no lines; a null site is no site. An empty table gives an empty result.
-    Columns of docs named n_lines or n_removed are replaced.
+    Columns of docs named n_lines or n_removed are replaced; all others stay as they are.
     """
+    docs = docs.drop("n_lines", "n_removed")
     lines = stored(lines_of(docs, site), "lines")
-    common = boilerplate(lines, min_sites)
-    again = lines.join(common, "line_hash").where(F.struct("doc_id", "row_key", "line") != F.col("first"))
-    gone = again.groupBy("row_key").agg(F.collect_set("line").alias("_gone"))
-    rows = docs.withColumn("row_key", F.xxhash64("doc_id", "text")).join(gone, "row_key", "left").drop("row_key")
-    parts = F.split("text", "\n")
-    left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    rows = rows.withColumn("n_lines", F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(WORD))), F.lit(0)).cast("long"))
-    rows = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    rows = rows.withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
-    return rows.withColumn("text", F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("text"))).drop("_gone")
+    common = stored(boilerplate(lines, min_sites), "boilerplate")
+    again = salted_join(lines.drop("site"), common.drop("rows"), "line_key", hot_keys(common, "line_key", "rows")).where(F.struct("doc_id", "row_key", "line") != F.col("first"))
+    gone = again.groupBy("row_key").agg(F.collect_set("line").alias("gone"))
+    rows = docs.select(whole(docs).alias("doc"), wide_hash("doc_id", "text").alias("row_key")).join(gone, "row_key", "left")
+    text, own = F.col("doc.text"), F.split("doc.text", "\n")
+    left = F.array_join(F.filter(own, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    count = lambda x: F.greatest(F.coalesce(F.size(x), F.lit(0)), F.lit(0)).cast("long")
+    columns = [F.when(F.col("gone").isNotNull(), left).otherwise(text).alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns]
+    return rows.select(*columns, count(F.filter(own, lambda x: x.rlike(WORD))).alias("n_lines"), count(F.col("gone")).alias("n_removed"))

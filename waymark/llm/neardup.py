@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, stored
+from .common import LOWER, hot_keys, salted_join, stored, whole, wide_hash
 from .graph import connected_components
 
 #: Words in a shingle and the least similarity in per cent.
@@ -35,8 +35,6 @@ BANDS, ROWS = 32, 4
 SAMPLES, BITS, SLACK = 256, 1024, 0.15
 #: Members of a bucket that are compared with each other in one block.
 BLOCK = 256
-#: Documents up to which the keys of those to look at again are broadcast (8 bytes each).
-FEW = 500_000
 #: Words that a worker keeps the hash of; emptied when full.
 MEMO = 1_000_000
 
@@ -117,15 +115,15 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             arrays = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *[pa.array(c, t) for c, t in zip(rest, kinds)]]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_key", "n_shingles", "set_id", "bands", "sketch"])
 
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, row_key long, n_shingles long, set_id long, bands array<long>, sketch array<long>")
+    rows = docs.select("doc_id", wide_hash("doc_id", "text").alias("row_key"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, row_key struct<a:long,b:long>, n_shingles long, set_id long, bands array<long>, sketch array<long>")
 
 
-def _differing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs (a, b and further columns) with the number of differing bits."""
+def _differing(pairs: DataFrame, classes: DataFrame, hot: DataFrame) -> DataFrame:
+    """pairs (a, b and further columns) with the number of differing bits; hot are the set_ids of very many pairs."""
     kept = pairs.columns
     for side in "ab":
-        pairs = pairs.join(classes.select(F.col("set_id").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+        pairs = salted_join(pairs, classes.select(F.col("set_id").alias(side), F.col("sketch").alias(f"sketch_{side}")), side, hot)
     bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return pairs.select(*kept, bits.alias("differ"))
 
@@ -133,8 +131,7 @@ def _differing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """set_id and shingles (array<long>) of the wanted set_ids, made anew from one text of each class."""
     ends = stored(wanted.join(classes.select("set_id", "row_key"), "set_id"), "ends")
-    few = ends.count() <= FEW
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(F.broadcast(ends) if few else ends, "row_key")
+    rows = docs.select(wide_hash("doc_id", "text").alias("row_key"), "text").join(ends, "row_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,10 +141,10 @@ def _full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, words: in
     return stored(rows.select("set_id", "text").mapInArrow(run, "set_id long, shingles array<long>").dropDuplicates(["set_id"]), "sets")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
     for side in "ab":
-        pairs = pairs.join(sets.select(F.col("set_id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
+        pairs = salted_join(pairs, sets.select(F.col("set_id").alias(side), F.col("shingles").alias(f"set_{side}")), side, hot)
     both = pairs.select("a", "b", F.size("set_a").alias("m"), F.size("set_b").alias("n"), F.size(F.array_intersect("set_a", "set_b")).alias("shared"))
     return both.where(100 * F.col("shared") >= percent * (F.col("m") + F.col("n") - F.col("shared"))).select("a", "b")
 
@@ -199,12 +196,13 @@ def _near(block: pd.DataFrame, limit: int) -> np.ndarray:
 
 
 def _shared(sets: list[np.ndarray], pairs: np.ndarray, columns: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of pairs of sets, by products of membership matrices over slices of their elements."""
+    """Sizes of the intersections of pairs of sets, by products of membership matrices over slices of their elements: a
+    slice's counts are small enough for single precision, their sums are kept in double."""
     elements, place = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     order = np.argsort(place, kind="stable")
     place, row = place[order], row[order]
-    counts = np.zeros((len(sets), len(sets)), np.float32)
+    counts = np.zeros((len(sets), len(sets)))
     for low in range(0, len(elements), columns):
         cut = slice(*np.searchsorted(place, [low, low + columns]))
         held = np.zeros((len(sets), columns), np.float32)
@@ -273,15 +271,17 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.col("set_id").bitwiseXOR(F.col("bucket"))).alias("head")).where("size > 1")
         .select("bucket", "size", F.col("head").bitwiseXOR(F.col("bucket")).alias("head")), "buckets"
     )
-    members = stored(buckets.join(crowded, "bucket"), "members")
+    hot = hot_keys(crowded, "bucket", "size")
+    members = stored(salted_join(buckets, crowded, "bucket", hot), "members")
+    heads = crowded.join(F.broadcast(hot), "bucket", "left_semi").select("head")
     stars = members.where(F.col("set_id") != F.col("head")).groupBy(F.least("set_id", "head").alias("a"), F.greatest("set_id", "head").alias("b")).agg(F.min("size").alias("size"))
-    stars = stored(_differing(stars, classes).where(F.col("differ") <= limit), "pairs")
+    stars = stored(_differing(stars, classes, heads).where(F.col("differ") <= limit), "pairs")
     sets_of = lambda wanted: _full_sets(wanted, docs, classes, words)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         fresh = stored(pairs.select("a", "b").distinct(), "pairs")
         ends = fresh.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        return stored(_confirmed(fresh, sets_of(ends), percent), "links")
+        return stored(_confirmed(fresh, sets_of(ends), percent, heads), "links")
 
     # First each member's nearest star pair.
     ends = stars.select("a", "b", "differ", F.explode(F.array("a", "b")).alias("end"))
@@ -308,5 +308,5 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without the rows that components() does not keep; all columns and other rows as they were."""
-    kept = components(docs, words, percent).where("kept").select(F.col("row_key").alias("_key")).distinct()
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(kept, "_key", "left_semi").drop("_key")
+    kept = components(docs, words, percent).where("kept").select("row_key").distinct()
+    return docs.select(whole(docs).alias("doc"), wide_hash("doc_id", "text").alias("row_key")).join(kept, "row_key", "left_semi").select("doc.*")

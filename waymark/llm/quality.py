@@ -1,7 +1,7 @@
 """Quality rules: how far a document's histograms lie from those of its language.
 
 Each document has a histogram of character classes and one of its language's common words. References are the summed
-histograms of all documents of a language; the Jensen-Shannon distance (base 2, from 0 to 1) between document and
+histograms of all documents of a language that pass the base rules; the Jensen-Shannon distance (base 2, from 0 to 1) between document and
 reference decides, for documents long enough that a distance means something. DataFrame functions only.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored
+from .common import SPACE, stored, whole
 
 #: The most common words of each language that has a reference.
 COMMON_WORDS = {
@@ -92,24 +92,36 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total(terms), F.lit(0.0)) / (2 * F.ln(F.lit(2.0))))
 
 
+def _judged(rows: DataFrame, min_words: int, max_repeated: int, max_class: float, max_word: float) -> DataFrame:
+    """Stored rows of features() with base_failed, class_distance, word_distance and kept."""
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words"))
+    refs = rows.where(F.col("lang").isin(*COMMON_WORDS) & ~failed).groupBy("lang").agg(_reference(rows, "class_counts", len(CLASSES)), _reference(rows, "word_counts", N_COMMON + 1))
+    # One row per language of COMMON_WORDS, however large the corpus.
+    rows = rows.join(F.broadcast(refs), "lang", "left")
+    rows = rows.withColumn("class_distance", js_distance(F.col("class_counts"), F.col("_ref_class_counts")))
+    rows = rows.withColumn("word_distance", js_distance(F.col("word_counts"), F.col("_ref_word_counts")))
+    allowed = F.greatest(F.lit(max_word), SCATTER[0] + SCATTER[1] / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))))
+    far = F.coalesce((F.col("class_distance") > max_class) | (F.col("word_distance") > allowed), F.lit(False))
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
+
+
 def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """doc_id, the base features, base_failed, class_distance, word_distance and kept for every row of docs.
 
     base_failed: fewer than min_words words, or more than max_repeated per cent of them in repeated three-word
     windows. kept is false for those, and for documents whose distance exceeds max_class or max_word. A document in a
-    language without a reference (null included) has null distances and is judged by the base rules alone. Repeated
-    rows and null doc_ids give a row each; an empty table gives an empty result.
+    language without a reference (null included, or no document of it passes the base rules) has null distances and is
+    judged by the base rules alone. Repeated rows and null doc_ids give a row each; an empty table gives an empty result.
+    Other columns than doc_id, text and lang are not read.
     """
     rows = stored(features(docs.select("doc_id", "text", "lang")).drop("text"), "quality")
-    refs = rows.where(F.col("lang").isin(*COMMON_WORDS)).groupBy("lang").agg(_reference(rows, "class_counts", len(CLASSES)), _reference(rows, "word_counts", N_COMMON + 1))
-    # One row per language of COMMON_WORDS, however large the corpus.
-    rows = rows.join(F.broadcast(refs), "lang", "left")
-    rows = rows.withColumn("class_distance", js_distance(F.col("class_counts"), F.col("_ref_class_counts")))
-    rows = rows.withColumn("word_distance", js_distance(F.col("word_counts"), F.col("_ref_word_counts")))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words"))
-    allowed = F.greatest(F.lit(max_word), SCATTER[0] + SCATTER[1] / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))))
-    far = F.coalesce((F.col("class_distance") > max_class) | (F.col("word_distance") > allowed), F.lit(False))
-    rows = rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
+    rows = _judged(rows, min_words, max_repeated, max_class, max_word)
     for name in ("class_distance", "word_distance"):
         rows = rows.withColumn(name, F.round(name, 9))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
+
+
+def keep_documents(docs: DataFrame, min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns; the text rides along, so nothing is joined back."""
+    rows = stored(features(docs.select("text", "lang", whole(docs).alias("doc"))).drop("text"), "quality")
+    return _judged(rows, min_words, max_repeated, max_class, max_word).where("kept").select("doc.*")

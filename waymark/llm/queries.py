@@ -31,10 +31,21 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def shard_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5_sharding without the checksum, which DuckDB lacks."""
+    return sharding.shard(table(spark, sf_dir, "documents")).select("doc_id", "size", "shard", "slot")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fixed rules alone say, which SQL can express."""
+    rows = urls.verdicts(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return rows.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -45,7 +56,7 @@ def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise_documents(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_found", "kinds")
+    return pii.pseudonymise_documents(table(spark, sf_dir, "documents"), pii.session_key(spark)).select("doc_id", "text", "n_found", "kinds")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +64,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_top_k, op3_near_dedup, op4_packing, op5_sharding, op6_url_filters, op7_quality, op8_ctw, op9_pii, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_top_k, op3_near_dedup, op4_packing, op5_sharding, op6_url_filters, op7_quality, op8_ctw, op9_pii, op10_bpe, url_rules, shard_places)}
 
 _OP1 = f"""
 WITH lines AS (
@@ -88,6 +99,21 @@ FROM scored QUALIFY rank <= {topk.K}
 """
 
 
+_FITS = [(v, h + p, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')") for v, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))]
+_URLS = f"""
+SELECT page_id, host, path, CASE {' '.join(f"WHEN {fits} THEN '{rule}'" for _, rule, fits in _FITS)} END AS rule, CASE {' '.join(f"WHEN {fits} THEN '{v}'" for v, _, fits in _FITS)} END AS verdict
+FROM (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{urls.UPPER}', '{urls.SMALL}'), '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+"""
+
+
+_SHARDS = f"""
+SELECT doc_id, size, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size) - 1 AS slot
+FROM (
+  SELECT doc_id, size, floor((sum(size) OVER (ORDER BY doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size) * {sharding.SHARDS} / (sum(size) OVER ())::DOUBLE)::INTEGER AS shard
+  FROM (SELECT doc_id, (strlen(coalesce(text, '')) + {sharding.OVERHEAD})::BIGINT AS size FROM documents))
+"""
+
+
 def _common_words() -> str:
     return "CASE lang " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in quality.COMMON_WORDS.items()) + " ELSE []::VARCHAR[] END"
 
@@ -121,7 +147,7 @@ h AS (SELECT *, CASE WHEN len(cw) > 0 THEN list_append(found, n_words - list_sum
 r AS (
   SELECT lang, [{', '.join(f'sum(cc[{i + 1}])' for i in range(len(quality.CLASSES)))}] AS rc,
     [{', '.join(f'sum(wc[{i + 1}])' for i in range(quality.N_COMMON + 1))}] AS rw
-  FROM h WHERE wc IS NOT NULL GROUP BY lang),
+  FROM h WHERE wc IS NOT NULL AND NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words) GROUP BY lang),
 s AS (
   SELECT h.*, {{js:cc:rc}} AS class_distance, {{js:wc:rw}} AS word_distance FROM h LEFT JOIN r USING (lang)),
 v AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words AS base_failed FROM s)
@@ -142,4 +168,4 @@ def _js(p: str, q: str) -> str:
 
 _OP7 = _OP7.replace("{js:cc:rc}", _js("cc", "rc")).replace("{js:wc:rw}", _js("wc", "rw"))
 
-ORACLE_SQL = {"op1_line_dedup": _OP1, "op2_top_k": _OP2, "op7_quality": _OP7}
+ORACLE_SQL = {"op1_line_dedup": _OP1, "op2_top_k": _OP2, "op7_quality": _OP7, "url_rules": _URLS, "shard_places": _SHARDS}
