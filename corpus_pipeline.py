@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, pseudonyms and packing, one after the other."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, pseudonyms and packing, one after the other.
+
+Stages read and return the columns of documents; further columns are left behind. Each stage treats repeated rows as
+its operator does: rows equal in id and text are judged, shortened, kept and replaced alike, and of rows with one doc_id
+near-dedup judges each by its own text. A null doc_id is a document of its own; null texts leave in the first stage. Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
@@ -18,10 +23,9 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality rules reject; the rest as they were."""
-    judged = quality.judge(docs.withColumn("doc_id", F.xxhash64("doc_id", "text")))
-    kept = judged.where("kept").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(kept, "_key", "left_semi").select(*COLUMNS)
+    """Without the documents that the quality rules reject, those without words (null texts) among them; the rest as
+    they were."""
+    return quality.keep_documents(docs).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced."""
-    return _documents(pii.pseudonymise_documents(docs))
+    return _documents(pii.pseudonymise_documents(docs, pii.session_key(spark)))
 
 
 def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
