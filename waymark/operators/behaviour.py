@@ -57,7 +57,9 @@ def timing_features(roster: DataFrame, submissions: DataFrame, assessments: Data
 
 def cohort_features(events: DataFrame, weeks: list[int]) -> DataFrame:
     """Share rank and z-score of clicks, days and sites among the active learners of the presentation."""
-    base = at_landmarks(events, weeks, "date").groupBy(*KEY, "snapshot_week").agg(F.sum("sum_click").alias("clicks"), F.countDistinct("date").alias("days"), F.countDistinct("id_site").alias("sites"))
+    # Clicks are summed by day and site before landmarks multiply the rows.
+    daily = events.where((F.col("date") >= 0) & (F.col("date") < 7 * max(weeks))).groupBy(*KEY, "id_site", "date").agg(F.sum("sum_click").alias("sum_click"))
+    base = at_landmarks(daily, weeks, "date").groupBy(*KEY, "snapshot_week").agg(F.sum("sum_click").alias("clicks"), F.countDistinct("date").alias("days"), F.countDistinct("id_site").alias("sites"))
     by = [*PRESENTATION, "snapshot_week"]
     columns = []
     for name in ("clicks", "days", "sites"):

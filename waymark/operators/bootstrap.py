@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from waymark.operators.metrics import EDGES, METRICS, cell_metrics, threshold_counts
 
 AA, VV, AV, VA = "activity_conditioned", "cutoff_valid", "activity_to_cutoff_valid", "cutoff_valid_to_activity"
-#: Contrasts as weights of the cells AA, AV, VA, VV.
+#: Contrasts as weights of the cells AA, AV, VA, VV.
 CONTRASTS = {
     "joint_population_difference": (1.0, 0.0, 0.0, -1.0),
     "evaluation_population_component": (1.0, -1.0, 0.0, 0.0),
@@ -141,9 +141,9 @@ def distortion(predictions: DataFrame, draws: DataFrame, reference: str = VV) ->
 
 def contrast_values(rows: DataFrame, keys: list[str]) -> DataFrame:
     """contrast and value per cell from protocol, metric and value; cells without all four protocols are left out."""
-    wide = rows.where(F.col("protocol").isin(*CELLS)).groupBy(*keys, "metric").pivot("protocol", list(CELLS)).agg(F.first("value"))
-    present = rows.where(F.col("protocol").isin(*CELLS)).groupBy(*keys, "metric").agg(F.countDistinct("protocol").alias("_n"))
-    wide = wide.join(present.where("_n = 4").drop("_n"), [*keys, "metric"])
+    of = lambda cell, value: F.max(F.when(F.col("protocol") == cell, value))
+    wide = rows.where(F.col("protocol").isin(*CELLS)).groupBy(*keys, "metric").agg(*[of(c, F.col("value")).alias(c) for c in CELLS], *[of(c, F.lit(True)).alias(f"has_{c}") for c in CELLS])
+    wide = wide.where(" AND ".join(f"has_{c}" for c in CELLS))
     each = []
     for name, weights in CONTRASTS.items():
         value: Column = F.lit(0.0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions.columns import KEY, average_rank, correlation, finite
 from waymark.operators.bootstrap import AA, AV, VA, VV
 from waymark.operators.metrics import METRICS, cell_metrics
+from waymark.sources.scratch import stored
 
 CELL = ["dataset", "week", "model"]
 BUDGETS = [0.01, 0.05, 0.10, 0.20]
@@ -25,10 +26,9 @@ def capacities(reference: DataFrame, budgets: list[float], by: list[str] = CELL)
 
 def select_at_budget(scored: DataFrame, capacity: DataFrame, by: list[str] = CELL, arm: str = "protocol") -> DataFrame:
     """The riskiest of each cluster up to its capacity; equal risks in the order of KEY. Other clusters select none."""
-    order = [F.desc("risk_score"), *KEY]
-    rows = scored.join(capacity, [*by, "cluster_id"])
-    nth = F.row_number().over(Window.partitionBy(*by, arm, "budget", "cluster_id").orderBy(*order))
-    return rows.withColumn("nth", nth).where("nth <= capacity").drop("nth", "capacity")
+    # The order does not depend on the budget: rows are ranked once, and then meet only the budgets that reach them.
+    nth = F.row_number().over(Window.partitionBy(*by, arm, "cluster_id").orderBy(F.desc("risk_score"), *KEY))
+    return scored.withColumn("nth", nth).join(capacity, [*by, "cluster_id"]).where("nth <= capacity").drop("nth", "capacity")
 
 
 def budget_table(predictions: DataFrame, budgets: list[float] = BUDGETS, reference: str = VV) -> tuple[DataFrame, DataFrame]:
@@ -36,13 +36,14 @@ def budget_table(predictions: DataFrame, budgets: list[float] = BUDGETS, referen
 
     Capacity comes from the reference population under every protocol; actionable_precision divides by all flagged.
     """
-    ref = predictions.where(F.col("protocol") == reference)
-    chosen = select_at_budget(predictions, capacities(ref, budgets))
-    valid = ref.select(*CELL, *KEY).distinct().withColumn("in_reference", F.lit(True))
-    flag = lambda rows: rows.join(valid, [*CELL, *KEY], "left").withColumn("in_reference", F.coalesce("in_reference", F.lit(False)))
-    everyone = flag(predictions).groupBy(*CELL, "protocol").agg(F.count(F.lit(1)).alias("n_candidates"), F.count_if("in_reference").alias("n_actionable_candidates"), F.sum("risk").alias("risks"))
+    # Whether an enrolment of a cell is in the reference population is one maximum over its rows.
+    own = F.coalesce(F.max(F.col("protocol") == reference).over(Window.partitionBy(*CELL, *KEY)), F.lit(False))
+    marked = stored(predictions.select(*CELL, "protocol", *KEY, "cluster_id", "risk", "risk_score").withColumn("in_reference", own), "marked")
+    ref = marked.where(F.col("protocol") == reference)
+    chosen = stored(select_at_budget(marked, capacities(ref, budgets)), "selected")
+    everyone = marked.groupBy(*CELL, "protocol").agg(F.count(F.lit(1)).alias("n_candidates"), F.count_if("in_reference").alias("n_actionable_candidates"), F.sum("risk").alias("risks"))
     totals = ref.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_reference"), F.sum("risk").alias("reference_risks"))
-    flagged = flag(chosen).groupBy(*CELL, "protocol", "budget").agg(
+    flagged = chosen.groupBy(*CELL, "protocol", "budget").agg(
         F.count(F.lit(1)).alias("n_flagged"), F.count_if("in_reference").alias("n_actionable_flagged"), F.sum("risk").alias("caught"), F.sum(F.when(F.col("in_reference"), F.col("risk")).otherwise(0)).alias("reached")
     )
     rows = everyone.join(totals, CELL).withColumn("budget", F.explode(F.array(*map(F.lit, budgets)))).join(flagged, [*CELL, "protocol", "budget"], "left")
@@ -57,25 +58,32 @@ def budget_table(predictions: DataFrame, budgets: list[float] = BUDGETS, referen
     return table, chosen.select(*KEY, "cluster_id", "risk", "risk_score", *CELL, "protocol", "budget")
 
 
-def _overlap(flags: DataFrame, by: list[str]) -> DataFrame:
-    """jaccard, intersection and union from one row per member with left and right."""
+def _overlap(flags: DataFrame, by: list[str], counts: Column | None = None) -> DataFrame:
+    """jaccard, intersection and union from one row per member with left and right, of the comparisons that count."""
     both, either = F.count_if(F.col("left") & F.col("right")), F.count_if(F.col("left") | F.col("right"))
-    return flags.groupBy(*by).agg(both.alias("intersection"), either.alias("union")).withColumn("jaccard", ratio(F.col("intersection"), F.nullif(F.col("union"), F.lit(0))))
+    rows = flags.groupBy(*by).agg(both.alias("intersection"), either.alias("union"), (F.lit(True) if counts is None else counts).alias("there"))
+    return rows.where("there").drop("there").withColumn("jaccard", ratio(F.col("intersection"), F.nullif(F.col("union"), F.lit(0))))
 
 
 def overlap_table(selections: DataFrame, reference: str = VV, dataset_with_cross: str = "oulab") -> DataFrame:
     """Jaccard agreement of selections: with the reference, across evaluation populations, and from landmark to landmark."""
     own = ["dataset", "week", "model", "budget"]
-    arms = selections.select(*own, "protocol").distinct()
-    pairs = arms.where(F.col("protocol") != reference).select(*own, F.lit("protocol").alias("comparison_type"), "protocol", F.lit(reference).alias("reference_protocol"))
-    for left, right in ((AA, AV), (VV, VA)):
-        there = arms.where((F.col("protocol") == left) & (F.col("dataset") == dataset_with_cross)).join(arms.where(F.col("protocol") == right).select(*own), own, "left_semi")
-        pairs = pairs.unionByName(there.select(*own, F.lit("evaluation_population").alias("comparison_type"), "protocol", F.lit(right).alias("reference_protocol")))
+    selections = selections.select(*own, "protocol", *KEY)
+    arms = sorted(r[0] for r in selections.select("protocol").distinct().collect())  # a handful
+    pairs = [("protocol", arm, reference) for arm in arms if arm != reference] + [("evaluation_population", AA, AV), ("evaluation_population", VV, VA)]
+    # Each row goes only to the comparisons that its own arm takes part in.
+    part = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(kind).alias("comparison_type"), F.lit(a).alias("protocol"), F.lit(b).alias("reference_protocol"), (F.col("protocol") == a).alias("left"), (F.col("protocol") == b).alias("right"))
+                for kind, a, b in pairs
+            ]
+        )
+    )
+    sides = selections.select(*own, *KEY, part.alias("p")).select(*own, *KEY, "p.*").where((F.col("left") | F.col("right")) & ((F.col("comparison_type") == "protocol") | (F.col("dataset") == dataset_with_cross)))
     by = ["comparison_type", *own, "protocol", "reference_protocol"]
-    members = selections.select(*own, F.col("protocol").alias("arm"), *KEY)
-    sides = pairs.join(members, own).where((F.col("arm") == F.col("protocol")) | (F.col("arm") == F.col("reference_protocol")))
-    flags = sides.groupBy(*by, *KEY).agg(F.bool_or(F.col("arm") == F.col("protocol")).alias("left"), F.bool_or(F.col("arm") == F.col("reference_protocol")).alias("right"))
-    here = _overlap(flags, by).withColumn("week_from", F.col("week")).withColumn("week_to", F.col("week")).drop("week")
+    flags = sides.groupBy(*by, *KEY).agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right"))
+    here = _overlap(flags, by, F.bool_or("left") & ((F.col("comparison_type") == "protocol") | F.bool_or("right"))).withColumn("week_from", F.col("week")).withColumn("week_to", F.col("week")).drop("week")
     series = ["dataset", "protocol", "model", "budget"]
     weeks = selections.select(*series, "week").distinct()
     steps = weeks.withColumn("week_to", F.lead("week").over(Window.partitionBy(*series).orderBy("week"))).where("week_to IS NOT NULL").withColumnRenamed("week", "week_from")

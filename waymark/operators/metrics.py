@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 METRICS = ["auc", "pr_auc_risk", "brier", "ece"]
 #: The inner edges of ten equal bins as doubles; 0.3, 0.6 and 0.7 are the products of 0.1 as computed.
 EDGES = [0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9]
+#: The columns of a scored panel.
 PANEL = ["dataset", "week", "protocol", "train_protocol", "eval_protocol", "model", "id_student", "code_module", "code_presentation", "y", "risk", "has_activity", "no_activity", "outcome_realized", "cutoff_valid", "membership_class", "cluster_id", "cluster_unit"]
-#: Cells whose training and evaluation populations differ.
+#: Slices of the risk from 0 to 1 that a cell's thresholds are dealt to.
+SLICES = 64
+#: Cells whose training and evaluation populations differ.
 CROSS = {"activity_to_cutoff_valid": ("activity_conditioned", "cutoff_valid"), "cutoff_valid_to_activity": ("cutoff_valid", "activity_conditioned")}
 
 
@@ -42,12 +45,19 @@ def threshold_counts(scored: DataFrame, keys: list[str], cluster: str | None = N
 
 def metrics_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     """n and the four metrics per cell from counts of distinct thresholds; null where a cell holds one class only."""
-    cell = Window.partitionBy(*keys)
-    rows = counts.withColumn("n", F.col("s") + F.col("f")).withColumn("r", 1 - F.col("p"))
-    rising = cell.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = counts.withColumn("n", F.col("s") + F.col("f")).withColumn("r", 1 - F.col("p")).where("n > 0")
+    # A cell's thresholds are cut into slices of the risk, each sorted by a task of its own; what lies in riskier slices
+    # is added from the slices' totals. Peers in r are in one slice.
+    rows = rows.withColumn("slice", F.floor(F.col("r") * SLICES))
+    riskier = Window.partitionBy(*keys).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(riskier), F.lit(0))
+    totals = rows.groupBy(*keys, "slice").agg(F.sum("f").alias("f"), F.sum("n").alias("n")).select(*keys, "slice", before("f").alias("f_before"), before("n").alias("n_before"))
+    rows = rows.join(totals, [*keys, "slice"])
+    inside = Window.partitionBy(*keys, "slice")
+    rising = inside.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Peers in r share a threshold of the risk ranking: the default frame takes them together.
-    falling = cell.orderBy(F.desc("r"))
-    rows = rows.withColumn("below", F.sum("f").over(rising) - F.col("f")).withColumn("caught", F.sum("f").over(falling)).withColumn("flagged", F.sum("n").over(falling))
+    falling = inside.orderBy(F.desc("r"))
+    rows = rows.withColumn("below", F.col("f_before") + F.sum("f").over(rising) - F.col("f")).withColumn("caught", F.col("f_before") + F.sum("f").over(falling)).withColumn("flagged", F.col("n_before") + F.sum("n").over(falling))
     successes, failures, n = F.sum("s"), F.sum("f"), F.sum("n")
     off = F.col("s") - F.col("n") * F.col("p")
     place = F.size(F.filter(F.array(*map(F.lit, EDGES)), lambda e: e <= F.col("p")))
@@ -61,7 +71,7 @@ def metrics_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
         "brier": F.sum(F.col("s") * (1 - F.col("p")) * (1 - F.col("p")) + F.col("f") * F.col("p") * F.col("p")) / n,
         "ece": ece / n,
     }
-    return rows.where("n > 0").groupBy(*keys).agg(n.alias("n"), *[F.when(both, c).alias(k) for k, c in columns.items()])
+    return rows.groupBy(*keys).agg(n.alias("n"), *[F.when(both, c).alias(k) for k, c in columns.items()])
 
 
 def cell_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:

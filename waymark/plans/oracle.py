@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from waymark.operators.bootstrap import CELLS, CONTRASTS
 from waymark.operators.metrics import EDGES, METRICS
 from waymark.sources.fixtures import WEEKS
@@ -126,9 +128,11 @@ tagg AS (
 tdue AS (SELECT code_module, code_presentation, w AS snapshot_week, count(*) AS due, sum(weight) AS due_weight FROM assess JOIN wk ON due < 7 * w GROUP BY ALL)"""
 
 ORACLE_SQL: dict[str, str] = {}
+_BODIES: dict[str, str] = {}
 
 
 def _add(name: str, body: str, *ctes: str) -> None:
+    _BODIES[name] = body
     ORACLE_SQL[name] = "WITH " + ",".join([_BASE, *ctes]) + "\n" + body
 
 
@@ -195,10 +199,8 @@ def _cohort(x: str) -> str:
 
 
 _add("A13_cohort_features", f"SELECT {K}, snapshot_week, {_cohort('clicks')}, {_cohort('days')}, {_cohort('sites')} FROM cbase", _TRAV, _COHORT)
-_add(
-    "R3_behavioural_features",
-    """SELECT w AS snapshot_week, (SELECT count(*) FROM roster) AS n, count(DISTINCT id_student) AS n_gap, (SELECT count(*) FROM roster) AS n_time, count(DISTINCT id_student) AS n_cohort FROM vle JOIN wk ON date >= 0 AND date < 7 * w GROUP BY w""",
-)
+_ON = f"USING ({K}, snapshot_week)"
+_add("R3_behavioural_features", f"SELECT * FROM ({_BODIES['A9_gap_features']}) FULL JOIN ({_BODIES['A11_timing_features']}) {_ON} FULL JOIN ({_BODIES['A13_cohort_features']}) {_ON}", _TIMING, _TRAV, _COHORT)
 _add("A14_canonical_order", "SELECT code_module, code_presentation, id_site, d AS canonical_day, k AS canonical_rank, round(pos, 7) AS canonical_norm FROM nm WHERE snapshot_week = 16", _TRAV)
 _add(
     "A15_traversal_features",
@@ -365,6 +367,124 @@ FROM (SELECT *, lag(m) OVER (PARTITION BY id_student ORDER BY week_index) AS pm2
 
 _add("R1_chain_features", _chain("grid2", True), _PANEL, _CHAIN)
 _add("R1_chain_none", _chain("grid0", False), _PANEL, _CHAIN)
-ORACLE_SQL["V1_validate_weekly"] = "SELECT 0::BIGINT AS id_student, '' AS code_module, '' AS code_presentation, 0 AS week_index, 0.0::DOUBLE AS expected_clicks, true AS in_expected, 0.0::DOUBLE AS actual_clicks, true AS in_actual WHERE false"
-ORACLE_SQL["U4_equal_sets"] = "SELECT 0::BIGINT AS id_student, '' AS code_module, '' AS code_presentation, '' AS side WHERE false"
+
+def _weekly_differences(days_later: int) -> str:
+    again = f"SELECT {K}, ((date + {days_later}) // 7 + 1)::INT AS week_index, sum(sum_click)::DOUBLE AS actual_clicks, count(DISTINCT date)::DOUBLE AS actual_days, true AS in_actual FROM vle WHERE date >= 0 GROUP BY ALL"
+    return f"""SELECT * FROM (SELECT {K}, week_index, clicks_total::DOUBLE AS expected_clicks, active_days::DOUBLE AS expected_days, true AS in_expected FROM vlew) FULL JOIN ({again}) USING ({K}, week_index)
+WHERE expected_clicks IS DISTINCT FROM actual_clicks OR expected_days IS DISTINCT FROM actual_days"""
+
+
+_add("V1_validate_weekly", _weekly_differences(0), _PANEL)
+_add("V1_weeks_a_day_late", _weekly_differences(1), _PANEL)
+_add(
+    "U4_equal_sets",
+    f"""SELECT {K}, CASE WHEN bool_or(v) THEN 'left' ELSE 'right' END AS side
+FROM (SELECT {K}, clicks_total IS NOT NULL AS v, assess_attempts IS NOT NULL AS a FROM panel) GROUP BY {K} HAVING bool_or(v) <> bool_or(a)""",
+    _PANEL,
+)
+
+# The bootstrap with few draws: the draws are a table of how often each takes the sorted clusters; the rest is SQL.
+_SCORES = "auc, pr_auc_risk, brier, ece"
+
+
+def _draws(clusters: int, n: int = 20) -> str:
+    taken = np.random.default_rng(42).multinomial(clusters, [1 / clusters] * clusters, size=n)
+    rows = ", ".join(f"({d}, {c}, {w})" for d, row in enumerate(taken.tolist()) for c, w in enumerate(row) if w)
+    return f"""
+drawn AS (
+  SELECT draw, cluster_id, w FROM (VALUES {rows}) t(draw, nth, w)
+  JOIN (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS nth FROM (SELECT DISTINCT cluster_id FROM pred)) USING (nth))"""
+
+
+def _drawn_metrics(source: str, name: str) -> str:
+    """CTEs that give `name` the metrics of source by dataset, week, model, protocol and draw."""
+    k = "dataset, week, model, protocol, draw"
+    bins = "len(list_filter(" + str(EDGES) + ", lambda e: e <= p))"
+    return f"""
+{name}_c AS (
+  SELECT {k}, p, sum(s * w)::DOUBLE AS s, sum(f * w)::DOUBLE AS f
+  FROM (SELECT dataset, week, model, protocol, cluster_id, p_success AS p, sum(y) AS s, sum(1 - y) AS f FROM {source} GROUP BY ALL) JOIN drawn USING (cluster_id) GROUP BY ALL),
+{name}_r AS (
+  SELECT *, sum(f) OVER (PARTITION BY {k} ORDER BY p ROWS UNBOUNDED PRECEDING) - f AS below, sum(f) OVER (PARTITION BY {k} ORDER BY 1 - p DESC) AS caught, sum(s + f) OVER (PARTITION BY {k} ORDER BY 1 - p DESC) AS flagged
+  FROM {name}_c),
+{name}_b AS (SELECT {k}, sum(off) AS off FROM (SELECT {k}, {bins} AS bin, abs(sum(s - (s + f) * p)) AS off FROM {name}_c GROUP BY ALL) GROUP BY ALL),
+{name}_m AS (
+  SELECT {k}, CASE WHEN sum(s) > 0 AND sum(f) > 0 THEN sum(s * (below + f / 2)) / (sum(s) * sum(f)) END AS auc, CASE WHEN sum(s) > 0 AND sum(f) > 0 THEN sum(f * caught / flagged) / sum(f) END AS pr_auc_risk,
+    CASE WHEN sum(s) > 0 AND sum(f) > 0 THEN sum(s * (1 - p) * (1 - p) + f * p * p) / sum(s + f) END AS brier, CASE WHEN sum(s) > 0 AND sum(f) > 0 THEN any_value(off) / sum(s + f) END AS ece
+  FROM {name}_r JOIN {name}_b USING ({k}) GROUP BY {k}),
+{name} AS (SELECT * FROM {name}_m UNPIVOT INCLUDE NULLS (value FOR metric IN ({_SCORES})))"""
+
+
+def _contrasts(source: str, keys: str, name: str) -> str:
+    each = " UNION ALL ".join(f"SELECT {keys}, metric, '{c}' AS contrast, " + " + ".join(f"{w} * {cell}" for cell, w in zip(CELLS, ws) if w) + f" AS value FROM {name}_w" for c, ws in CONTRASTS.items())
+    there = ", ".join(f"max(value) FILTER (protocol = '{c}') AS {c}" for c in CELLS)
+    listed = ", ".join(f"'{c}'" for c in CELLS)
+    return f"""
+{name}_w AS (SELECT {keys}, metric, {there} FROM {source} WHERE protocol IN ({listed}) GROUP BY {keys}, metric HAVING count(DISTINCT protocol) = 4),
+{name} AS ({each})"""
+
+
+_CI = "quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high"
+_POINT = [_metrics("pred", "dataset, week, model, protocol", "met"), "pnt AS (SELECT * FROM met UNPIVOT INCLUDE NULLS (value FOR metric IN (" + _SCORES + ")))"]
+_SPREAD = [_PRED, *_POINT, _draws(25), _drawn_metrics("pred", "drm")]
+_CELL = "dataset, week, model"
+_PLAIN = _contrasts("pnt", _CELL, "pc")
+_DREW = _contrasts("drm", f"{_CELL}, draw", "dc")
+
+
+def _sided() -> str:
+    out = []
+    for side, sign in (("left_protocol", 1), ("right_protocol", -1)):
+        single = {c: [cell for cell, w in zip(CELLS, ws) if w * sign > 0] for c, ws in CONTRASTS.items()}
+        out.append("CASE contrast " + " ".join(f"WHEN '{c}' THEN '{own[0]}'" for c, own in single.items() if len(own) == 1) + f" ELSE 'combination' END AS {side}")
+    return ", ".join(out)
+
+
+_DECOMPOSED = f"""
+dec AS (
+  SELECT dataset, week, model, metric, contrast, value AS delta, ci_low, ci_high, 0.0::DOUBLE AS identity_residual, {_sided()}
+  FROM pc LEFT JOIN (SELECT dataset, week, model, metric, contrast, {_CI} FROM dc GROUP BY ALL) USING (dataset, week, model, metric, contrast))"""
+_DEC = f"SELECT dataset, week, model, metric, contrast, {_r('delta', 'ci_low', 'ci_high')}, CASE WHEN delta IS NOT NULL THEN identity_residual END AS identity_residual, left_protocol, right_protocol FROM dec"
+_MODULES = _PRED.replace("code_module || '::' || code_presentation AS cluster_id", "code_module AS cluster_id")
+
+
+def _sizes(source: str, keys: str) -> str:
+    """source and the difference of the two components' absolute values."""
+    term = lambda c: f"max(abs(value)) FILTER (contrast = '{c}')"
+    return f"(SELECT * FROM {source} UNION ALL BY NAME SELECT {keys}, 'absolute_evaluation_minus_absolute_training' AS contrast, {term('evaluation_population_shapley')} - {term('training_population_shapley')} AS value FROM {source} GROUP BY {keys})"
+
+
+_add(
+    "B4_bootstrap_summary_20_draws",
+    f"""SELECT dataset, week, protocol, model, metric, {_r('point')}, n, n_clusters, 'presentation' AS cluster_unit, {_r('ci_low', 'ci_high')}
+FROM (SELECT dataset, week, model, protocol, metric, value AS point FROM pnt) JOIN (SELECT dataset, week, model, protocol, count(*) AS n, count(DISTINCT cluster_id) AS n_clusters FROM pred GROUP BY ALL) USING (dataset, week, model, protocol)
+LEFT JOIN (SELECT dataset, week, model, protocol, metric, {_CI} FROM drm GROUP BY ALL) USING (dataset, week, model, protocol, metric)""",
+    *_SPREAD,
+)
+_add(
+    "B5_bootstrap_distortion_20_draws",
+    f"""SELECT dataset, week, model, protocol, metric, {_r('delta', 'ci_low', 'ci_high')}, 'cutoff_valid' AS reference_protocol
+FROM (SELECT p.dataset, p.week, p.model, p.protocol, p.metric, p.value - r.value AS delta FROM pnt p JOIN pnt r USING (dataset, week, model, metric) WHERE p.protocol <> 'cutoff_valid' AND r.protocol = 'cutoff_valid')
+LEFT JOIN (SELECT dataset, week, model, protocol, metric, {_CI} FROM (SELECT p.dataset, p.week, p.model, p.protocol, p.metric, p.value - r.value AS value FROM drm p JOIN drm r USING (dataset, week, model, metric, draw) WHERE p.protocol <> 'cutoff_valid' AND r.protocol = 'cutoff_valid') GROUP BY ALL)
+  USING (dataset, week, model, protocol, metric)""",
+    *_SPREAD,
+)
+_add("B6_decomposition_20_draws", _DEC, *_SPREAD, _PLAIN, _DREW, _DECOMPOSED)
+_add("B7_module_clusters_20_draws", _DEC, _MODULES, *_POINT, _draws(5), _drawn_metrics("pred", "drm"), _PLAIN, _DREW, _DECOMPOSED)
+_add("A26_exclusion_counts_20_draws", f"SELECT metric, contrast, count(*) AS cells, count_if(ci_low > 0 OR ci_high < 0)::BIGINT AS excluding_zero, {_r('median_delta', 'mean_delta')} FROM (SELECT *, median(delta) OVER g AS median_delta, avg(delta) OVER g AS mean_delta FROM dec WINDOW g AS (PARTITION BY metric, contrast)) GROUP BY metric, contrast, median_delta, mean_delta", *_SPREAD, _PLAIN, _DREW, _DECOMPOSED)
+_add(
+    "B8_aggregate_20_draws",
+    f"""SELECT metric, contrast, {_r('point_mean', 'bootstrap_mean', 'ci_low', 'ci_high')}, finite_draws, (SELECT count(*) FROM (SELECT DISTINCT dataset, week, model FROM pc)) AS cells
+FROM (SELECT metric, contrast, value AS point_mean FROM {_sizes('pm', 'metric')})
+JOIN (SELECT metric, contrast, avg(value) AS bootstrap_mean, {_CI}, count(value) AS finite_draws FROM {_sizes('dm', 'draw, metric')} GROUP BY ALL) USING (metric, contrast)""",
+    *_SPREAD, _PLAIN, _DREW, "pm AS (SELECT metric, contrast, avg(value) AS value FROM pc GROUP BY ALL)",
+    "dm AS (SELECT draw, metric, contrast, CASE WHEN count(value) = (SELECT count(*) FROM (SELECT DISTINCT dataset, week, model FROM pc)) THEN avg(value) END AS value FROM dc GROUP BY ALL)",
+)
+_add(
+    "B9_paired_difference_20_draws",
+    f"""SELECT metric, contrast, {_r('bootstrap_mean', 'ci_low', 'ci_high')}, finite_draws
+FROM (SELECT metric, contrast, avg(value) AS bootstrap_mean, {_CI}, count(value) AS finite_draws FROM (
+  SELECT metric, contrast, a.value - b.value AS value FROM (SELECT draw, metric, contrast, avg(value) AS value FROM ec GROUP BY ALL) a JOIN (SELECT draw, metric, contrast, avg(value) AS value FROM dc GROUP BY ALL) b USING (draw, metric, contrast)) GROUP BY ALL)""",
+    _PRED, _draws(25), _drawn_metrics("pred", "drm"), _DREW, _PRED.replace("pred AS", "pred2 AS").replace("7919", "6421"), _drawn_metrics("pred2", "erm"), _contrasts("erm", f"{_CELL}, draw", "ec"),
+)
 assert WEEKS == [2, 4, 6, 8, 10, 12, 14, 16]

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.columns import KEY, day_to_week, group_id
-from waymark.operators import behaviour, bootstrap, cohort, decide, evidence, hazard, metrics, models, represent, state, static, traversal
+from waymark.operators import behaviour, bootstrap, checks, cohort, decide, evidence, hazard, metrics, models, represent, state, static, traversal
 from waymark.sources.fixtures import WEEKS, Binding
+from waymark.sources.scratch import stored
 
 TYPES = [f"t{k}" for k in range(5)]
 SOURCES = ["click", "error", "purchase", "scroll", "view"]
-DRAWS = 1000
+#: Draws of the bootstrap's queries, and of the same queries with their SQL over all draws.
+DRAWS, FEW_DRAWS = 1000, 20
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -69,6 +71,11 @@ def predictions(b: Binding, factor: int = 7919) -> DataFrame:
     )
 
 
+def scored(b: Binding, factor: int = 7919) -> DataFrame:
+    """The panel, stored: bootstraps read it for the clusters, the point values and the draws."""
+    return stored(predictions(b, factor), "panel")
+
+
 def draws(b: Binding, rows: DataFrame, n: int = DRAWS) -> DataFrame:
     return bootstrap.draw_table(b.spark, bootstrap.clusters_of(rows), n)
 
@@ -161,8 +168,7 @@ def _(b: Binding) -> DataFrame:
 
 @query("R3_behavioural_features")
 def _(b: Binding) -> DataFrame:
-    rows = behaviour.behavioural_features(b.vle_events(), roster(b), b.submissions(), b.assessments(), WEEKS)
-    return rows.groupBy("snapshot_week").agg(F.count(F.lit(1)).alias("n"), F.count("gap_max").alias("n_gap"), F.count("time_missed").alias("n_time"), F.count("cohort_days_z").alias("n_cohort"))
+    return rounded(behaviour.behavioural_features(b.vle_events(), roster(b), b.submissions(), b.assessments(), WEEKS))
 
 
 @query("A14_canonical_order")
@@ -225,49 +231,56 @@ def _(b: Binding) -> DataFrame:
     return rounded(metrics.stratum_summary(predictions(b)))
 
 
-@query("B4_bootstrap_summary")
-def _(b: Binding) -> DataFrame:
-    rows = predictions(b)
-    return rounded(bootstrap.summary(rows, draws(b, rows)))
+def bootstrap_queries(n: int, suffix: str) -> None:
+    """The bootstrap's queries with n draws."""
 
+    @query(f"B4_bootstrap_summary{suffix}")
+    def _(b: Binding) -> DataFrame:
+        rows = scored(b)
+        return rounded(bootstrap.summary(rows, draws(b, rows, n)))
 
-@query("B5_bootstrap_distortion")
-def _(b: Binding) -> DataFrame:
-    rows = predictions(b)
-    return rounded(bootstrap.distortion(rows, draws(b, rows)))
+    @query(f"B5_bootstrap_distortion{suffix}")
+    def _(b: Binding) -> DataFrame:
+        rows = scored(b)
+        return rounded(bootstrap.distortion(rows, draws(b, rows, n)))
 
+    @query(f"B6_decomposition{suffix}")
+    def _(b: Binding) -> DataFrame:
+        rows = scored(b)
+        return rounded(bootstrap.decomposition(rows, draws(b, rows, n)))
 
-@query("B6_decomposition")
-def _(b: Binding) -> DataFrame:
-    rows = predictions(b)
-    return rounded(bootstrap.decomposition(rows, draws(b, rows)))
+    @query(f"B7_module_clusters{suffix}")
+    def _(b: Binding) -> DataFrame:
+        rows = scored(b).withColumn("cluster_id", group_id("module")).withColumn("cluster_unit", F.lit("module"))
+        return rounded(bootstrap.decomposition(rows, draws(b, rows, n)))
 
+    @query(f"B8_aggregate{suffix}")
+    def _(b: Binding) -> DataFrame:
+        rows = scored(b)
+        return rounded(bootstrap.aggregate(rows, draws(b, rows, n)))
 
-@query("B6_contrasts")
-def _(b: Binding) -> DataFrame:
-    """Point values of the contrasts."""
-    keys = ["week", "model"]
-    rows = bootstrap.long_metrics(metrics.cell_metrics(predictions(b), [*keys, "protocol"]), [*keys, "protocol"])
-    return rounded(bootstrap.contrast_values(rows, keys))
+    @query(f"B9_paired_difference{suffix}")
+    def _(b: Binding) -> DataFrame:
+        """The same enrolments, scored twice."""
+        rows = scored(b)
+        return rounded(bootstrap.paired_difference(scored(b, 6421), rows, draws(b, rows, n)))
 
+    @query(f"A26_exclusion_counts{suffix}")
+    def _(b: Binding) -> DataFrame:
+        rows = scored(b)
+        return rounded(bootstrap.exclusion_counts(stored(bootstrap.decomposition(rows, draws(b, rows, n)), "contrasts")))
 
-@query("B7_module_clusters")
-def _(b: Binding) -> DataFrame:
-    rows = predictions(b).withColumn("cluster_id", group_id("module")).withColumn("cluster_unit", F.lit("module"))
-    return rounded(bootstrap.decomposition(rows, draws(b, rows)))
 
+bootstrap_queries(DRAWS, "")
+bootstrap_queries(FEW_DRAWS, f"_{FEW_DRAWS}_draws")
 
-@query("B8_aggregate")
-def _(b: Binding) -> DataFrame:
-    rows = predictions(b)
-    return rounded(bootstrap.aggregate(rows, draws(b, rows)))
 
-
-@query("B9_paired_difference")
+@query("B6_contrasts")
 def _(b: Binding) -> DataFrame:
-    """The same enrolments, scored twice."""
-    rows = predictions(b)
-    return rounded(bootstrap.paired_difference(predictions(b, 6421), rows, draws(b, rows)))
+    """Point values of the contrasts."""
+    keys = ["week", "model"]
+    rows = bootstrap.long_metrics(metrics.cell_metrics(predictions(b), [*keys, "protocol"]), [*keys, "protocol"])
+    return rounded(bootstrap.contrast_values(rows, keys))
 
 
 @query("B10_tie_audit")
@@ -275,12 +288,6 @@ def _(b: Binding) -> DataFrame:
     return bootstrap.tie_partition_audit(predictions(b))
 
 
-@query("A26_exclusion_counts")
-def _(b: Binding) -> DataFrame:
-    rows = predictions(b)
-    return rounded(bootstrap.exclusion_counts(bootstrap.decomposition(rows, draws(b, rows))))
-
-
 @query("O2_capacities")
 def _(b: Binding) -> DataFrame:
     return decide.capacities(predictions(b).where("protocol = 'cutoff_valid'"), decide.BUDGETS)
@@ -392,7 +399,7 @@ def _(b: Binding) -> DataFrame:
 def _(b: Binding) -> DataFrame:
     """One fold structure, the temporal representation and logistic regression at one landmark."""
     week, config = 16, models.Config(folds=2, repeats=1)
-    features = represent.align_to_roster(roster(b), represent.temporal_features(panel(b), 4), [])
+    features = represent.align_to_roster(roster(b), represent.temporal_features(panel(b), week), [])
     names = [c for c in features.columns if c not in KEY]
     base = members(b, [week]).drop("no_activity").join(features, KEY)
     return models.benchmark(b.spark, base, models.fold_table(roster(b), config), "base_lr_weekly", names, week, config)
@@ -410,19 +417,27 @@ def _(b: Binding) -> DataFrame:
     return rounded(metrics.cell_metrics(hazard.average_hazard(frame), ["week", "model"]))
 
 
+def weekly_differences(b: Binding, days_later: int) -> DataFrame:
+    vle = evidence.vle_weekly(b.vle_events(), b.sites(), TYPES).select(*KEY, "week_index", F.col("clicks_total").cast("double").alias("clicks"), F.col("active_days").cast("double").alias("days"))
+    moved = b.vle_events().where("date >= 0").withColumn("date", F.col("date") + days_later)
+    again = moved.groupBy(*KEY, F.expr("date div 7 + 1").cast("int").alias("week_index")).agg(F.sum("sum_click").cast("double").alias("clicks"), F.countDistinct("date").cast("double").alias("days"))
+    return checks.compare_grouped(vle, again, [*KEY, "week_index"], ["clicks", "days"])
+
+
 @query("V1_validate_weekly")
 def _(b: Binding) -> DataFrame:
     """Differences between the weekly table and one derived again from days: none."""
-    from waymark.operators.checks import compare_grouped
+    return weekly_differences(b, 0)
+
 
-    vle = evidence.vle_weekly(b.vle_events(), b.sites(), TYPES).select(*KEY, "week_index", F.col("clicks_total").cast("double").alias("clicks"))
-    again = b.vle_events().where("date >= 0").groupBy(*KEY, F.expr("date div 7 + 1").cast("int").alias("week_index")).agg(F.sum("sum_click").cast("double").alias("clicks"))
-    return compare_grouped(vle, again, [*KEY, "week_index"], ["clicks"])
+@query("V1_weeks_a_day_late")
+def _(b: Binding) -> DataFrame:
+    """Differences from a table whose weeks begin a day early: what the validation finds in a wrong table."""
+    return weekly_differences(b, 1)
 
 
 @query("U4_equal_sets")
 def _(b: Binding) -> DataFrame:
-    """Learners that only one of two tables holds."""
-    from waymark.operators.checks import set_difference
-
-    return set_difference(roster(b), b.info(), KEY)
+    """Learners with interactions but no submission by the last landmark, and the other way round."""
+    rows = panel(b)
+    return checks.set_difference(rows.where("clicks_total IS NOT NULL"), rows.where("assess_attempts IS NOT NULL"), KEY)
