@@ -6,7 +6,7 @@ from oracle import SMALL, assert_matches
 from waymark.plans.oracle import ORACLE_SQL
 from waymark.plans.queries import QUERIES
 
-SLOW = {"L2_benchmark_logistic", "R6_stack_7_full"}
+SLOW = {"L2_benchmark_logistic"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

@@ -141,12 +141,14 @@ _add("P2_kdd_labels", "SELECT c_custkey AS id_student, c_mktsegment AS code_modu
 _add("P3_admissible_submissions", "SELECT id_student, count(*) AS n, sum(day)::BIGINT AS days FROM sub GROUP BY ALL")
 _add("P9_membership", f"SELECT {K}, week, has_activity, (NOT has_activity)::INT AS no_activity, registered_by_cutoff, outcome_realized, cutoff_valid, membership_class FROM mem")
 _add("P11_roster", f"SELECT {K}, label, date_registration, date_unregistration, risk FROM roster")
+#: The 25 regions of the tables.
+_REGIONS = ", ".join(f"(region = 'NATION_{k}')::INT::DOUBLE AS stat_region_NATION_{k}" for k in range(25))
 _add(
     "P13_static_features",
     f"""SELECT {K}, date_registration::DOUBLE AS stat_registration_day, (coalesce(date_registration, 0) > 0)::INT::DOUBLE AS stat_registered_late, CASE WHEN date_registration IS NOT NULL THEN greatest(-date_registration, 0)::DOUBLE END AS stat_registration_lead,
   num_of_prev_attempts::DOUBLE AS stat_prev_attempts, (num_of_prev_attempts > 0)::INT::DOUBLE AS stat_is_repeat, studied_credits::DOUBLE AS stat_studied_credits, CASE WHEN id_student % 6 < 5 THEN (id_student % 6)::DOUBLE END AS stat_education,
   CASE id_student % 4 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 1.0 WHEN 2 THEN 9.0 END AS stat_imd, (id_student % 3)::DOUBLE AS stat_age, (gender = 'F')::INT::DOUBLE AS stat_female, (disability = 'Y')::INT::DOUBLE AS stat_disability,
-  round(studied_credits - avg(studied_credits) OVER (PARTITION BY code_module, code_presentation), 7) + 0.0 AS stat_credits_vs_cohort, (region = 'FRANCE')::INT::DOUBLE AS region_france, (region = 'GERMANY')::INT::DOUBLE AS region_germany
+  round(studied_credits - avg(studied_credits) OVER (PARTITION BY code_module, code_presentation), 7) + 0.0 AS stat_credits_vs_cohort, {_REGIONS}
 FROM info JOIN roster USING ({K})""",
 )
 _add("A1_vle_weekly", "SELECT * FROM vlew", _PANEL)
@@ -487,4 +489,67 @@ FROM (SELECT metric, contrast, avg(value) AS bootstrap_mean, {_CI}, count(value)
   SELECT metric, contrast, a.value - b.value AS value FROM (SELECT draw, metric, contrast, avg(value) AS value FROM ec GROUP BY ALL) a JOIN (SELECT draw, metric, contrast, avg(value) AS value FROM dc GROUP BY ALL) b USING (draw, metric, contrast)) GROUP BY ALL)""",
     _PRED, _draws(25), _drawn_metrics("pred", "drm"), _DREW, _PRED.replace("pred AS", "pred2 AS").replace("7919", "6421"), _drawn_metrics("pred2", "erm"), _contrasts("erm", f"{_CELL}, draw", "ec"),
 )
+
+# Learner states on the graph of weeks and modalities: a row per learner, week and modality.
+_GRAPH = f"""
+gw AS (SELECT {K}, week_index AS week, unnest(range(5)) AS lane, unnest([clicks_t0, clicks_t1, clicks_t2, clicks_t3, clicks_t4]) AS k, coalesce(assess_attempts, 0) AS n, coalesce(assess_score_mean, 0) AS score FROM panel WHERE week_index <= 8),
+gg AS (
+  SELECT g.*, coalesce(gw.k, 0)::DOUBLE AS k, coalesce(n, 0)::DOUBLE AS n, CASE WHEN gw.id_student IS NULL THEN 0.5::DOUBLE ELSE least(greatest(score, 0), 1) END AS wm
+  FROM (SELECT DISTINCT {K}, t.week, l.lane FROM gw, range(1, 9) t(week), range(5) l(lane)) g LEFT JOIN gw USING ({K}, week, lane)),
+p0 AS (SELECT {K}, week, lane, k, wm, 1 - exp(-n) AS wc, 1 - exp(-n) AS fwc, 1 - exp(-ln(1 + k) / 3) AS m, 0.55 * (1 - exp(-k / 12)) AS c FROM gg)"""
+
+
+def _pass(before: str, name: str) -> str:
+    """CTEs that give `name`: weeks move their modalities, then the week takes from them and gives back."""
+    return f"""
+{name}_t AS (
+  SELECT * REPLACE (CASE WHEN pc IS NULL THEN m ELSE (1 - 0.25 * pc) * m + 0.25 * pc * pm END AS m, greatest(c, coalesce(0.7 * pc, 0)) AS c)
+  FROM (SELECT *, lag(m) OVER o AS pm, lag(c) OVER o AS pc FROM {before} WINDOW o AS (PARTITION BY id_student, lane ORDER BY week))),
+{name}_w AS (SELECT *, max(c) OVER w AS own, sum(c) OVER w AS sc, sum(m * c) OVER w AS smc FROM {name}_t WINDOW w AS (PARTITION BY id_student, week)),
+{name}_s AS (SELECT * REPLACE (CASE WHEN wc + own > 1e-9 THEN (wc * wm + own * CASE WHEN sc > 1e-9 THEN smc / sc ELSE 0.5 END) / greatest(wc + own, 1e-9) ELSE wm END AS wm, greatest(wc, 0.7 * own) AS wc) FROM {name}_w),
+{name} AS (SELECT {K}, week, lane, k, wm, wc, fwc, (1 - 0.15 * wc) * m + 0.15 * wc * wm AS m, c FROM {name}_s)"""
+
+
+def _states(source: str, residual: bool) -> str:
+    """Summaries of the states in source."""
+    lanes = ["mastery_mean", "mastery_std", "confidence_mean", "evidence_volume", "recent_mastery", "recent_confidence", "uncertainty_mean", "uncertainty_max", "parent_child_gap"]
+    weeks, mixed = ["week_mastery_mean", "mastered_ratio", "prerequisite_gap", "smoothness", "modality_std"], ["breadth", "modality_entropy"]
+    extra = ["res_t_mean", "res_t_absmean", "res_t_negative", "res_h_absmean", "res_h_std", "res_h_max", "res_h_min"] if residual else []
+    more = """, sum((m - pm) * pc) / greatest(sum(pc), 1e-9) AS res_t_mean, sum(abs(m - pm) * pc) / greatest(sum(pc), 1e-9) AS res_t_absmean, sum(least(m - pm, 0) * pc) / greatest(sum(pc), 1e-9) AS res_t_negative,
+    avg(abs(m - pool)) AS res_h_absmean, stddev_pop(m - pool) AS res_h_std, max(m - pool) AS res_h_max, min(m - pool) AS res_h_min""" if residual else ""
+    return f"""SELECT {K}, 8 AS snapshot_week, frontier::INT AS pcgg_frontier, {', '.join(f'round({c}, 7) + 0.0 AS pcgg_{c}' for c in [*lanes, *weeks, *mixed, *extra])}
+FROM (
+  SELECT {K}, avg(m) AS mastery_mean, stddev_pop(m) AS mastery_std, avg(c) AS confidence_mean, sum(ln(1 + k)) AS evidence_volume, avg(m) FILTER (week = 8) AS recent_mastery, avg(c) FILTER (week = 8) AS recent_confidence,
+    1 - avg(c) AS uncertainty_mean, 1 - min(c) AS uncertainty_max, avg(abs(wm - m)) AS parent_child_gap{more}
+  FROM (SELECT *, lag(m) OVER o AS pm, lag(c) OVER o AS pc, CASE WHEN sum(c) OVER w > 1e-9 THEN sum(m * c) OVER w / sum(c) OVER w ELSE 0.5 END AS pool FROM {source} WINDOW o AS (PARTITION BY id_student, lane ORDER BY week), w AS (PARTITION BY id_student, week)) GROUP BY {K})
+JOIN (
+  SELECT id_student, avg(wm) AS week_mastery_mean, avg(known::INT) AS mastered_ratio, max(CASE WHEN known THEN week ELSE 0 END) AS frontier, avg(CASE WHEN pwm IS NOT NULL THEN greatest(wm - pwm, 0) * fwc END) AS prerequisite_gap, avg(abs(wm - pwm)) AS smoothness, avg(spread) AS modality_std
+  FROM (SELECT *, lag(wm) OVER (PARTITION BY id_student ORDER BY week) AS pwm, wm >= 0.55 AND fwc > 0.05 AS known FROM (SELECT id_student, week, any_value(wm) AS wm, any_value(fwc) AS fwc, stddev_pop(m) AS spread FROM {source} GROUP BY ALL)) GROUP BY ALL) USING (id_student)
+JOIN (
+  SELECT id_student, avg(seen::INT) AS breadth, -sum(share * ln(greatest(share, 1e-12))) / ln(5::DOUBLE) AS modality_entropy
+  FROM (SELECT id_student, seen, clicks / greatest(sum(clicks) OVER (PARTITION BY id_student), 1e-9) AS share FROM (SELECT id_student, lane, max(c) > 0.05 AS seen, sum(k) AS clicks FROM {source} GROUP BY ALL)) GROUP BY ALL) USING (id_student)"""
+
+
+_add("R2_graph_features", _states("p2", False), _PANEL, _GRAPH, _pass("p0", "p1"), _pass("p1", "p2"))
+_add("R2_graph_residual", _states("p0", True), _PANEL, _GRAPH)
+
+_SCORED_WEEKS = ", ".join(f"round(coalesce(max(coalesce({c}, 0)::DOUBLE) FILTER (week_index = {w}), 0), 7) + 0.0 AS {c}_week{w}" for c in _NUM[7:] for w in range(1, 9))
+_ORDER = "trav_reach, trav_position_mean, trav_position_std, trav_backtrack_rate, trav_below_frontier_rate, trav_revisit_rate, trav_step_absmean, trav_forward_jump_mean, trav_order_agreement"
+
+
+def _block(body: str, columns: str = f"* EXCLUDE ({K})") -> str:
+    return f"LEFT JOIN (SELECT {K}, COLUMNS({columns})::DOUBLE FROM ({body})) USING ({K})"
+
+
+_week8 = lambda name, columns="*": f"SELECT {columns} FROM ({_BODIES[name]}) WHERE snapshot_week = 8"
+_add(
+    "R6_stack_7_full",
+    f"""SELECT {K}, snapshot_week, pcgg_frontier, coalesce(COLUMNS(* EXCLUDE ({K}, snapshot_week, pcgg_frontier)), 0)
+FROM ({_BODIES['R2_graph_residual']})
+LEFT JOIN (SELECT {K}, {_SCORED_WEEKS} FROM panel WHERE week_index <= 8 GROUP BY {K}) USING ({K})
+{_block(_BODIES['P13_static_features'])}
+{_block(_week8('A9_gap_features', '* EXCLUDE (snapshot_week)'))} {_block(_week8('A11_timing_features', '* EXCLUDE (snapshot_week)'))} {_block(_week8('A13_cohort_features', '* EXCLUDE (snapshot_week)'))}
+{_block(_week8('A15_traversal_features', f'{K}, {_ORDER}'))}""",
+    _PANEL, _GRAPH, _TIMING, _TRAV, _COHORT,
+)
 assert WEEKS == [2, 4, 6, 8, 10, 12, 14, 16]

@@ -107,8 +107,7 @@ def _(b: Binding) -> DataFrame:
 
 @query("P13_static_features")
 def _(b: Binding) -> DataFrame:
-    rows = static.static_features(b.info(), b.registration(), ["FRANCE", "GERMANY"])
-    return rounded(rows.select(*[c for c in rows.columns if not c.startswith("stat_region_")], F.col("stat_region_FRANCE").alias("region_france"), F.col("stat_region_GERMANY").alias("region_germany")))
+    return rounded(static.static_features(b.info(), b.registration()))
 
 
 @query("A1_vle_weekly")
