@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions.columns import KEY, average_rank, correlation, day_to_week, finite
-from waymark.operators import behaviour, bootstrap, checks, cohort, decide, evidence, metrics, models, state, static, traversal
+from waymark.operators import behaviour, bootstrap, checks, cohort, decide, evidence, hazard, metrics, models, represent, state, static, traversal
 
 ME = (1, "M", "P")
 
@@ -282,3 +282,120 @@ def test_tables(spark, tmp_path):
     assert tables.read_predictions(spark, str(tmp_path / "p"), [2]).first()["p"] == 0.1 + 0.2
     tables.write_json({"a": 1}, str(tmp_path / "m.json"))
     assert tables.read_json(str(tmp_path / "m.json")) == {"a": 1}
+
+
+def scored_rows(spark, n=240):
+    rng = np.random.default_rng(6)
+    x, z = rng.normal(size=n), rng.normal(size=n)
+    rows = [(k, "M", f"P{k % 6}", int(x[k] + 0.3 * rng.normal() > 0), float(x[k]), float(z[k])) for k in range(n)]
+    return table(spark, rows, "id_student long, code_module string, code_presentation string, y int, a double, b double")
+
+
+#: Parameters that keep a fit short.
+SHORT = {"flat_hgb": {"maxIter": 5}, "base_rf_gini": {"numTrees": 5}, "base_rf_entropy": {"numTrees": 5}, "base_dffnn": {"maxIter": 30}}
+
+
+@pytest.mark.parametrize("name", ["flat_hgb", "base_lr_weekly", "base_rf_gini", "base_rf_entropy", "base_svm", "base_knn", "base_dffnn"])
+def test_every_estimator_tells_the_classes_apart(spark, name):
+    rows = scored_rows(spark)
+    train, test = rows.where("id_student % 3 != 0"), rows.where("id_student % 3 = 0")
+    got = models.fit_and_score(name, train, test, ["a", "b"], 1, SHORT.get(name)).select("y", "p_success").collect()
+    y, p = np.array([r[0] for r in got]), np.array([r[1] for r in got])
+    assert len(got) == 80 and ((p >= 0) & (p <= 1)).all() and auc(y, p) > 0.85
+
+
+def test_nearest_neighbours_against_numpy(spark):
+    rows = scored_rows(spark)
+    train, test = rows.where("id_student % 3 != 0"), rows.where("id_student % 3 = 0")
+    got = {r["id_student"]: r["p_success"] for r in models.fit_and_score("base_knn", train, test, ["a", "b"], 1).collect()}
+    t = train.toPandas()
+    mean, spread = t[["a", "b"]].mean(), t[["a", "b"]].std()
+    x = ((t[["a", "b"]] - mean) / spread).to_numpy()
+    for r in test.toPandas().itertuples():
+        far = ((x - ((np.array([r.a, r.b]) - mean.to_numpy()) / spread.to_numpy())) ** 2).sum(1)
+        assert math.isclose(got[r.id_student], t["y"].to_numpy()[np.argsort(far, kind="stable")[:50]].mean())
+
+
+def benchmark_base(spark):
+    rows = scored_rows(spark).withColumnRenamed("y", "label")
+    flags = {"risk": 1 - F.col("label"), "has_activity": F.col("id_student") % 2 == 0, "no_activity": (F.col("id_student") % 2).cast("int"), "outcome_realized": F.lit(False), "membership_class": F.lit("eligible_active"), "dataset": F.lit("d"), "static_full": F.lit(True)}
+    # In presentation P0 the valid are of one class, so that evaluation is left out.
+    return rows.withColumns(flags).withColumn("activity_conditioned", F.col("has_activity")).withColumn("cutoff_valid", (F.col("code_presentation") != "P0") | (F.col("label") == 1))
+
+
+def test_benchmark_leaves_out_tests_of_one_class(spark):
+    base, config = benchmark_base(spark), models.Config(folds=6, repeats=1)
+    folds = models.fold_table(base.select(*KEY, "label"), config)
+    got = models.benchmark(spark, base, folds, "base_lr_weekly", ["a", "b"], 4, config).groupBy("protocol", "code_presentation").count().collect()
+    seen = {(r["protocol"], r["code_presentation"]) for r in got}
+    assert ("cutoff_valid", "P0") not in seen and ("static_full", "P0") in seen and ("cutoff_valid", "P1") in seen
+    assert {r["count"] for r in got if r["protocol"] == "static_full"} == {40}
+
+
+def test_cells_are_taken_up_and_not_mixed(spark, tmp_path):
+    made = []
+
+    def cell(week):
+        return lambda: made.append(week) or table(spark, [(week,)], "p_success int")
+
+    cells, folder = {(w, "m"): cell(w) for w in (2, 4)}, str(tmp_path / "run")
+    assert models.run_cells(folder, cells, {"seed": 1}) == [(2, "m"), (4, "m")]
+    (tmp_path / "run" / "week=4-model=m.json").unlink()
+    assert models.run_cells(folder, cells, {"seed": 1}) == [(4, "m")] and made == [2, 4, 4]
+    assert spark.read.parquet(folder + "/panel").count() == 2
+    with pytest.raises(ValueError, match="another run"):
+        models.run_cells(folder, cells, {"seed": 2})
+
+
+def test_hazard_from_frame_to_scores(spark):
+    rows = benchmark_base(spark).drop("a", "b")
+    members = rows.withColumn("week", F.explode(F.array(F.lit(2), F.lit(4)))).withColumn("cutoff_day", 7 * F.col("week")).withColumn("cutoff_valid", F.lit(True))
+    members = members.withColumn("date_unregistration", F.when(F.col("label") == 0, F.col("cutoff_day") + F.col("id_student") % 9).cast("double"))
+    frame = hazard.hazard_frame(members)
+    assert frame.where("hazard_event = 1").count() == members.where("label = 0 AND id_student % 9 < 7").count()
+    features = {w: scored_rows(spark).select(*KEY, "a", *(["b"] if w == 4 else [])) for w in (2, 4)}
+    ready, names = hazard.with_features(frame, features)
+    assert names == ["a", "b", "landmark_week"] and ready.where("landmark_week = 2 AND b != 0").isEmpty()
+    config = models.Config(folds=3, repeats=2)
+    folds = models.fold_table(rows.select(*KEY, "label"), config)
+    scores = hazard.hazard_scores(ready, folds, "flat_hgb", names, config, {"maxIter": 3})
+    assert scores.count() == 2 * 480
+    panel = hazard.average_hazard(scores)
+    assert panel.count() == 480 and metrics.cell_metrics(panel, ["model"]).first()["auc"] > 0.7
+
+
+def test_every_representation_is_built(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, "M", "P", w, *rng.integers(0, 9, 3).tolist(), int(rng.integers(0, 2)), 0.5, 0.6, 0.5) for k in range(5) for w in range(1, 4)]
+    panel = table(spark, rows, "id_student long, code_module string, code_presentation string, week_index int, clicks_total int, clicks_a int, clicks_b int, assess_attempts int, assess_score_mean double, assess_score_max double, assess_score_weighted double").withColumn("active_days", F.lit(1))
+    one = panel.select(*KEY).distinct()
+    blocks = [one.withColumns({c: F.col("id_student") * 1.0 for c in names}) for names in (["stat_x"], ["gap_x", "time_x", "cohort_x", "other_x"], [*traversal.ORDER_COLUMNS, *traversal.VOLUME_COLUMNS])]
+    built = represent.representations(panel, 2, *blocks)
+    assert len(built) == 12
+    for name, build in built.items():
+        df = build()
+        assert df.select(*KEY).distinct().count() == df.count() == 5, name
+        columns = set(df.columns)
+        assert ("stat_x" in columns) == (name in ("base_lr_profile", "base_rf_gini", "base_rf_entropy", "base_dffnn", "stack_7_full")), name
+        assert ("clicks_total_week2" in columns) == (name in ("temporal_hgb", "base_lr_weekly", "base_rf_gini", "base_rf_entropy", "base_dffnn")), name
+        assert ("clicks_total" in columns) == (name in ("flat_hgb", "base_lr_clickstream", "base_svm", "base_knn")), name
+        assert ({"gap_x", "time_x", "cohort_x", "trav_reach"} <= columns) == (name == "stack_7_full") and not {"other_x", "trav_coverage"} & columns
+    flat = {r["id_student"]: r["clicks_total"] for r in built["flat_hgb"]().collect()}
+    assert flat == {k: sum(r[4] for r in rows if r[0] == k and r[3] <= 2) for k in range(5)}
+
+
+def test_permutations_move_every_place():
+    for size in (1, 2, 5, 9):
+        for seed in range(20):
+            order = state.permutation(size, seed)
+            assert sorted(order) == list(range(size)) and (size == 1 or all(k != v for k, v in enumerate(order)))
+            assert sorted(state.permutation(size, seed, proper=False)) == list(range(size))
+
+
+def test_sensitivity_is_in_the_columns_and_their_names(spark):
+    df = table(spark, [(1.0,) * 6], "stat_imd double, stat_education double, stat_region_X double, stat_is_repeat double, gap_age double, stat_female double")
+    assert static.without_sensitive(df, "core_only_removed").columns == ["stat_education", "stat_is_repeat", "gap_age"] and static.without_sensitive(df, "all").columns == ["stat_is_repeat", "gap_age"]
+    marked = df.withMetadata("gap_age", {"sensitivity": "protected"})
+    assert "gap_age" not in static.without_sensitive(marked, "all").columns and static.without_sensitive(marked).columns == df.columns
+    with pytest.raises(ValueError, match="mode"):
+        static.without_sensitive(df, "some")

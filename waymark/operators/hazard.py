@@ -30,7 +30,7 @@ def with_features(frame: DataFrame, features: dict[int, DataFrame]) -> tuple[Dat
     return joined.withColumns({c: number(F.col(c)) for c in every}), [*every, "landmark_week"]
 
 
-def hazard_scores(frame: DataFrame, folds: DataFrame, name: str, features: list[str], config: Config) -> DataFrame:
+def hazard_scores(frame: DataFrame, folds: DataFrame, name: str, features: list[str], config: Config, limits: dict[str, object] | None = None) -> DataFrame:
     """KEY, landmark_week, hazard_event, model, repeat, fold, p_event: pooled over landmarks, split by presentation."""
     by_group = folds.select("split_group", "repeat", "fold").distinct()
     rows = frame.withColumn("y", F.col("hazard_event")).join(by_group, "split_group")
@@ -39,9 +39,9 @@ def hazard_scores(frame: DataFrame, folds: DataFrame, name: str, features: list[
         for fold in range(1, config.folds + 1):
             mine = rows.where(F.col("repeat") == repeat)
             train, test = mine.where(F.col("fold") != fold), mine.where(F.col("fold") == fold)
-            if train.select("y").distinct().count() < 2 or test.isEmpty():
+            if min(rows_of.select("y").distinct().count() for rows_of in (train, test)) < 2:
                 continue
-            scored = fit_and_score(name, train, test, features, config.seed + 5000 + repeat * 100 + fold)
+            scored = fit_and_score(name, train, test, features, config.seed + 5000 + repeat * 100 + fold, limits)
             scored = scored.select(*KEY, "landmark_week", "hazard_event", "cluster_id", "cluster_unit", "dataset", F.lit(name).alias("model"), "repeat", "fold", F.col("p_success").alias("p_event"))
             out = scored if out is None else out.unionByName(scored)
     if out is None:

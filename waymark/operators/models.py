@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.columns import KEY, group_id
+from waymark.operators.checks import may_resume, signature
+from waymark.sources.scratch import stored
+from waymark.sources.tables import write_json, write_table
 
 #: Models by name; others are gradient boosting.
 LOGISTIC = ("base_lr_profile", "base_lr_clickstream", "base_lr_weekly")
@@ -96,8 +101,8 @@ def _knn(train: DataFrame, test: DataFrame, features: str, neighbours: int = 50,
     blocks = max(1, -(-train.count() // block))
     left = flat(train, "y").withColumn("block", F.pmod(F.xxhash64(*KEY), F.lit(blocks)))
     parts = max(1, -(-test.count() // block))
-    right = flat(test).withColumn("part", F.pmod(F.xxhash64(*KEY), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+    right = flat(test).withColumn("part", F.pmod(F.xxhash64(*KEY), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -114,8 +119,12 @@ def _knn(train: DataFrame, test: DataFrame, features: str, neighbours: int = 50,
     return test.join(ranked.groupBy(*KEY).agg(F.avg("y").alias("p_success")), KEY)
 
 
-def fit_and_score(name: str, train: DataFrame, test: DataFrame, features: list[str], seed: int) -> DataFrame:
-    """test with p_success by the model of that name, fitted on train (features and y)."""
+def fit_and_score(name: str, train: DataFrame, test: DataFrame, features: list[str], seed: int, limits: dict[str, object] | None = None) -> DataFrame:
+    """test with p_success by the model of that name, fitted on train (features and y).
+
+    limits override the estimator's parameters, for trials on a few rows.
+    """
+    limits = limits or {}
     assemble = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="error")
     scaled = name in (*LOGISTIC, "base_svm", "base_knn", "base_dffnn")
     stages = [assemble, *([StandardScaler(inputCol="raw", outputCol="x", withMean=True)] if scaled else [])]
@@ -129,32 +138,36 @@ def fit_and_score(name: str, train: DataFrame, test: DataFrame, features: list[s
         model = LogisticRegression(featuresCol=column, labelCol="y", regParam=1.0 / max(train.count(), 1), maxIter=200)
     elif name in ("base_rf_gini", "base_rf_entropy"):
         train = _balanced(train)
-        model = RandomForestClassifier(featuresCol=column, labelCol="y", numTrees=300, impurity=name.removeprefix("base_rf_"), minInstancesPerNode=5, maxDepth=12, weightCol="weight", seed=seed)
+        model = RandomForestClassifier(featuresCol=column, labelCol="y", numTrees=300, impurity=name.removeprefix("base_rf_"), minInstancesPerNode=5, maxDepth=30, weightCol="weight", seed=seed)
     elif name == "base_dffnn":
         model = MultilayerPerceptronClassifier(featuresCol=column, labelCol="y", layers=[len(features), 128, 64, 32, 2], maxIter=100, seed=seed)
     else:
         model = GBTClassifier(featuresCol=column, labelCol="y", maxIter=250, stepSize=0.06, maxDepth=4, seed=seed)
-    return _probability(Pipeline(stages=[model]).fit(train), test)
+    return _probability(Pipeline(stages=[model.setParams(**limits)]).fit(train), test)
 
 
-def benchmark(spark: SparkSession, base: DataFrame, folds: DataFrame, name: str, features: list[str], week: int, config: Config, specs: dict[str, list[tuple[str, str]]] = SPECS) -> DataFrame:
+def benchmark(spark: SparkSession, base: DataFrame, folds: DataFrame, name: str, features: list[str], week: int, config: Config, specs: dict[str, list[tuple[str, str]]] = SPECS, limits: dict[str, object] | None = None) -> DataFrame:
     """Scored panel of one model at one landmark.
 
     base has KEY, label, the membership columns and features. Each training population is fitted once per fold and
-    scores the union of its evaluation populations once. The rows are persisted, as every fit reads them. Folds whose training rows hold one class are left out.
+    scores the union of its evaluation populations once. Folds whose training rows hold one class are left out, and so
+    are evaluations whose test rows do. The rows are stored, as every fit reads them.
     """
-    rows = base.withColumn("y", F.col("label").cast("int")).join(folds.select(*KEY, "repeat", "fold"), KEY).persist()
+    rows = stored(base.withColumn("y", F.col("label").cast("int")).join(folds.select(*KEY, "repeat", "fold"), KEY), "benchmark")
     out: DataFrame | None = None
     for repeat in range(1, config.repeats + 1):
         for population, cells in specs.items():
             for fold in range(1, config.folds + 1):
                 mine = rows.where(F.col("repeat") == repeat)
                 train = mine.where((F.col("fold") != fold) & F.col(population))
-                test = mine.where((F.col("fold") == fold) & F.array_contains(F.array(*[F.col(e) for _, e in cells]), True))
-                if train.select("y").distinct().count() < 2 or test.isEmpty():
+                classes = lambda e: F.countDistinct(F.when((F.col("fold") == fold) & F.col(e), F.col("y")))  # noqa: B023, E731
+                sizes = mine.agg(F.countDistinct(F.when((F.col("fold") != fold) & F.col(population), F.col("y"))), *[classes(e) for _, e in cells]).first()
+                told = [cell for cell, n in zip(cells, sizes[1:]) if n > 1]
+                if sizes[0] < 2 or not told:
                     continue
-                scored = fit_and_score(name, train, test, features, config.seed + repeat * 100 + fold)
-                each = F.explode(F.array(*[F.struct(F.lit(p).alias("protocol"), F.lit(population).alias("train_protocol"), F.lit(e).alias("eval_protocol"), F.col(e).alias("use")) for p, e in cells]))
+                test = mine.where((F.col("fold") == fold) & F.array_contains(F.array(*[F.col(e) for _, e in told]), True))
+                scored = fit_and_score(name, train, test, features, config.seed + repeat * 100 + fold, limits)
+                each = F.explode(F.array(*[F.struct(F.lit(p).alias("protocol"), F.lit(population).alias("train_protocol"), F.lit(e).alias("eval_protocol"), F.col(e).alias("use")) for p, e in told]))
                 kept = scored.withColumn("cell", each).where("cell.use")
                 kept = kept.select(
                     "dataset", F.lit(week).alias("week"), "cell.protocol", "cell.train_protocol", "cell.eval_protocol", F.lit(name).alias("model"), *KEY, "y", "risk", "has_activity", "no_activity", "outcome_realized", "cutoff_valid", "membership_class",
@@ -164,3 +177,22 @@ def benchmark(spark: SparkSession, base: DataFrame, folds: DataFrame, name: str,
     if out is None:
         raise ValueError("no fold has two classes to train on")
     return out
+
+
+def run_cells(folder: str, cells: dict[tuple[int, str], Callable[[], DataFrame]], settings: dict[str, object]) -> list[tuple[int, str]]:
+    """Store the panel of every (week, model) below folder and return those that were computed now.
+
+    A cell's manifest is written last, so a cell without one is computed anew, and one whose manifest is of other
+    settings is an error: a finished run is taken up where it stopped, and never mixed with another.
+    """
+    fresh = []
+    for (week, name), build in cells.items():
+        manifest: dict[str, object] = {"week": week, "model": name, "settings": settings}
+        note = os.path.join(folder, f"week={week}-model={name}.json")
+        if may_resume(note, manifest):
+            continue
+        os.makedirs(folder, exist_ok=True)
+        write_table(build(), f"{folder}/panel/week={week}/model={name}")
+        write_json(manifest | {"signature": signature(manifest)}, note)
+        fresh.append((week, name))
+    return fresh
