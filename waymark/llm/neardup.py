@@ -35,6 +35,8 @@ BANDS, ROWS = 32, 4
 SAMPLES, BITS, SLACK = 256, 1024, 0.15
 #: Members of a bucket that are compared with each other in one block.
 BLOCK = 256
+#: Documents to look at again whose keys are broadcast, at 24 bytes each, after their number has been counted.
+HELD = 500_000
 #: Words that a worker keeps the hash of; emptied when full.
 MEMO = 1_000_000
 
@@ -131,7 +133,8 @@ def _differing(pairs: DataFrame, classes: DataFrame, hot: DataFrame) -> DataFram
 def _full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """set_id and shingles (array<long>) of the wanted set_ids, made anew from one text of each class."""
     ends = stored(wanted.join(classes.select("set_id", "row_key"), "set_id"), "ends")
-    rows = docs.select(wide_hash("doc_id", "text").alias("row_key"), "text").join(ends, "row_key")
+    held = F.broadcast(ends) if ends.count() <= HELD else ends  # beyond that the texts are shuffled
+    rows = docs.select(wide_hash("doc_id", "text").alias("row_key"), "text").join(held, "row_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
