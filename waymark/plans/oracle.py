@@ -426,6 +426,11 @@ def _contrasts(source: str, keys: str, name: str) -> str:
 {name} AS ({each})"""
 
 
+def _n(*names: str) -> str:
+    """As _r, off the edges between two roundings."""
+    return ", ".join(f"round({n} + 3e-11, 7) + 0.0 AS {n}" for n in names)
+
+
 _CI = "quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high"
 _POINT = [_metrics("pred", "dataset, week, model, protocol", "met"), "pnt AS (SELECT * FROM met UNPIVOT INCLUDE NULLS (value FOR metric IN (" + _SCORES + ")))"]
 _SPREAD = [_PRED, *_POINT, _draws(25), _drawn_metrics("pred", "drm")]
@@ -446,7 +451,7 @@ _DECOMPOSED = f"""
 dec AS (
   SELECT dataset, week, model, metric, contrast, value AS delta, ci_low, ci_high, 0.0::DOUBLE AS identity_residual, {_sided()}
   FROM pc LEFT JOIN (SELECT dataset, week, model, metric, contrast, {_CI} FROM dc GROUP BY ALL) USING (dataset, week, model, metric, contrast))"""
-_DEC = f"SELECT dataset, week, model, metric, contrast, {_r('delta', 'ci_low', 'ci_high')}, CASE WHEN delta IS NOT NULL THEN identity_residual END AS identity_residual, left_protocol, right_protocol FROM dec"
+_DEC = f"SELECT dataset, week, model, metric, contrast, {_n('delta', 'ci_low', 'ci_high')}, CASE WHEN delta IS NOT NULL THEN identity_residual END AS identity_residual, left_protocol, right_protocol FROM dec"
 _MODULES = _PRED.replace("code_module || '::' || code_presentation AS cluster_id", "code_module AS cluster_id")
 
 
@@ -458,14 +463,14 @@ def _sizes(source: str, keys: str) -> str:
 
 _add(
     "B4_bootstrap_summary_20_draws",
-    f"""SELECT dataset, week, protocol, model, metric, {_r('point')}, n, n_clusters, 'presentation' AS cluster_unit, {_r('ci_low', 'ci_high')}
+    f"""SELECT dataset, week, protocol, model, metric, {_n('point')}, n, n_clusters, 'presentation' AS cluster_unit, {_n('ci_low', 'ci_high')}
 FROM (SELECT dataset, week, model, protocol, metric, value AS point FROM pnt) JOIN (SELECT dataset, week, model, protocol, count(*) AS n, count(DISTINCT cluster_id) AS n_clusters FROM pred GROUP BY ALL) USING (dataset, week, model, protocol)
 LEFT JOIN (SELECT dataset, week, model, protocol, metric, {_CI} FROM drm GROUP BY ALL) USING (dataset, week, model, protocol, metric)""",
     *_SPREAD,
 )
 _add(
     "B5_bootstrap_distortion_20_draws",
-    f"""SELECT dataset, week, model, protocol, metric, {_r('delta', 'ci_low', 'ci_high')}, 'cutoff_valid' AS reference_protocol
+    f"""SELECT dataset, week, model, protocol, metric, {_n('delta', 'ci_low', 'ci_high')}, 'cutoff_valid' AS reference_protocol
 FROM (SELECT p.dataset, p.week, p.model, p.protocol, p.metric, p.value - r.value AS delta FROM pnt p JOIN pnt r USING (dataset, week, model, metric) WHERE p.protocol <> 'cutoff_valid' AND r.protocol = 'cutoff_valid')
 LEFT JOIN (SELECT dataset, week, model, protocol, metric, {_CI} FROM (SELECT p.dataset, p.week, p.model, p.protocol, p.metric, p.value - r.value AS value FROM drm p JOIN drm r USING (dataset, week, model, metric, draw) WHERE p.protocol <> 'cutoff_valid' AND r.protocol = 'cutoff_valid') GROUP BY ALL)
   USING (dataset, week, model, protocol, metric)""",
@@ -473,10 +478,10 @@ LEFT JOIN (SELECT dataset, week, model, protocol, metric, {_CI} FROM (SELECT p.d
 )
 _add("B6_decomposition_20_draws", _DEC, *_SPREAD, _PLAIN, _DREW, _DECOMPOSED)
 _add("B7_module_clusters_20_draws", _DEC, _MODULES, *_POINT, _draws(5), _drawn_metrics("pred", "drm"), _PLAIN, _DREW, _DECOMPOSED)
-_add("A26_exclusion_counts_20_draws", f"SELECT metric, contrast, count(*) AS cells, count_if(ci_low > 0 OR ci_high < 0)::BIGINT AS excluding_zero, {_r('median_delta', 'mean_delta')} FROM (SELECT *, median(delta) OVER g AS median_delta, avg(delta) OVER g AS mean_delta FROM dec WINDOW g AS (PARTITION BY metric, contrast)) GROUP BY metric, contrast, median_delta, mean_delta", *_SPREAD, _PLAIN, _DREW, _DECOMPOSED)
+_add("A26_exclusion_counts_20_draws", f"SELECT metric, contrast, count(*) AS cells, count_if(ci_low > 0 OR ci_high < 0)::BIGINT AS excluding_zero, {_n('median_delta', 'mean_delta')} FROM (SELECT *, median(delta) OVER g AS median_delta, avg(delta) OVER g AS mean_delta FROM dec WINDOW g AS (PARTITION BY metric, contrast)) GROUP BY metric, contrast, median_delta, mean_delta", *_SPREAD, _PLAIN, _DREW, _DECOMPOSED)
 _add(
     "B8_aggregate_20_draws",
-    f"""SELECT metric, contrast, {_r('point_mean', 'bootstrap_mean', 'ci_low', 'ci_high')}, finite_draws, (SELECT count(*) FROM (SELECT DISTINCT dataset, week, model FROM pc)) AS cells
+    f"""SELECT metric, contrast, {_n('point_mean', 'bootstrap_mean', 'ci_low', 'ci_high')}, finite_draws, (SELECT count(*) FROM (SELECT DISTINCT dataset, week, model FROM pc)) AS cells
 FROM (SELECT metric, contrast, value AS point_mean FROM {_sizes('pm', 'metric')})
 JOIN (SELECT metric, contrast, avg(value) AS bootstrap_mean, {_CI}, count(value) AS finite_draws FROM {_sizes('dm', 'draw, metric')} GROUP BY ALL) USING (metric, contrast)""",
     *_SPREAD, _PLAIN, _DREW, "pm AS (SELECT metric, contrast, avg(value) AS value FROM pc GROUP BY ALL)",
@@ -484,7 +489,7 @@ JOIN (SELECT metric, contrast, avg(value) AS bootstrap_mean, {_CI}, count(value)
 )
 _add(
     "B9_paired_difference_20_draws",
-    f"""SELECT metric, contrast, {_r('bootstrap_mean', 'ci_low', 'ci_high')}, finite_draws
+    f"""SELECT metric, contrast, {_n('bootstrap_mean', 'ci_low', 'ci_high')}, finite_draws
 FROM (SELECT metric, contrast, avg(value) AS bootstrap_mean, {_CI}, count(value) AS finite_draws FROM (
   SELECT metric, contrast, a.value - b.value AS value FROM (SELECT draw, metric, contrast, avg(value) AS value FROM ec GROUP BY ALL) a JOIN (SELECT draw, metric, contrast, avg(value) AS value FROM dc GROUP BY ALL) b USING (draw, metric, contrast)) GROUP BY ALL)""",
     _PRED, _draws(25), _drawn_metrics("pred", "drm"), _DREW, _PRED.replace("pred AS", "pred2 AS").replace("7919", "6421"), _drawn_metrics("pred2", "erm"), _contrasts("erm", f"{_CELL}, draw", "ec"),
