@@ -33,7 +33,7 @@ SHARES = (1.0, 0.5, 0.0)
 #: Words that a worker keeps the ids of; the table is emptied when full, which costs time and changes no result.
 MEMO = 1_200_000
 #: Pieces of a length that are ranked together in a task.
-RANKED = 4000
+RANKED = 500
 
 
 class WordTokenizer:
