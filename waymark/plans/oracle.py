@@ -447,11 +447,15 @@ def _sided() -> str:
     return ", ".join(out)
 
 
+def _term(contrast: str) -> str:
+    return f"max(CASE WHEN contrast = '{contrast}' THEN value END) OVER (PARTITION BY dataset, week, model, metric)"
+
+
 _DECOMPOSED = f"""
 dec AS (
-  SELECT dataset, week, model, metric, contrast, value AS delta, ci_low, ci_high, 0.0::DOUBLE AS identity_residual, {_sided()}
+  SELECT dataset, week, model, metric, contrast, value AS delta, ci_low, ci_high, {_term('joint_population_difference')} - {_term('evaluation_population_shapley')} - {_term('training_population_shapley')} AS identity_residual, {_sided()}
   FROM pc LEFT JOIN (SELECT dataset, week, model, metric, contrast, {_CI} FROM dc GROUP BY ALL) USING (dataset, week, model, metric, contrast))"""
-_DEC = f"SELECT dataset, week, model, metric, contrast, {_n('delta', 'ci_low', 'ci_high')}, CASE WHEN delta IS NOT NULL THEN identity_residual END AS identity_residual, left_protocol, right_protocol FROM dec"
+_DEC = f"SELECT dataset, week, model, metric, contrast, {_n('delta', 'ci_low', 'ci_high', 'identity_residual')}, left_protocol, right_protocol FROM dec"
 _MODULES = _PRED.replace("code_module || '::' || code_presentation AS cluster_id", "code_module AS cluster_id")
 
 
