@@ -347,6 +347,34 @@ def test_cells_are_taken_up_and_not_mixed(spark, tmp_path):
         models.run_cells(folder, cells, {"seed": 2})
 
 
+def test_augmentation_refits_whole_populations(spark):
+    schema = "id_student long, protocol string, p_success double"
+    old = table(spark, [(1, "static_full", 0.1), (1, "cutoff_valid", 0.2), (1, "activity_conditioned", 0.3), (1, "activity_to_cutoff_valid", 0.4), (1, "hazard", 0.5)], schema)
+    asked = []
+
+    def refit(specs):
+        asked.append(specs)
+        rows = [(1, p, t, e, 0.9) for t, cells in specs.items() for p, e in cells]
+        return table(spark, rows, "id_student long, protocol string, train_protocol string, eval_protocol string, p_success double")
+
+    written = models.protocol({"seed": 1}, {"panel": old})
+    assert [c["protocol"] for c in written["cells"]] == [p for cells in models.SPECS.values() for p, _ in cells]
+    got = {r["protocol"]: (r["train_protocol"], r["eval_protocol"], r["p_success"]) for r in models.augment(old, written, {"seed": 1}, refit).collect()}
+    assert asked == [{"cutoff_valid": models.SPECS["cutoff_valid"]}]
+    assert got == {
+        "static_full": ("static_full", "static_full", 0.1), "activity_conditioned": ("activity_conditioned", "activity_conditioned", 0.3),
+        "activity_to_cutoff_valid": ("activity_conditioned", "cutoff_valid", 0.4), "hazard": (None, None, 0.5),
+        "cutoff_valid": ("cutoff_valid", "cutoff_valid", 0.9), "cutoff_valid_to_activity": ("cutoff_valid", "activity_conditioned", 0.9),
+    }
+    with pytest.raises(ValueError, match="other settings"):
+        models.augment(old, written, {"seed": 2}, refit)
+    with pytest.raises(ValueError, match="not the one"):
+        models.augment(old.where("p_success < 0.5"), written, {"seed": 1}, refit)
+    whole = table(spark, [(1, p, 0.5) for cells in models.SPECS.values() for p, _ in cells], schema)
+    with pytest.raises(ValueError, match="nothing to add"):
+        models.augment(whole, models.protocol({"seed": 1}, {"panel": whole}), {"seed": 1}, refit)
+
+
 def test_hazard_from_frame_to_scores(spark):
     rows = benchmark_base(spark).drop("a", "b")
     members = rows.withColumn("week", F.explode(F.array(F.lit(2), F.lit(4)))).withColumn("cutoff_day", 7 * F.col("week")).withColumn("cutoff_valid", F.lit(True))

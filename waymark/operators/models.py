@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.columns import KEY, group_id
-from waymark.operators.checks import may_resume, signature
+from waymark.operators.checks import may_resume, signature, table_digest
 from waymark.sources.scratch import stored
 from waymark.sources.tables import write_json, write_table
 
@@ -196,3 +196,42 @@ def run_cells(folder: str, cells: dict[tuple[int, str], Callable[[], DataFrame]]
         write_json(manifest | {"signature": signature(manifest)}, note)
         fresh.append((week, name))
     return fresh
+
+
+def protocol(settings: dict[str, object], tables: dict[str, DataFrame], specs: dict[str, list[tuple[str, str]]] = SPECS) -> dict[str, object]:
+    """What a run was asked for and what it made: its settings, its cells, and the digest of each finished table.
+
+    A panel is only added to under the protocol that was written with it.
+    """
+    cells = [{"protocol": p, "train_protocol": population, "eval_protocol": e} for population, each in specs.items() for p, e in each]
+    return {"settings": settings, "cells": cells, "tables": {name: table_digest(df) for name, df in sorted(tables.items())}}
+
+
+def incomplete(panel: DataFrame, specs: dict[str, list[tuple[str, str]]] = SPECS) -> dict[str, list[tuple[str, str]]]:
+    """The training populations for which the panel lacks a protocol, each with all its protocols: the cells of one
+    population must come from one fitted model. Only the names of protocols reach the driver, one for each cell."""
+    wanted = [p for cells in specs.values() for p, _ in cells]
+    held = {r["protocol"] for r in panel.where(F.col("protocol").isin(wanted)).select("protocol").distinct().collect()}
+    return {population: cells for population, cells in specs.items() if not held.issuperset(p for p, _ in cells)}
+
+
+def augment(panel: DataFrame, written: dict[str, object], settings: dict[str, object], refit: Callable[[dict[str, list[tuple[str, str]]]], DataFrame], specs: dict[str, list[tuple[str, str]]] = SPECS) -> DataFrame:
+    """The panel with the cells that it lacks: the populations that refit fits anew replace all their rows.
+
+    written is the protocol that was stored with the panel. Other settings, a panel that is not the one it describes,
+    and a panel that lacks nothing are errors. Rows of protocols outside specs stay, with null populations; a panel
+    without the columns of its populations gets them.
+    """
+    if written["settings"] != settings:
+        raise ValueError("the panel was made under other settings")
+    if written["tables"].get("panel") != table_digest(panel):
+        raise ValueError("the panel is not the one of its protocol")
+    lacking = incomplete(panel, specs)
+    if not lacking:
+        raise ValueError("the panel holds every cell; nothing to add")
+    spark = panel.sparkSession
+    renewed = spark.createDataFrame([(p,) for cells in lacking.values() for p, _ in cells], "protocol string")
+    places = spark.createDataFrame([(p, population, e) for population, cells in specs.items() for p, e in cells], "protocol string, train_protocol string, eval_protocol string")
+    # Both are as many rows as there are cells in specs.
+    kept = panel.drop("train_protocol", "eval_protocol").join(F.broadcast(renewed), "protocol", "left_anti")
+    return kept.join(F.broadcast(places), "protocol", "left").unionByName(refit(lacking), allowMissingColumns=True)
