@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, linededup, neardup, packing, pii, quality, sharding, topk, urls
+from . import bpe, ctw, linededup, neardup, packing, periodic, pii, quality, sharding, topk, urls
 from .common import table
 
 
@@ -64,7 +64,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_top_k, op3_near_dedup, op4_packing, op5_sharding, op6_url_filters, op7_quality, op8_ctw, op9_pii, op10_bpe, url_rules, shard_places)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic.periodic_runs(periodic.plant_runs(table(spark, sf_dir, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    best = F.col("longest")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_top_k, op3_near_dedup, op4_packing, op5_sharding, op6_url_filters, op7_quality, op8_ctw, op9_pii, op10_bpe, op11_periodic_runs, url_rules, shard_places)}
 
 _OP1 = f"""
 WITH lines AS (
