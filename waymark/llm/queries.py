@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, linededup, neardup, packing, periodic, pii, quality, sharding, topk, urls
+from . import bpe, ctw, linededup, neardup, packing, periodic, pii, quality, sharding, topk, urls, whitening
 from .common import table
 
 
@@ -74,7 +74,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_top_k, op3_near_dedup, op4_packing, op5_sharding, op6_url_filters, op7_quality, op8_ctw, op9_pii, op10_bpe, op11_periodic_runs, url_rules, shard_places)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact part of op12_whitening, which SQL can express: a row per vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).where("component = 1").select("vec_id", "n", "deviation")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_top_k, op3_near_dedup, op4_packing, op5_sharding, op6_url_filters, op7_quality, op8_ctw, op9_pii, op10_bpe, op11_periodic_runs, op12_whitening, url_rules, shard_places, whitening_deviations)}
 
 _OP1 = f"""
 WITH lines AS (
@@ -178,4 +187,13 @@ def _js(p: str, q: str) -> str:
 
 _OP7 = _OP7.replace("{js:cc:rc}", _js("cc", "rc")).replace("{js:wc:rw}", _js("wc", "rw"))
 
-ORACLE_SQL = {"op1_line_dedup": _OP1, "op2_top_k": _OP2, "op7_quality": _OP7, "url_rules": _URLS, "shard_places": _SHARDS}
+_DEVIATIONS = f"""
+WITH whole AS (
+  SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda c: floor(c::DOUBLE * {whitening.SCALE})::BIGINT + {whitening.SHIFT}) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+each AS (SELECT k, vec_id, len(x) AS dim, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS x FROM whole),
+sums AS (SELECT dim, pos, count(*)::HUGEINT AS n, sum(x)::HUGEINT AS s FROM each GROUP BY ALL)
+SELECT vec_id, any_value(n)::BIGINT AS n, sum((n * x - s) * (n * x - s))::BIGINT AS deviation FROM each JOIN sums USING (dim, pos) GROUP BY k, vec_id
+"""
+
+ORACLE_SQL = {"op1_line_dedup": _OP1, "op2_top_k": _OP2, "op7_quality": _OP7, "url_rules": _URLS, "shard_places": _SHARDS, "whitening_deviations": _DEVIATIONS}
