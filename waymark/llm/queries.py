@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, linededup, neardup, packing, periodic, pii, quality, sharding, topk, urls, whitening
+from . import bpe, ctw, html, linededup, neardup, packing, periodic, pii, quality, sharding, topk, urls, whitening
 from .common import table
 
 
@@ -83,7 +83,11 @@ def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).where("component = 1").select("vec_id", "n", "deviation")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_top_k, op3_near_dedup, op4_packing, op5_sharding, op6_url_filters, op7_quality, op8_ctw, op9_pii, op10_bpe, op11_periodic_runs, op12_whitening, url_rules, shard_places, whitening_deviations)}
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_top_k, op3_near_dedup, op4_packing, op5_sharding, op6_url_filters, op7_quality, op8_ctw, op9_pii, op10_bpe, op11_periodic_runs, op12_whitening, op13_html_text, url_rules, shard_places, whitening_deviations)}
 
 _OP1 = f"""
 WITH lines AS (
