@@ -127,7 +127,6 @@ class Page:
                         lower = html.lower()
                         if len(lower) != size:  # a letter whose small form is longer
                             lower = re.sub("[A-Z]+", lambda m: m[0].lower(), html)
-                    self.block(name)
                     end = lower.find(f"</{name}", at)
                     at = size if end < 0 else (html.find(">", end) + 1 or size)
                 else:
