@@ -62,12 +62,12 @@ def hot_keys(sizes: DataFrame, key: str, size: str) -> DataFrame:
     return sizes.where(F.col(size) > max(total // HOT_SHARE, HOT_ROWS)).select(key)
 
 
-def salted_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def salted_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, hint: str | None = None) -> DataFrame:
     """Inner join on one key. Rows of hot keys are spread over SALTS tasks, to which the table's rows of these keys are
-    copied; only the hot keys themselves are broadcast."""
+    copied; only the hot keys themselves are broadcast. A hint fixes the kind of join whatever the table's size."""
     marked = F.broadcast(hot.select(F.col(hot.columns[0]).alias(key)).distinct().withColumn("is_hot", F.lit(True)))
     place = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
     left = rows.join(marked, key, "left").withColumn("salt", F.when(F.col("is_hot"), place).otherwise(0)).drop("is_hot")
     each = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = table.join(marked, key, "left").withColumn("salt", F.explode(each)).drop("is_hot")
-    return left.join(right, [key, "salt"]).drop("salt")
+    return left.join(right.hint(hint) if hint else right, [key, "salt"]).drop("salt")

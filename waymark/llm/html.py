@@ -9,17 +9,18 @@ and the like) is deleted as well, and what it says is the article is kept, since
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import stored
+from .common import hot_keys, salted_join, stored, wide_hash
 
 #: Pages of a host, next to each other by URL, that are compared within a group; the last group takes up to twice as many.
 GROUP = 64
@@ -247,54 +248,53 @@ def _trace(a: list[int], b: list[int]) -> list[int]:
     return found[::-1]
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """num, the row's number, and its lines: for pairing their hashes, sizes and scopes, and the lines themselves."""
+def _parsed(pages: DataFrame, kept: list[str], schema: str, cells: Callable[[Page], list]) -> DataFrame:
+    """The columns kept of each page, and what cells makes of its markup."""
+    own = StructType.fromDDL(schema)
+    kinds = to_arrow_schema(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        num = TaskContext.get().partitionId() << 33
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("hashes", "sizes", "scopes", "lines")}
-            for html in batch.column("html"):
-                page = Page(html.as_py() or "")
-                out["hashes"].append([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - 2**63 for x in page.lines])
-                out["sizes"].append([len(x) for x in page.lines])
-                out["scopes"].append(page.scopes)
-                out["lines"].append(page.lines)
-            n = batch.num_rows
-            kinds = {"hashes": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "scopes": pa.list_(pa.int32()), "lines": pa.list_(pa.string())}
-            yield pa.RecordBatch.from_arrays([pa.array(range(num, num + n), pa.int64()), *batch.columns[:-1], *[pa.array(out[c], kinds[c]) for c in kinds]], ["num", *batch.schema.names[:-1], *kinds])
-            num += n
+            found = [cells(Page(x.as_py() or "")) for x in batch.column(len(kept))]
+            made = [pa.array([f[k] for f in found], kind.type) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], [*kept, *kinds.names])
 
-    host = F.coalesce(F.translate(F.regexp_extract("url", "://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
-    path = F.coalesce(F.regexp_extract("url", "://[^/?#]*([^#]*)", 1), F.lit(""))
-    kept = ["page_id", "url"]
-    kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in kept)
-    shape = f"num long, {kinds}, host string, path string, hashes array<long>, sizes array<int>, scopes array<int>, lines array<string>"
-    return stored(pages.select(*kept, host.alias("host"), path.alias("path"), "html").mapInArrow(run, shape), "page-lines")
+    return pages.select(*kept, "html").mapInArrow(run, StructType([*pages.select(*kept).schema, *own]))
+
+
+def _signature(page: Page) -> list:
+    return [[xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - 2**63 for x in page.lines], [len(x) for x in page.lines], page.scopes]
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """rows with rank, their place in their host by path, and part, groups of GROUP neighbours and up to twice as many.
+def _kept_lines(page: Page) -> list:
+    return [[None if s == MARKED else x for x, s in zip(page.lines, page.scopes)], page.scopes]
 
-    One range shuffle of the pages' keys; places are counted within its partitions and moved by what earlier partitions
-    hold of the host, one row per partition and host.
+
+def _signatures(pages: DataFrame) -> DataFrame:
+    """Stored rows of the pages' keys, hosts, paths, and their lines' hashes, sizes and scopes; with group, a number of
+    neighbours by URL within a host: GROUP and up to twice as many, and rank, the place in the host.
+
+    One range shuffle of these narrow rows. Places are counted within its partitions and moved by what earlier ones hold
+    of the host, one row per partition and host.
     """
-    order = ["host", "path", "num"]
-    cut = stored(rows.select(*order).repartitionByRange(*order).withColumn("slice", F.spark_partition_id()), "page-order")
-    counts = cut.groupBy("host", "slice").agg(F.count("*").alias("n"))
+    host = F.coalesce(F.translate(F.regexp_extract("url", "://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    path = F.coalesce(F.regexp_extract("url", "://[^/?#]*([^#]*)", 1), F.lit(""))
+    keyed = pages.select("key", host.alias("host"), path.alias("path"), "html")
+    rows = stored(_parsed(keyed, ["key", "host", "path"], "hashes array<long>, sizes array<int>, scopes array<int>", _signature), "page-signatures")
+    order = ["host", "path", "key"]
+    cut = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("slice", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).drop("path"), "page-order")
+    counts = cut.groupBy("host", "slice").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     by_host = Window.partitionBy("host")
     before = F.coalesce(F.sum("n").over(by_host.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("host", "slice", before.alias("earlier"), F.sum("n").over(by_host).alias("total"))
-    inside = cut.withColumn("nth", F.row_number().over(Window.partitionBy("slice", "host").orderBy("path", "num")))
-    placed = inside.join(counts, ["host", "slice"]).withColumn("rank", F.col("earlier") + F.col("nth") - 1)
+    counts = counts.select("host", "slice", "first", before.alias("earlier"), F.sum("n").over(by_host).alias("total"))
+    placed = cut.join(counts, ["host", "slice"]).withColumn("rank", F.col("earlier") + F.col("at") - F.col("first"))
     last = F.greatest(F.floor(F.col("total") / GROUP) - 1, F.lit(0))
-    return placed.select("num", "host", "rank", F.least(F.floor(F.col("rank") / GROUP), last).alias("part"))
+    return placed.select("key", "host", "hashes", "sizes", "scopes", "rank", F.least(F.floor(F.col("rank") / GROUP), last).alias("part"))
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """num and shared, for each line of a page of the group whether one of its nearest pages has it too."""
+    """key, rank and shared, for each line of a page of the group whether one of its nearest pages has it too."""
     table = table.sort_by("rank")
-    nums = table.column("num").to_pylist()
     pages = list(zip(*[[np.array(x.as_py() or [], np.int64) for x in table.column(c)] for c in ("hashes", "sizes", "scopes")]))
     weights = [dict(zip(h[s != MARKED].tolist(), w[s != MARKED].tolist())) for h, w, s in pages]
     lines = [h.tolist() for h, _, _ in pages]
@@ -313,26 +313,31 @@ def _compare(table: pa.Table) -> pa.Table:
             if taken >= NEAREST:
                 break
         out.append(shared.tolist())
-    return pa.table({"num": pa.array(nums, pa.int64()), "shared": pa.array(out, pa.list_(pa.bool_()))})
+    return pa.table({"key": table.column("key"), "rank": table.column("rank"), "shared": pa.array(out, pa.list_(pa.bool_()))})
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, and the numbers of lines: n_lines of the page, n_shared of them deleted because a
     near page of the host has them, n_marked deleted because of the markup alone, for every row of pages.
 
-    A line is deleted where one of the NEAREST pages of its host by URL (path and query; ties by the rows' order), within
+    A line is deleted where one of the NEAREST pages of its host by URL (path and query; ties by a hash of the row), within
     groups of GROUP and up to twice as many, shares it on a longest common subsequence. Pages that share more than COPY of
     either's text are copies of one article and are passed over for the next. Lines of an article or main element are
     kept. Null or empty html gives an empty text; pages of a null url, or one without host, count as one host's;
     repeated rows are copies of each other; further columns are not read.
     """
-    rows = page_lines(pages)
-    near = rows.select("num", "hashes", "sizes", "scopes").join(_grouped(rows), "num")
-    found = near.groupBy("host", "part").applyInArrow(_compare, "num long, shared array<boolean>").where(F.exists("shared", lambda x: x))
-    line = F.arrays_zip("lines", "scopes", F.coalesce("shared", F.array_repeat(F.lit(False), F.size("lines"))).alias("shared"))
+    key = wide_hash(F.col("page_id"), F.col("url"), F.col("html"))
+    rows = pages.select("page_id", "url", "html", key.alias("key"))
+    signatures = _signatures(rows)
+    found = signatures.groupBy("host", "part").applyInArrow(_compare, "key struct<a: long, b: long>, rank long, shared array<boolean>")
+    # Rows equal in all three columns are one key; the first of them by place speaks for all.
+    found = stored(found.groupBy("key").agg(F.min_by("shared", "rank").alias("shared"), F.count("*").alias("n")), "page-shared")
+    lines = _parsed(rows, ["page_id", "url", "key"], "lines array<string>, scopes array<int>", _kept_lines)
+    # Equal rows are told apart by the partition they come from, so that a key of many is spread.
+    joined = salted_join(lines.withColumn("slice", F.spark_partition_id()), found.drop("n"), "key", hot_keys(found, "key", "n"), hint="merge")
+    joined = joined.select("page_id", "url", F.arrays_zip("lines", "scopes", "shared").alias("line"))
     is_article, is_marked = (lambda x: x["scopes"] == ARTICLE), (lambda x: x["scopes"] == MARKED)
     count = lambda rule: F.size(F.filter("line", rule)).cast("long")
-    joined = rows.join(found, "num", "left").select("page_id", "url", line.alias("line"))
     kept = F.filter("line", lambda x: is_article(x) | ~is_marked(x) & ~x["shared"])
     text = F.array_join(F.transform(kept, lambda x: x["lines"]), " ")
     counts = [F.size("line").cast("long").alias("n_lines"), count(lambda x: ~is_article(x) & x["shared"]).alias("n_shared"), count(lambda x: is_marked(x) & ~x["shared"]).alias("n_marked")]
