@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 from waymark.functions.columns import KEY, average_rank, correlation, day_to_week, finite
 from waymark.operators import behaviour, bootstrap, checks, cohort, decide, evidence, hazard, metrics, models, represent, state, static, traversal
+from waymark.operators.boosting import Boosting
+from waymark.operators.network import Training
 
 ME = (1, "M", "P")
 
@@ -124,7 +128,7 @@ def test_draw_metrics_equal_those_of_weighted_counts(spark):
     rows = [("d", w, "p", "m", f"c{k % 4}", int(rng.integers(0, 2)) if w == 1 else 1, float(np.round(rng.random(), 1))) for w in (1, 2) for k in range(80)]
     df = table(spark, [*rows, ("d", 3, "p", "m", "c9", 1, 0.5)], "dataset string, week int, protocol string, model string, cluster_id string, y int, p_success double")
     keys = ["dataset", "week", "protocol", "model"]
-    drawn = bootstrap.draw_table(spark, ["c0", "c1", "c2", "c3"], 120, 5)
+    drawn = bootstrap.draw_table(table(spark, [(f"c{k}",) for k in range(4)], "cluster_id string"), 120, 5)
     got = {(r["week"], r["draw"]): r for r in bootstrap.metric_draws(df, drawn, keys).collect()}
     counts = metrics.threshold_counts(df, keys, "cluster_id").join(drawn, "cluster_id").groupBy(*keys, "draw", "p").agg(F.sum(F.col("s") * F.col("w")).alias("s"), F.sum(F.col("f") * F.col("w")).alias("f"))
     expected = {(r["week"], r["draw"]): r for r in metrics.metrics_of_counts(counts, [*keys, "draw"]).collect()}
@@ -135,27 +139,46 @@ def test_draw_metrics_equal_those_of_weighted_counts(spark):
             assert (got[key][name] is None) == (r[name] is None) and (r[name] is None or math.isclose(got[key][name], r[name], abs_tol=1e-12))
 
 
-def test_boosting_has_the_reference_rounds(spark, monkeypatch):
-    asked = {}
-
-    class Stop(Exception):
-        pass
-
-    def boosted(**more):
-        asked.update(more)
-        raise Stop
-
-    monkeypatch.setattr(models, "GBTClassifier", boosted)
-    rows = table(spark, [(0.0, 0), (1.0, 1)], "a double, y int")
-    with pytest.raises(Stop):
-        models.fit_and_score("flat_hgb", rows, rows, ["a"], 1)
-    assert asked["maxIter"] == 250 and asked["stepSize"] == 0.06
-
-
-def test_draws_are_the_generators(spark):
-    got = {(r["draw"], r["cluster_id"]): r["w"] for r in bootstrap.draw_table(spark, ["a", "b", "c"], 50, 7).collect()}
-    expected = np.random.default_rng(7).multinomial(3, [1 / 3] * 3, size=50)
-    assert all(got.get((d, c), 0) == expected[d, k] for d in range(50) for k, c in enumerate("abc"))
+def test_boosting_has_the_reference_settings():
+    own = Boosting()
+    assert (own.rounds, own.rate, own.leaves, own.l2) == (250, 0.06, 15, 1.0)
+    net = Training()
+    assert (net.hidden, net.decay, net.batch, net.rate, net.epochs, net.held, net.patience) == ((128, 64, 32), 1e-4, 256, 1e-3, 300, 0.1, 15)
+
+
+def test_draws_are_hashes_of_slots(spark):
+    names = ["b", "a", "c"]
+    clusters = bootstrap.clusters_of(table(spark, [(n,) for n in [*names, *names, None]], "cluster_id string"))
+    got = {(r["draw"], r["cluster_id"]): r["w"] for r in bootstrap.draw_table(clusters, 50, 7).collect()}
+    expected = Counter((d, sorted(names)[int(hashlib.md5(f"7:{d}:{k}".encode()).hexdigest()[:13], 16) % 3]) for d in range(50) for k in range(3))
+    assert got == dict(expected)
+    assert bootstrap.draw_table(clusters.where("false"), 5).count() == 0
+
+
+def test_slices_change_no_metric(spark):
+    """A panel of continuous and rare risks over many slices equals the same in one."""
+    rng = np.random.default_rng(8)
+    p = np.concatenate([1 - rng.random(1500) ** 8 / 50, np.round(rng.random(300), 2)])
+    rows = [("m", f"c{k % 30}" if k % 50 else None, int(rng.random() < v), float(v)) for k, v in enumerate(p)]
+    df = table(spark, rows, "model string, cluster_id string, y int, p_success double")
+    drawn = bootstrap.draw_table(bootstrap.clusters_of(df), 40, 1)
+
+    def run(partitions, size):
+        for k, v in (("spark.sql.shuffle.partitions", partitions), ("spark.sql.adaptive.coalescePartitions.enabled", size)):
+            spark.conf.set(k, v)
+        slices = metrics.sliced(metrics.threshold_counts(df, ["model"]), ["model"]).groupBy("slice").count().collect()
+        cell = metrics.cell_metrics(df, ["model"]).first()
+        return [r["count"] for r in slices], cell, {r["draw"]: r for r in bootstrap.metric_draws(df, drawn, ["model"], points=True).collect()}
+
+    one, cell, whole = run("1", "true")
+    many, cut_cell, cut = run("16", "false")
+    for k, v in (("spark.sql.shuffle.partitions", "4"), ("spark.sql.adaptive.coalescePartitions.enabled", "true")):
+        spark.conf.set(k, v)
+    assert len(one) == 1 and len(many) == 16 and max(many) <= 2 * sum(many) / len(many)
+    assert whole.keys() == cut.keys() == {-1, *range(40)}
+    for name in ("n", *metrics.METRICS):
+        assert math.isclose(cell[name], cut_cell[name], rel_tol=1e-12) and math.isclose(whole[-1][name], cell[name], rel_tol=1e-12)
+        assert all(math.isclose(whole[d][name], cut[d][name], rel_tol=1e-12) for d in whole)
 
 
 def test_contrasts_add_up():
@@ -292,7 +315,7 @@ def scored_rows(spark, n=240):
 
 
 #: Parameters that keep a fit short.
-SHORT = {"flat_hgb": {"maxIter": 5}, "base_rf_gini": {"numTrees": 5}, "base_rf_entropy": {"numTrees": 5}, "base_dffnn": {"maxIter": 30}}
+SHORT = {"flat_hgb": {"rounds": 5, "rate": 0.3}, "base_rf_gini": {"numTrees": 5}, "base_rf_entropy": {"numTrees": 5}, "base_dffnn": {"epochs": 25, "batch": 16}}
 
 
 @pytest.mark.parametrize("name", ["flat_hgb", "base_lr_weekly", "base_rf_gini", "base_rf_entropy", "base_svm", "base_knn", "base_dffnn"])
@@ -386,7 +409,7 @@ def test_hazard_from_frame_to_scores(spark):
     assert names == ["a", "b", "landmark_week"] and ready.where("landmark_week = 2 AND b != 0").isEmpty()
     config = models.Config(folds=3, repeats=2)
     folds = models.fold_table(rows.select(*KEY, "label"), config)
-    scores = hazard.hazard_scores(ready, folds, "flat_hgb", names, config, {"maxIter": 3})
+    scores = hazard.hazard_scores(ready, folds, "flat_hgb", names, config, {"rounds": 3, "rate": 0.3})
     assert scores.count() == 2 * 480
     panel = hazard.average_hazard(scores)
     assert panel.count() == 480 and metrics.cell_metrics(panel, ["model"]).first()["auc"] > 0.7

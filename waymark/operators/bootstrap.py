@@ -1,18 +1,24 @@
 """Cluster bootstrap of the metrics and of contrasts between training and evaluation populations.
 
-Draws are frequencies of clusters, made on the driver: their number is draws times clusters, whatever the number of
-enrolments. One table of draws over the sorted clusters serves all cells, so contrasts between cells are paired.
-Counts by threshold and cluster are weighted by the draws; rows of enrolments never meet a draw.
+A draw takes as many clusters as there are, each slot by a hash of the seed, the draw and the slot, so draws are made where
+they are used and come out alike on every engine and cluster. One table of draws over the sorted clusters serves all
+cells, so contrasts between cells are paired. Counts by threshold and cluster are cut into slices of the risk, and each
+task weighs a slice by all draws; what riskier slices hold is carried in from their totals. The points are one more draw,
+which takes every cluster once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.operators.metrics import EDGES, METRICS, cell_metrics, threshold_counts
+from waymark.operators.metrics import EDGES, METRICS, sliced, threshold_counts
+from waymark.operators.order import numbered
+from waymark.sources.scratch import stored
 
 AA, VV, AV, VA = "activity_conditioned", "cutoff_valid", "activity_to_cutoff_valid", "cutoff_valid_to_activity"
 #: Contrasts as weights of the cells AA, AV, VA, VV.
@@ -26,84 +32,148 @@ CONTRASTS = {
     "training_population_shapley": (0.5, 0.5, -0.5, -0.5),
 }
 CELLS = (AA, AV, VA, VV)
-#: Draws whose metrics of a cell are computed together in a task.
-DRAW_BLOCK = 50
+#: The draw that takes every row once: the point values.
+POINT = -1
 #: Products of a count and a weight that are held at once, at most about so many.
 PRODUCTS = 2_000_000
+#: Hexadecimal digits of a slot's hash that choose its cluster.
+DIGITS = 13
+_SUMS = ["successes", "failures", "auc_sum", "ap_sum", "brier_sum", *[f"off{k}" for k in range(len(EDGES) + 1)]]
 
 
-def draw_table(spark: SparkSession, clusters: list[str], n_boot: int, seed: int = 42) -> DataFrame:
-    """draw, cluster_id, w: how often each draw takes a cluster; rows with w = 0 are left out."""
-    n = len(clusters)
-    counts = np.random.default_rng(seed).multinomial(n, np.full(n, 1.0 / n), size=n_boot) if n else np.zeros((n_boot, 0), int)
-    rows = [(int(d), clusters[c], int(counts[d, c])) for d, c in zip(*np.nonzero(counts))]
-    return spark.createDataFrame(rows, "draw int, cluster_id string, w int")
-
-
-def clusters_of(predictions: DataFrame) -> list[str]:
-    """The sorted clusters; few by nature (presentations, modules)."""
-    return sorted(r[0] for r in predictions.select(F.col("cluster_id").cast("string")).where("cluster_id IS NOT NULL").distinct().collect())
+def clusters_of(predictions: DataFrame) -> DataFrame:
+    """The distinct clusters as strings; null is none."""
+    return predictions.select(F.col("cluster_id").cast("string").alias("cluster_id")).where("cluster_id IS NOT NULL").distinct()
 
 
-def _draw_metrics(p: np.ndarray, s: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """n and METRICS by column from the draws' successes s and failures f (draws x thresholds) at the rising thresholds p."""
-    n, successes, failures = s + f, s.sum(1), f.sum(1)
-    total = successes + failures
-    last = np.searchsorted(-(1 - p), -(1 - p), side="right") - 1  # of the thresholds that tie as risks
-    below = np.cumsum(f, 1)
-    caught, flagged = below[:, last], np.cumsum(n, 1)[:, last]
-    bins = np.searchsorted(EDGES, p, side="right")
-    starts = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        auc = (s * (below - f / 2)).sum(1) / (successes * failures)
-        pr_auc = np.where(f > 0, f * caught / flagged, 0.0).sum(1) / failures
-        brier = (s * (1 - p) ** 2 + f * p**2).sum(1) / total
-        ece = np.abs(np.add.reduceat(s - n * p, starts, axis=1)).sum(1) / total
-    out = np.column_stack([auc, pr_auc, brier, ece])
-    out[(successes == 0) | (failures == 0)] = np.nan
-    return np.column_stack([total, out])
+def draw_table(clusters: DataFrame, n_boot: int, seed: int = 42) -> DataFrame:
+    """draw, cluster_id, w: how often each draw takes a cluster; rows with w = 0 are left out.
 
-
-def metric_draws(predictions: DataFrame, draws: DataFrame, keys: list[str]) -> DataFrame:
-    """n and the four metrics per cell and draw, as metrics_of_counts has them; cells that a draw leaves empty have no row.
-
-    A task holds the counts by threshold and cluster of one cell and the weights of DRAW_BLOCK draws.
+    The weights of a draw add up to the number of clusters. Slot k of draw d takes the cluster whose place among the
+    sorted ones is the leading DIGITS of md5("seed:d:k") modulo their number.
+    """
+    names = stored(numbered(clusters.select("cluster_id"), "cluster_id"), "clusters")
+    n = names.count()
+    slots = names.sparkSession.range(n_boot * n).select(F.floor(F.col("id") / max(n, 1)).cast("int").alias("draw"), (F.col("id") % max(n, 1)).alias("slot"))
+    picked = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", "slot").cast("binary")), 1, DIGITS), 16, 10).cast("long") % max(n, 1)
+    counts = slots.groupBy("draw", picked.alias("nth")).agg(F.count(F.lit(1)).cast("int").alias("w"))
+    return counts.join(names, "nth").select("draw", "cluster_id", "w")
+
+
+def _weighted(threshold: np.ndarray, cluster: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Draws x thresholds: the counts of each threshold's clusters (rows, sorted by threshold) weighed by the draws
+    (draws x clusters)."""
+    t, c = int(threshold[-1]) + 1, weights.shape[1]
+    if t * c <= 4 * len(counts):
+        dense = np.zeros((t, c))
+        np.add.at(dense, (threshold, cluster), counts)
+        return weights @ dense.T
+    starts = np.flatnonzero(np.r_[True, threshold[1:] != threshold[:-1]])
+    return np.add.reduceat(weights[:, cluster] * counts, starts, axis=1)
+
+
+class Slice:
+    """The rows of a cell's slice by rising p, and the weights of their clusters by draw."""
+
+    def __init__(self, rows: pa.Table, drawn: pa.Table):
+        order = np.argsort(rows.column("p").to_numpy(), kind="stable")
+        self.p = rows.column("p").to_numpy()[order]
+        self.s, self.f = (rows.column(c).to_numpy()[order].astype(float) for c in "sf")
+        names = rows.column("cluster_id").combine_chunks().dictionary_encode()
+        # Rows without a cluster count for the points only.
+        code = names.indices.fill_null(len(names.dictionary)).to_numpy(zero_copy_only=False)[order]
+        place = {c: k for k, c in enumerate(names.dictionary.to_pylist())}
+        self.draws = np.unique(np.concatenate([[POINT], *[d.values.to_numpy() for d in drawn.column("draws")]]))
+        self.weights = np.zeros((len(self.draws), len(place) + 1))
+        self.weights[0] = 1
+        for cluster, draws, weights in zip(*[drawn.column(c) for c in ("cluster_id", "draws", "weights")]):
+            self.weights[np.searchsorted(self.draws, draws.values.to_numpy()), place[cluster.as_py()]] = weights.values.to_numpy()
+        self.cluster = code
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(draws, p, s, f) for so many draws at once that their products fit."""
+        p, threshold = np.unique(self.p, return_inverse=True)
+        step = max(1, PRODUCTS // len(self.p))
+        for k in range(0, len(self.draws), step):
+            w = self.weights[k : k + step]
+            yield self.draws[k : k + step], p, _weighted(threshold, self.cluster, self.s, w), _weighted(threshold, self.cluster, self.f, w)
+
+
+def _totals(rows: pa.Table, drawn: pa.Table) -> dict[str, np.ndarray]:
+    own = Slice(rows, drawn)
+    parts = [(d, f.sum(1), (s + f).sum(1)) for d, _, s, f in own.blocks()]
+    return dict(zip(("draw", "f", "n"), (np.concatenate(x) for x in zip(*parts))))
+
+
+def _sums(rows: pa.Table, drawn: pa.Table) -> dict[str, np.ndarray]:
+    """A slice's part of the metrics' sums for every draw, given the failures and rows of riskier slices."""
+    own, before = Slice(rows, drawn.filter(pa.compute.is_valid(drawn.column("cluster_id")))), drawn.filter(pa.compute.is_null(drawn.column("cluster_id")))
+    f_before, n_before = (dict(zip(before.column("draws")[0].as_py(), before.column(c)[0].as_py())) for c in ("failures", "rows"))
+    out = []
+    for draws, p, s, f in own.blocks():
+        last = np.searchsorted(-(1 - p), -(1 - p), side="right") - 1  # of the thresholds that tie as risks
+        carried = lambda held: np.array([held[d] for d in draws.tolist()])[:, None]
+        n = s + f
+        below, flagged = carried(f_before) + np.cumsum(f, 1), (carried(n_before) + np.cumsum(n, 1))[:, last]
+        bins = np.searchsorted(EDGES, p, side="right")
+        off = s - n * p
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ap = np.where(f > 0, f * below[:, last] / flagged, 0.0).sum(1)
+        each = [s.sum(1), f.sum(1), (s * (below - f / 2)).sum(1), ap, (s * (1 - p) ** 2 + f * p**2).sum(1), *[off[:, bins == k].sum(1) for k in range(len(EDGES) + 1)]]
+        out.append([draws, *each])
+    return dict(zip(["draw", *_SUMS], (np.concatenate(x) for x in zip(*out))))
+
+
+def metric_draws(predictions: DataFrame, draws: DataFrame, keys: list[str], points: bool = False) -> DataFrame:
+    """n and the four metrics per cell and draw, as metrics_of_counts has them, and with points those of draw POINT; cells
+    that a draw leaves empty have no row.
+
+    A task holds the counts by threshold and cluster of one slice of a cell, and the weights of the clusters in it.
     """
     counts = threshold_counts(predictions, keys, "cluster_id").withColumn("cluster_id", F.col("cluster_id").cast("string"))
-    draws = draws.withColumn("_block", F.floor(F.col("draw") / DRAW_BLOCK).cast("int"))
-    cells = predictions.select(*keys).distinct()
-    left = counts.crossJoin(F.broadcast(draws.select("_block").distinct()))
-    right = draws.crossJoin(F.broadcast(cells))
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # columns of their own, though both come from one table
-
-    def run(own: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(columns=["draw", "n", *METRICS])
-        if len(own) and len(drawn):
-            own = own[own["cluster_id"].notna()].sort_values("p")
-        if len(own) and len(drawn):
-            p, starts = np.unique(own["p"].to_numpy(float), return_index=True)
-            cluster, names = pd.factorize(own["cluster_id"])
-            s, f = own["s"].to_numpy(float), own["f"].to_numpy(float)
-            nth, numbers = pd.factorize(drawn["draw"])
-            place = pd.Index(names).get_indexer(drawn["cluster_id"])
-            weights = np.zeros((len(numbers), len(names) + 1))  # the last column is for clusters that the cell lacks
-            weights[nth, place] = drawn["w"].to_numpy()
-            step, found = max(1, PRODUCTS // len(own)), []
-            for k in range(0, len(numbers), step):
-                w = weights[k : k + step][:, cluster]
-                found.append(_draw_metrics(p, np.add.reduceat(w * s, starts, axis=1), np.add.reduceat(w * f, starts, axis=1)))
-            out = pd.DataFrame(np.vstack(found), columns=["n", *METRICS])
-            out.insert(0, "draw", numbers)
-            out = out[out["n"] > 0]
-        out = out.astype({"draw": "int32", "n": "int64"})
-        for k, name in enumerate(keys):
-            out.insert(k, name, own[name].iloc[0] if len(own) else None)
-        return out
-
-    kinds = {f.name: f.dataType.simpleString() for f in counts.schema}
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "draw int, n long", *[f"{m} double" for m in METRICS]])
-    by = [*keys, "_block"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, schema)
+    rows = sliced(counts.where("s + f > 0"), keys)
+    by = [*keys, "slice"]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in by)
+    weights = draws.groupBy(F.col("cluster_id").alias("_cluster")).agg(F.collect_list("draw").alias("draws"), F.collect_list(F.col("w").cast("double")).alias("weights"))
+    needed = rows.where("cluster_id IS NOT NULL").select(*by, "cluster_id").distinct().join(weights, F.col("cluster_id") == F.col("_cluster")).drop("_cluster")
+    left = rows.select(*by, "p", "s", "f", "cluster_id")
+
+    def each(make, right: DataFrame, shape: str) -> DataFrame:
+        def run(key: tuple, own: pa.Table, drawn: pa.Table) -> pa.Table:
+            if not len(own):
+                return schema.empty_table()
+            made = make(own, drawn)
+            values = {k: pa.array(v) for k, v in made.items()}
+            head = {k: pa.repeat(v, len(made["draw"])) for k, v in zip(by, key)}
+            return pa.table(head | values).cast(schema)
+
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import StructType
+
+        schema = to_arrow_schema(StructType.fromDDL(f"{head}, {shape}"))
+        # A side's columns are its own, though both come from one table.
+        return left.toDF(*left.columns).groupBy(*by).cogroup(right.toDF(*right.columns).groupBy(*by)).applyInArrow(run, f"{head}, {shape}")
+
+    totals = each(_totals, needed, "draw int, f double, n double")
+    riskier = Window.partitionBy(*keys, "draw").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*by, "draw", *[F.coalesce(F.sum(c).over(riskier), F.lit(0.0)).alias(c) for c in ("f", "n")])
+    before = before.groupBy(*by).agg(F.collect_list("draw").alias("draws"), F.collect_list("f").alias("failures"), F.collect_list("n").alias("rows"))
+    held = needed.unionByName(before, allowMissingColumns=True)
+    sums = each(_sums, held, "draw int, " + ", ".join(f"{c} double" for c in _SUMS))
+    total = sums.groupBy(*keys, "draw").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    s, f = F.col("successes"), F.col("failures")
+    n = s + f
+    off = sum((F.abs(f"off{k}") for k in range(len(EDGES) + 1)), F.lit(0.0))
+    values = [F.col("auc_sum") / (s * f), F.col("ap_sum") / f, F.col("brier_sum") / n, off / n]
+    found = total.where(n > 0).select(*keys, "draw", n.cast("long").alias("n"), *[F.when((s > 0) & (f > 0), v).alias(m) for m, v in zip(METRICS, values)])
+    return found if points else found.where(F.col("draw") != POINT)
+
+
+def _points_and_draws(predictions: DataFrame, draws: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The points by metric, and the draws by metric, from one pass."""
+    rows = stored(metric_draws(predictions, draws, keys, points=True), "metric-draws")
+    return long_metrics(rows.where(F.col("draw") == POINT), keys), long_metrics(rows.where(F.col("draw") != POINT), [*keys, "draw"])
 
 
 def long_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,10 +189,10 @@ def interval(value: str = "value") -> list[Column]:
 def summary(predictions: DataFrame, draws: DataFrame) -> DataFrame:
     """Point estimate and interval per dataset, week, protocol, model and metric."""
     keys = ["dataset", "week", "protocol", "model"]
-    points = long_metrics(cell_metrics(predictions, keys), keys).withColumnRenamed("value", "point")
+    points, spread = _points_and_draws(predictions, draws, keys)
+    points = points.withColumnRenamed("value", "point")
     about = predictions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster_id").alias("n_clusters"), F.first("cluster_unit").alias("cluster_unit"))
-    spread = long_metrics(metric_draws(predictions, draws, keys), [*keys, "draw"]).groupBy(*keys, "metric").agg(*interval())
-    return points.join(about, keys).join(spread, [*keys, "metric"], "left")
+    return points.join(about, keys).join(spread.groupBy(*keys, "metric").agg(*interval()), [*keys, "metric"], "left")
 
 
 def distortion(predictions: DataFrame, draws: DataFrame, reference: str = VV) -> DataFrame:
@@ -133,8 +203,8 @@ def distortion(predictions: DataFrame, draws: DataFrame, reference: str = VV) ->
         base = rows.where(F.col("protocol") == reference).select(*on, F.col("value").alias("base"))
         return rows.where(F.col("protocol") != reference).join(base, on).withColumn("value", F.col("value") - F.col("base")).drop("base")
 
-    points = against(long_metrics(cell_metrics(predictions, [*keys, "protocol"]), [*keys, "protocol"]), [*keys, "metric"])
-    spread = against(long_metrics(metric_draws(predictions, draws, [*keys, "protocol"]), [*keys, "protocol", "draw"]), [*keys, "draw", "metric"])
+    points, spread = _points_and_draws(predictions, draws, [*keys, "protocol"])
+    points, spread = against(points, [*keys, "metric"]), against(spread, [*keys, "draw", "metric"])
     by = [*keys, "protocol", "metric"]
     return points.withColumnRenamed("value", "delta").join(spread.groupBy(*by).agg(*interval()), by, "left").withColumn("reference_protocol", F.lit(reference))
 
@@ -159,8 +229,8 @@ def decomposition(predictions: DataFrame, draws: DataFrame) -> DataFrame:
     Under one set of folds the symmetric components add up to the joint difference, so identity_residual is about 0.
     """
     keys = ["dataset", "week", "model"]
-    points = contrast_values(long_metrics(cell_metrics(predictions, [*keys, "protocol"]), [*keys, "protocol"]), keys)
-    spread = contrast_values(long_metrics(metric_draws(predictions, draws, [*keys, "protocol"]), [*keys, "protocol", "draw"]), [*keys, "draw"])
+    points, spread = _points_and_draws(predictions, draws, [*keys, "protocol"])
+    points, spread = contrast_values(points, keys), contrast_values(spread, [*keys, "draw"])
     by = [*keys, "metric"]
     term = lambda name: F.max(F.when(F.col("contrast") == name, F.col("value")))
     residual = points.groupBy(*by).agg((term("joint_population_difference") - term("evaluation_population_shapley") - term("training_population_shapley")).alias("identity_residual"))
@@ -182,8 +252,8 @@ def aggregate(predictions: DataFrame, draws: DataFrame) -> DataFrame:
     A draw in which some cell is undefined is undefined and takes no part in the interval.
     """
     keys = ["dataset", "week", "model"]
-    points = contrast_values(long_metrics(cell_metrics(predictions, [*keys, "protocol"]), [*keys, "protocol"]), keys)
-    spread = contrast_values(long_metrics(metric_draws(predictions, draws, [*keys, "protocol"]), [*keys, "protocol", "draw"]), [*keys, "draw"])
+    points, spread = _points_and_draws(predictions, draws, [*keys, "protocol"])
+    points, spread = contrast_values(points, keys), contrast_values(spread, [*keys, "draw"])
     cells = points.select(*keys).distinct().count()
 
     def sizes(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.sources.scratch import stored
+
 METRICS = ["auc", "pr_auc_risk", "brier", "ece"]
 #: The inner edges of ten equal bins as doubles; 0.3, 0.6 and 0.7 are the products of 0.1 as computed.
 EDGES = [0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9]
 #: The columns of a scored panel.
 PANEL = ["dataset", "week", "protocol", "train_protocol", "eval_protocol", "model", "id_student", "code_module", "code_presentation", "y", "risk", "has_activity", "no_activity", "outcome_realized", "cutoff_valid", "membership_class", "cluster_id", "cluster_unit"]
-#: Slices of the risk from 0 to 1 that a cell's thresholds are dealt to.
-SLICES = 64
 #: Cells whose training and evaluation populations differ.
 CROSS = {"activity_to_cutoff_valid": ("activity_conditioned", "cutoff_valid"), "cutoff_valid_to_activity": ("cutoff_valid", "activity_conditioned")}
 
@@ -43,13 +43,18 @@ def threshold_counts(scored: DataFrame, keys: list[str], cluster: str | None = N
     return scored.groupBy(*by, F.col("p_success").alias("p")).agg(F.sum(F.col("y").cast("long")).alias("s"), F.sum((1 - F.col("y")).cast("long")).alias("f"))
 
 
+def sliced(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """counts, stored, with r = 1 - p and a slice of their cell's risk, from the riskiest on. Slices are the partitions of
+    a range shuffle, cut at quantiles of all rows, so they are of one size whatever the scores; peers in r share one."""
+    order = [*keys, F.desc("r")]
+    return stored(counts.withColumn("r", 1 - F.col("p")).repartitionByRange(*order).withColumn("slice", F.spark_partition_id()), "slices")
+
+
 def metrics_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     """n and the four metrics per cell from counts of distinct thresholds; null where a cell holds one class only."""
-    rows = counts.withColumn("n", F.col("s") + F.col("f")).withColumn("r", 1 - F.col("p")).where("n > 0")
-    # A cell's thresholds are cut into slices of the risk, each sorted by a task of its own; what lies in riskier slices
-    # is added from the slices' totals. Peers in r are in one slice.
-    rows = rows.withColumn("slice", F.floor(F.col("r") * SLICES))
-    riskier = Window.partitionBy(*keys).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = sliced(counts.withColumn("n", F.col("s") + F.col("f")).where("n > 0"), keys)
+    # A cell's slices are each sorted by a task of its own; what lies in riskier slices is added from their totals.
+    riskier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     before = lambda c: F.coalesce(F.sum(c).over(riskier), F.lit(0))
     totals = rows.groupBy(*keys, "slice").agg(F.sum("f").alias("f"), F.sum("n").alias("n")).select(*keys, "slice", before("f").alias("f_before"), before("n").alias("n_before"))
     rows = rows.join(totals, [*keys, "slice"])

@@ -9,19 +9,22 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.columns import KEY, group_id
+from waymark.operators.boosting import Boosting, fit_boosting
 from waymark.operators.checks import may_resume, signature, table_digest
+from waymark.operators.network import Training, fit_network
 from waymark.sources.scratch import stored
 from waymark.sources.tables import write_json, write_table
 
 #: Models by name; others are gradient boosting.
 LOGISTIC = ("base_lr_profile", "base_lr_clickstream", "base_lr_weekly")
+CLASSIC = ("base_rf_gini", "base_rf_entropy", "base_svm", "base_knn", "base_dffnn")
 #: Training population: the protocols it is scored under and their evaluation populations.
 SPECS = {
     "activity_conditioned": [("activity_conditioned", "activity_conditioned"), ("activity_to_cutoff_valid", "cutoff_valid")],
@@ -125,6 +128,8 @@ def fit_and_score(name: str, train: DataFrame, test: DataFrame, features: list[s
     limits override the estimator's parameters, for trials on a few rows.
     """
     limits = limits or {}
+    if name not in (*LOGISTIC, *CLASSIC):
+        return fit_boosting(train, features, Boosting(**limits), seed).score(test, features)
     assemble = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="error")
     scaled = name in (*LOGISTIC, "base_svm", "base_knn", "base_dffnn")
     stages = [assemble, *([StandardScaler(inputCol="raw", outputCol="x", withMean=True)] if scaled else [])]
@@ -134,15 +139,13 @@ def fit_and_score(name: str, train: DataFrame, test: DataFrame, features: list[s
         return _svm(train, test, column, seed)
     if name == "base_knn":
         return _knn(train, test, column)
+    if name == "base_dffnn":
+        return fit_network(train, vector_to_array(column), Training(**limits), seed).score(test, vector_to_array(column))
     if name in LOGISTIC:
         model = LogisticRegression(featuresCol=column, labelCol="y", regParam=1.0 / max(train.count(), 1), maxIter=200)
-    elif name in ("base_rf_gini", "base_rf_entropy"):
+    else:
         train = _balanced(train)
         model = RandomForestClassifier(featuresCol=column, labelCol="y", numTrees=300, impurity=name.removeprefix("base_rf_"), minInstancesPerNode=5, maxDepth=30, weightCol="weight", seed=seed)
-    elif name == "base_dffnn":
-        model = MultilayerPerceptronClassifier(featuresCol=column, labelCol="y", layers=[len(features), 128, 64, 32, 2], maxIter=100, seed=seed)
-    else:
-        model = GBTClassifier(featuresCol=column, labelCol="y", maxIter=250, stepSize=0.06, maxDepth=4, seed=seed)
     return _probability(Pipeline(stages=[model.setParams(**limits)]).fit(train), test)
 
 

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-import numpy as np
-
-from waymark.operators.bootstrap import CELLS, CONTRASTS
-from waymark.operators.metrics import EDGES, METRICS
 from waymark.sources.fixtures import WEEKS
 
+# Fixed values, written here anew so that an error in the library's does not show on both sides.
+METRICS = ["auc", "pr_auc_risk", "brier", "ece"]
+EDGES = [k * 0.1 for k in range(1, 10)]
+CELLS = ["activity_conditioned", "activity_to_cutoff_valid", "cutoff_valid_to_activity", "cutoff_valid"]
+_JOINT, _HALF = (1, 0, 0, -1), 0.5
+CONTRASTS = {
+    "joint_population_difference": _JOINT,
+    "evaluation_population_component": (1, -1, 0, 0),
+    "training_population_component": (0, 1, 0, -1),
+    "training_population_component_at_activity": (1, 0, -1, 0),
+    "evaluation_population_component_at_valid": (0, 0, 1, -1),
+    "evaluation_population_shapley": (_HALF, -_HALF, _HALF, -_HALF),
+    "training_population_shapley": (_HALF, _HALF, -_HALF, -_HALF),
+}
+
 _BASE = """
 info AS (
   SELECT c_custkey AS id_student, c_mktsegment AS code_module, r_name AS code_presentation, c_acctbal,
@@ -385,17 +396,17 @@ FROM (SELECT {K}, clicks_total IS NOT NULL AS v, assess_attempts IS NOT NULL AS
     _PANEL,
 )
 
-# The bootstrap with few draws: the draws are a table of how often each takes the sorted clusters; the rest is SQL.
+# The bootstrap with few draws: each slot of a draw takes the cluster that a hash of seed, draw and slot chooses.
 _SCORES = "auc, pr_auc_risk, brier, ece"
 
 
-def _draws(clusters: int, n: int = 20) -> str:
-    taken = np.random.default_rng(42).multinomial(clusters, [1 / clusters] * clusters, size=n)
-    rows = ", ".join(f"({d}, {c}, {w})" for d, row in enumerate(taken.tolist()) for c, w in enumerate(row) if w)
+def _draws(n: int = 20, seed: int = 42) -> str:
     return f"""
+named AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS nth FROM (SELECT DISTINCT cluster_id FROM pred)),
 drawn AS (
-  SELECT draw, cluster_id, w FROM (VALUES {rows}) t(draw, nth, w)
-  JOIN (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS nth FROM (SELECT DISTINCT cluster_id FROM pred)) USING (nth))"""
+  SELECT draw, cluster_id, count(*) AS w
+  FROM (SELECT draw, ('0x' || substr(md5(concat_ws(':', {seed}, draw, nth)), 1, 13))::BIGINT % (SELECT count(*) FROM named) AS nth FROM range({n}) d(draw), named)
+  JOIN named USING (nth) GROUP BY ALL)"""
 
 
 def _drawn_metrics(source: str, name: str) -> str:
@@ -427,13 +438,13 @@ def _contrasts(source: str, keys: str, name: str) -> str:
 
 
 def _n(*names: str) -> str:
-    """As _r, off the edges between two roundings."""
-    return ", ".join(f"round({n} + 3e-11, 7) + 0.0 AS {n}" for n in names)
+    """As _r, rounded to twelve digits first."""
+    return ", ".join(f"round(round({n}, 12), 7) + 0.0 AS {n}" for n in names)
 
 
 _CI = "quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high"
 _POINT = [_metrics("pred", "dataset, week, model, protocol", "met"), "pnt AS (SELECT * FROM met UNPIVOT INCLUDE NULLS (value FOR metric IN (" + _SCORES + ")))"]
-_SPREAD = [_PRED, *_POINT, _draws(25), _drawn_metrics("pred", "drm")]
+_SPREAD = [_PRED, *_POINT, _draws(), _drawn_metrics("pred", "drm")]
 _CELL = "dataset, week, model"
 _PLAIN = _contrasts("pnt", _CELL, "pc")
 _DREW = _contrasts("drm", f"{_CELL}, draw", "dc")
@@ -481,7 +492,7 @@ LEFT JOIN (SELECT dataset, week, model, protocol, metric, {_CI} FROM (SELECT p.d
     *_SPREAD,
 )
 _add("B6_decomposition_20_draws", _DEC, *_SPREAD, _PLAIN, _DREW, _DECOMPOSED)
-_add("B7_module_clusters_20_draws", _DEC, _MODULES, *_POINT, _draws(5), _drawn_metrics("pred", "drm"), _PLAIN, _DREW, _DECOMPOSED)
+_add("B7_module_clusters_20_draws", _DEC, _MODULES, *_POINT, _draws(), _drawn_metrics("pred", "drm"), _PLAIN, _DREW, _DECOMPOSED)
 _add("A26_exclusion_counts_20_draws", f"SELECT metric, contrast, count(*) AS cells, count_if(ci_low > 0 OR ci_high < 0)::BIGINT AS excluding_zero, {_n('median_delta', 'mean_delta')} FROM (SELECT *, median(delta) OVER g AS median_delta, avg(delta) OVER g AS mean_delta FROM dec WINDOW g AS (PARTITION BY metric, contrast)) GROUP BY metric, contrast, median_delta, mean_delta", *_SPREAD, _PLAIN, _DREW, _DECOMPOSED)
 _add(
     "B8_aggregate_20_draws",
@@ -496,7 +507,7 @@ _add(
     f"""SELECT metric, contrast, {_n('bootstrap_mean', 'ci_low', 'ci_high')}, finite_draws
 FROM (SELECT metric, contrast, avg(value) AS bootstrap_mean, {_CI}, count(value) AS finite_draws FROM (
   SELECT metric, contrast, a.value - b.value AS value FROM (SELECT draw, metric, contrast, avg(value) AS value FROM ec GROUP BY ALL) a JOIN (SELECT draw, metric, contrast, avg(value) AS value FROM dc GROUP BY ALL) b USING (draw, metric, contrast)) GROUP BY ALL)""",
-    _PRED, _draws(25), _drawn_metrics("pred", "drm"), _DREW, _PRED.replace("pred AS", "pred2 AS").replace("7919", "6421"), _drawn_metrics("pred2", "erm"), _contrasts("erm", f"{_CELL}, draw", "ec"),
+    _PRED, _draws(), _drawn_metrics("pred", "drm"), _DREW, _PRED.replace("pred AS", "pred2 AS").replace("7919", "6421"), _drawn_metrics("pred2", "erm"), _contrasts("erm", f"{_CELL}, draw", "ec"),
 )
 
 # Learner states on the graph of weeks and modalities: a row per learner, week and modality.

@@ -16,8 +16,8 @@ TYPES = [f"t{k}" for k in range(5)]
 SOURCES = ["click", "error", "purchase", "scroll", "view"]
 #: Draws of the bootstrap's queries, and of the same queries with their SQL over all draws.
 DRAWS, FEW_DRAWS = 1000, 20
-#: Added to intervals before they are rounded.
-NUDGE = 3e-11
+#: Digits to which values that lie on the edge between two roundings by nature are rounded first.
+STEADY = 12
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -34,10 +34,11 @@ def query(name: str) -> Callable[[Callable[[Binding], DataFrame]], Query]:
     return register
 
 
-def rounded(df: DataFrame, digits: int = 7, nudge: float = 0.0) -> DataFrame:
-    """Doubles rounded, so that engines that add in another order agree; minus zero is zero. A nudge takes values off the
-    edges between two roundings, where many of them lie by nature."""
-    return df.withColumns({c: F.round(F.col(c) + nudge, digits) + F.lit(0.0) for c, kind in df.dtypes if kind == "double"})
+def rounded(df: DataFrame, digits: int = 7, steady: bool = False) -> DataFrame:
+    """Doubles rounded, so that engines that add in another order agree; minus zero is zero. Steady values are rounded to
+    STEADY digits first: halves of the last digit, frequent among ratios of small numbers, lose the noise of the sums."""
+    first = (lambda x: F.round(x, STEADY)) if steady else (lambda x: x)
+    return df.withColumns({c: F.round(first(F.col(c)), digits) + F.lit(0.0) for c, kind in df.dtypes if kind == "double"})
 
 
 def roster(b: Binding) -> DataFrame:
@@ -80,7 +81,7 @@ def scored(b: Binding, factor: int = 7919) -> DataFrame:
 
 
 def draws(b: Binding, rows: DataFrame, n: int = DRAWS) -> DataFrame:
-    return bootstrap.draw_table(b.spark, bootstrap.clusters_of(rows), n)
+    return bootstrap.draw_table(bootstrap.clusters_of(rows), n)
 
 
 @query("P1_labels")
@@ -239,38 +240,38 @@ def bootstrap_queries(n: int, suffix: str) -> None:
     @query(f"B4_bootstrap_summary{suffix}")
     def _(b: Binding) -> DataFrame:
         rows = scored(b)
-        return rounded(bootstrap.summary(rows, draws(b, rows, n)), nudge=NUDGE)
+        return rounded(bootstrap.summary(rows, draws(b, rows, n)), steady=True)
 
     @query(f"B5_bootstrap_distortion{suffix}")
     def _(b: Binding) -> DataFrame:
         rows = scored(b)
-        return rounded(bootstrap.distortion(rows, draws(b, rows, n)), nudge=NUDGE)
+        return rounded(bootstrap.distortion(rows, draws(b, rows, n)), steady=True)
 
     @query(f"B6_decomposition{suffix}")
     def _(b: Binding) -> DataFrame:
         rows = scored(b)
-        return rounded(bootstrap.decomposition(rows, draws(b, rows, n)), nudge=NUDGE)
+        return rounded(bootstrap.decomposition(rows, draws(b, rows, n)), steady=True)
 
     @query(f"B7_module_clusters{suffix}")
     def _(b: Binding) -> DataFrame:
         rows = scored(b).withColumn("cluster_id", group_id("module")).withColumn("cluster_unit", F.lit("module"))
-        return rounded(bootstrap.decomposition(rows, draws(b, rows, n)), nudge=NUDGE)
+        return rounded(bootstrap.decomposition(rows, draws(b, rows, n)), steady=True)
 
     @query(f"B8_aggregate{suffix}")
     def _(b: Binding) -> DataFrame:
         rows = scored(b)
-        return rounded(bootstrap.aggregate(rows, draws(b, rows, n)), nudge=NUDGE)
+        return rounded(bootstrap.aggregate(rows, draws(b, rows, n)), steady=True)
 
     @query(f"B9_paired_difference{suffix}")
     def _(b: Binding) -> DataFrame:
         """The same enrolments, scored twice."""
         rows = scored(b)
-        return rounded(bootstrap.paired_difference(scored(b, 6421), rows, draws(b, rows, n)), nudge=NUDGE)
+        return rounded(bootstrap.paired_difference(scored(b, 6421), rows, draws(b, rows, n)), steady=True)
 
     @query(f"A26_exclusion_counts{suffix}")
     def _(b: Binding) -> DataFrame:
         rows = scored(b)
-        return rounded(bootstrap.exclusion_counts(stored(bootstrap.decomposition(rows, draws(b, rows, n)), "contrasts")), nudge=NUDGE)
+        return rounded(bootstrap.exclusion_counts(stored(bootstrap.decomposition(rows, draws(b, rows, n)), "contrasts")), steady=True)
 
 
 bootstrap_queries(DRAWS, "")
