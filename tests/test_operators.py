@@ -258,15 +258,23 @@ def test_graph_states(spark, mode):
         assert math.isclose(row[name], value, rel_tol=1e-9, abs_tol=1e-12), name
 
 
-def test_folds_cover_all_groups_evenly():
-    counts = [(f"g{k}", 10 + k % 3, 20 - k % 5) for k in range(25)]
-    folds = models.assign_folds(counts, 5, 42)
-    sizes = np.zeros(5)
-    for name, bad, good in counts:
-        sizes[folds[name] - 1] += bad + good
-    assert set(folds.values()) == {1, 2, 3, 4, 5} and sizes.max() - sizes.min() < 40
-    with pytest.raises(ValueError, match="cannot use"):
-        models.assign_folds(counts[:3], 5, 1)
+def test_folds_cover_all_groups_evenly(spark):
+    shapes = [(10 + k % 3, 20 - k % 5, 1 + k % 7) for k in range(15)]
+    spare = models.spare_folds(shapes, 5, 42)
+    assert {k: len(v) for k, v in spare.items()} == {(b, g): m % 5 for b, g, m in shapes}
+    assert spare == models.spare_folds(shapes[::-1], 5, 42)
+    with pytest.raises(ValueError):
+        models.spare_folds([(1, 2, 3)], 5, 1)
+    rows = table(spark, [(k, f"M{k % 3}", f"P{k % 8}", int(k % 7 < 3)) for k in range(1200)], "id_student long, code_module string, code_presentation string, label int")
+    for unit, groups in (("presentation", 24), ("learner", 1200)):
+        got = models.fold_table(rows, models.Config(split_unit=unit, repeats=2)).toPandas()
+        assert len(got) == 2400 and got.groupby(["repeat", "split_group"]).fold.nunique().max() == 1 and got.split_group.nunique() == groups
+        for _, own in got.groupby("repeat"):
+            sizes, share = own.groupby("fold").size(), own.groupby("fold").label.mean()
+            assert set(sizes.index) == {1, 2, 3, 4, 5} and (sizes.max() - sizes.min()) <= (50 if unit == "presentation" else 2) and share.max() - share.min() < 0.1
+    if unit == "learner":
+        one, two = (dict(zip(own.split_group, own.fold)) for _, own in got.groupby("repeat"))
+        assert one != two
 
 
 def test_static_modes(spark):
@@ -362,12 +370,12 @@ def test_cells_are_taken_up_and_not_mixed(spark, tmp_path):
         return lambda: made.append(week) or table(spark, [(week,)], "p_success int")
 
     cells, folder = {(w, "m"): cell(w) for w in (2, 4)}, str(tmp_path / "run")
-    assert models.run_cells(folder, cells, {"seed": 1}) == [(2, "m"), (4, "m")]
+    assert models.run_cells(spark, folder, cells, {"seed": 1}) == [(2, "m"), (4, "m")]
     (tmp_path / "run" / "week=4-model=m.json").unlink()
-    assert models.run_cells(folder, cells, {"seed": 1}) == [(4, "m")] and made == [2, 4, 4]
+    assert models.run_cells(spark, folder, cells, {"seed": 1}) == [(4, "m")] and made == [2, 4, 4]
     assert spark.read.parquet(folder + "/panel").count() == 2
     with pytest.raises(ValueError, match="another run"):
-        models.run_cells(folder, cells, {"seed": 2})
+        models.run_cells(spark, folder, cells, {"seed": 2})
 
 
 def test_augmentation_refits_whole_populations(spark):

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from waymark.operators.checks import require_unmatched, without_match
 from waymark.operators.metrics import EDGES, METRICS, sliced, threshold_counts
 from waymark.operators.order import numbered
 from waymark.sources.scratch import stored
@@ -36,23 +37,30 @@ CELLS = (AA, AV, VA, VV)
 POINT = -1
 #: Products of a count and a weight that are held at once, at most about so many.
 PRODUCTS = 2_000_000
+#: A product of matrices takes so many cells in the time that a row takes when its weights are looked up.
+DENSE = 40
 #: Hexadecimal digits of a slot's hash that choose its cluster.
 DIGITS = 13
 _SUMS = ["successes", "failures", "auc_sum", "ap_sum", "brier_sum", *[f"off{k}" for k in range(len(EDGES) + 1)]]
 
 
 def clusters_of(predictions: DataFrame) -> DataFrame:
-    """The distinct clusters as strings; null is none."""
-    return predictions.select(F.col("cluster_id").cast("string").alias("cluster_id")).where("cluster_id IS NOT NULL").distinct()
+    """The distinct clusters as strings, and where rows have a source_order its first in each; null is no cluster."""
+    names = predictions.withColumn("cluster_id", F.col("cluster_id").cast("string")).where("cluster_id IS NOT NULL")
+    if "source_order" in predictions.columns:
+        return names.groupBy("cluster_id").agg(F.min("source_order").alias("source_order"))
+    return names.select("cluster_id").distinct()
 
 
 def draw_table(clusters: DataFrame, n_boot: int, seed: int = 42) -> DataFrame:
     """draw, cluster_id, w: how often each draw takes a cluster; rows with w = 0 are left out.
 
-    The weights of a draw add up to the number of clusters. Slot k of draw d takes the cluster whose place among the
-    sorted ones is the leading DIGITS of md5("seed:d:k") modulo their number.
+    The weights of a draw add up to the number of clusters. Slot k of draw d takes the cluster whose place is the leading
+    DIGITS of md5("seed:d:k") modulo their number; places are by first occurrence where clusters have a source_order, or
+    else by name.
     """
-    names = stored(numbered(clusters.select("cluster_id"), "cluster_id"), "clusters")
+    place = "source_order" if "source_order" in clusters.columns else "cluster_id"
+    names = stored(numbered(clusters, place).select("cluster_id", "nth"), "clusters")
     n = names.count()
     slots = names.sparkSession.range(n_boot * n).select(F.floor(F.col("id") / max(n, 1)).cast("int").alias("draw"), (F.col("id") % max(n, 1)).alias("slot"))
     picked = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", "slot").cast("binary")), 1, DIGITS), 16, 10).cast("long") % max(n, 1)
@@ -64,7 +72,7 @@ def _weighted(threshold: np.ndarray, cluster: np.ndarray, counts: np.ndarray, we
     """Draws x thresholds: the counts of each threshold's clusters (rows, sorted by threshold) weighed by the draws
     (draws x clusters)."""
     t, c = int(threshold[-1]) + 1, weights.shape[1]
-    if t * c <= 4 * len(counts):
+    if t * c <= DENSE * len(counts):
         dense = np.zeros((t, c))
         np.add.at(dense, (threshold, cluster), counts)
         return weights @ dense.T
@@ -101,8 +109,8 @@ class Slice:
 
 def _totals(rows: pa.Table, drawn: pa.Table) -> dict[str, np.ndarray]:
     own = Slice(rows, drawn)
-    parts = [(d, f.sum(1), (s + f).sum(1)) for d, _, s, f in own.blocks()]
-    return dict(zip(("draw", "f", "n"), (np.concatenate(x) for x in zip(*parts))))
+    f, s = (own.weights @ np.bincount(own.cluster, x, own.weights.shape[1]) for x in (own.f, own.s))
+    return {"draw": own.draws, "f": f, "n": f + s}
 
 
 def _sums(rows: pa.Table, drawn: pa.Table) -> dict[str, np.ndarray]:
@@ -293,3 +301,46 @@ def exclusion_counts(intervals: DataFrame) -> DataFrame:
     return intervals.groupBy("metric", "contrast").agg(
         F.count(F.lit(1)).alias("cells"), F.count_if((F.col("ci_low") > 0) | (F.col("ci_high") < 0)).alias("excluding_zero"), F.median("delta").alias("median_delta"), F.avg("delta").alias("mean_delta")
     )
+
+
+def row_weighted_precision(predictions: DataFrame, draws: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, draw, pr_auc_risk by a second way: every row weighed by its cluster's draw, rows of one risk taken together,
+    and precision read off along the falling risk. For few draws, as rows are multiplied by them."""
+    rows = predictions.withColumn("cluster_id", F.col("cluster_id").cast("string")).join(draws.select("cluster_id", "draw", "w"), "cluster_id")
+    failures = F.col("w") * (1 - F.col("y"))
+    tied = rows.groupBy(*keys, "draw", (1 - F.col("p_success")).alias("risk")).agg(F.sum(failures).alias("f"), F.sum("w").alias("n"))
+    falling = Window.partitionBy(*keys, "draw").orderBy(F.desc("risk"))
+    along = tied.select(*keys, "draw", "f", "n", F.sum("f").over(falling).alias("caught"), F.sum("n").over(falling).alias("flagged"))
+    one_class = (F.sum("f") == 0) | (F.sum("f") == F.sum("n"))
+    return along.groupBy(*keys, "draw").agg(F.when(~one_class, F.sum(F.col("f") * (F.col("caught") / F.col("flagged"))) / F.sum("f")).alias("pr_auc_risk"))
+
+
+def cross_check(predictions: DataFrame, draws: DataFrame, keys: list[str], chosen: list[int], tolerance: float = 5e-14) -> DataFrame:
+    """keys, draw, both values and their difference for the chosen draws where the two ways differ by more than the
+    tolerance, or only one is defined: no rows if they agree."""
+    own = draws.where(F.col("draw").isin(chosen))
+    first = metric_draws(predictions, own, keys).select(*keys, "draw", F.col("pr_auc_risk").alias("first"))
+    second = row_weighted_precision(predictions, own, keys).withColumnRenamed("pr_auc_risk", "second")
+    both = first.join(second, [*keys, "draw"], "full").withColumn("difference", F.abs(F.col("first") - F.col("second")))
+    return both.where((F.col("difference") > tolerance) | (F.col("first").isNull() != F.col("second").isNull()))
+
+
+def renew_precision(table: DataFrame, predictions: DataFrame, draws: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A stored summary with the precision of the cells whose thresholds tie as risks only computed anew, and the changes.
+
+    Only rows of pr_auc_risk in cells that tie_partition_audit finds are replaced; all others are kept as they are. The
+    changes are rows of cell, column, previous and current. A cell to be renewed that the table lacks, or holds more than
+    once, is an error.
+    """
+    keys = ["dataset", "week", "protocol", "model"]
+    cells = stored(tie_partition_audit(predictions).where("merged_thresholds > 0").select(*keys), "tied-cells")
+    target = table.where("metric = 'pr_auc_risk'")
+    require_unmatched(without_match(cells, target, keys), "a cell to be renewed is not one row of the table")
+    values = ["point", "ci_low", "ci_high"]
+    fresh = summary(predictions.join(cells, keys, "left_semi"), draws).where("metric = 'pr_auc_risk'")
+    fresh = stored(fresh.select(*keys, "metric", *[F.col(v).alias(f"new_{v}") for v in values], F.lit(True).alias("renewed")), "renewed")
+    joined = table.join(fresh, [*keys, "metric"], "left")
+    renewed = joined.select(*[F.when(F.col("renewed"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in table.columns])
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("column"), F.col(v).alias("previous"), F.col(f"new_{v}").alias("current")) for v in values]))
+    changes = joined.where("renewed").select(*keys, each.alias("c")).select(*keys, "c.*").where(~F.col("previous").eqNullSafe(F.col("current")))
+    return renewed, changes

@@ -9,8 +9,10 @@ from waymark.functions.columns import KEY, is_true
 
 
 def load_roster(labels: DataFrame, registration: DataFrame | None = None) -> DataFrame:
-    """KEY, label, registration days and risk, one row per KEY (of several labels the least)."""
-    roster = labels.groupBy(*KEY).agg(F.min("label").cast("int").alias("label"))
+    """KEY, label, registration days and risk, one row per KEY: of several labels the first in the source, where the rows
+    have a source_order (see order.read_in_order), or else the least."""
+    chosen = F.min_by("label", "source_order") if "source_order" in labels.columns else F.min("label")
+    roster = labels.groupBy(*KEY).agg(chosen.cast("int").alias("label"))
     if registration is None:
         roster = roster.withColumn("date_registration", F.lit(None).cast("double")).withColumn("date_unregistration", F.lit(None).cast("double"))
     else:

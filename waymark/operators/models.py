@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from waymark.functions.columns import KEY, group_id
 from waymark.operators.boosting import Boosting, fit_boosting
-from waymark.operators.checks import may_resume, signature, table_digest
+from waymark.operators.checks import signature, table_digest
 from waymark.operators.network import Training, fit_network
+from waymark.operators.order import numbered
 from waymark.sources.scratch import stored
-from waymark.sources.tables import write_json, write_table
+from waymark.sources.publish import Store
+from waymark.sources.tables import write_table
 
 #: Models by name; others are gradient boosting.
 LOGISTIC = ("base_lr_profile", "base_lr_clickstream", "base_lr_weekly")
@@ -41,34 +43,51 @@ class Config:
     split_unit: str = "presentation"
 
 
-def assign_folds(counts: list[tuple[str, int, int]], n_splits: int, seed: int) -> dict[str, int]:
-    """Fold of each group from (group, failures, successes): shuffled, the most uneven first, each to the fold that
-    then has the evenest class shares (ties to the fold with fewest rows). Folds count from 1."""
-    if len(counts) < n_splits:
-        raise ValueError(f"only {len(counts)} groups; cannot use {n_splits} folds")
-    rng = np.random.default_rng(seed)
-    order = rng.permutation(len(counts))
-    sizes = np.array([c[1:] for c in counts], float)[order]
-    total = np.maximum(sizes.sum(axis=0), 1)
-    held = np.zeros((n_splits, 2))
-    out = {}
-    for k in np.argsort(-sizes.std(axis=1), kind="stable"):
-        trial = held[None] + np.eye(n_splits)[:, :, None] * sizes[k]
-        spread = (trial / total).std(axis=1).mean(axis=1)
-        fold = min(range(n_splits), key=lambda f: (round(float(spread[f]), 12), held[f].sum()))
-        held[fold] += sizes[k]
-        out[counts[order[k]][0]] = fold + 1
+def spare_folds(shapes: list[tuple[int, int, int]], n_splits: int, seed: int) -> dict[tuple[int, int], list[int]]:
+    """Folds of the groups that are left when each shape (failures, successes, groups) is dealt to all folds evenly.
+
+    The most uneven shapes come first (ties by a hash of seed and shape); each of their groups goes to the fold whose
+    class shares are then the evenest, ties to the fold with fewest rows and the least number. Folds count from 1.
+    """
+    if sum(m for *_, m in shapes) < n_splits:
+        raise ValueError(f"{n_splits} folds need as many groups; there are {sum(m for *_, m in shapes)}")
+    total = np.maximum([sum(b * m for b, _, m in shapes), sum(g * m for _, g, m in shapes)], 1)
+    held, out = np.zeros((n_splits, 2)), {}
+    tie = lambda s: hashlib.md5(f"{seed}:{s[0]}:{s[1]}".encode()).hexdigest()
+    for bad, good, m in sorted(shapes, key=lambda s: (-abs(s[0] - s[1]), tie(s))):
+        out[bad, good] = []
+        for _ in range(m % n_splits):
+            trial = held[None] + np.eye(n_splits)[:, :, None] * np.array([bad, good])
+            spread = (trial / total).std(axis=1).mean(axis=1)
+            fold = min(range(n_splits), key=lambda f: (round(float(spread[f]), 12), held[f].sum(), f))
+            held[fold] += bad, good
+            out[bad, good].append(fold + 1)
     return out
 
 
 def fold_table(roster: DataFrame, config: Config) -> DataFrame:
-    """KEY, label, split_unit, split_group, repeat, fold. Group counts, not enrolments, reach the driver."""
+    """KEY, label, split_unit, split_group, repeat, fold.
+
+    Groups of one shape (failures and successes) are ranked by a hash of seed, repeat and group: the first few, what is
+    left of the shape's number when it is divided by the folds, go where spare_folds says, the others to the folds in
+    turn. The driver sees a row per shape; ranks are places of one range shuffle, so no task holds a shape's groups.
+    """
     spark = roster.sparkSession
     rows = roster.withColumn("split_group", group_id(config.split_unit))
-    sizes = rows.groupBy("split_group").agg(F.count_if(F.col("label") == 0).alias("bad"), F.count_if(F.col("label") == 1).alias("good"))
-    counts = [(r["split_group"], r["bad"], r["good"]) for r in sizes.orderBy("split_group").collect()]
-    folds = [(g, repeat + 1, f) for repeat in range(config.repeats) for g, f in assign_folds(counts, config.folds, config.seed + repeat).items()]
-    maps = spark.createDataFrame(folds, "split_group string, repeat int, fold int")
+    groups = stored(rows.groupBy("split_group").agg(F.count_if(F.col("label") == 0).alias("bad"), F.count_if(F.col("label") == 1).alias("good")), "fold-groups")
+    shapes = [(r["bad"], r["good"], r["m"]) for r in groups.groupBy("bad", "good").agg(F.count(F.lit(1)).alias("m")).collect()]
+    spare = [(repeat + 1, *shape, i, fold) for repeat in range(config.repeats) for shape, folds in spare_folds(shapes, config.folds, config.seed + repeat).items() for i, fold in enumerate(folds)]
+    sizes = [(*shape, m, m % config.folds) for *shape, m in shapes]
+    draw = F.md5(F.concat_ws(":", F.col("repeat") - 1 + config.seed, "split_group").cast("binary"))
+    each = groups.withColumn("repeat", F.explode(F.array(*[F.lit(k + 1) for k in range(config.repeats)]))).withColumn("draw", draw)
+    placed = numbered(each, "repeat", "bad", "good", "draw", "split_group")
+    starts = placed.groupBy("repeat", "bad", "good").agg(F.min("nth").alias("start"))
+    # A row per shape, and at most as many as folds for each.
+    placed = placed.join(F.broadcast(starts), ["repeat", "bad", "good"]).join(F.broadcast(spark.createDataFrame(sizes, "bad long, good long, m long, spare long")), ["bad", "good"])
+    placed = placed.withColumn("i", F.col("nth") - F.col("start"))
+    chosen = F.broadcast(spark.createDataFrame(spare, "repeat int, bad long, good long, i long, chosen int"))
+    turn = ((F.col("i") - F.col("spare")) % config.folds + 1).cast("int")
+    maps = placed.join(chosen, ["repeat", "bad", "good", "i"], "left").select("split_group", "repeat", F.coalesce("chosen", turn).alias("fold"))
     return rows.join(maps, "split_group").select(*KEY, "label", F.lit(config.split_unit).alias("split_unit"), "split_group", "repeat", "fold")
 
 
@@ -182,21 +201,23 @@ def benchmark(spark: SparkSession, base: DataFrame, folds: DataFrame, name: str,
     return out
 
 
-def run_cells(folder: str, cells: dict[tuple[int, str], Callable[[], DataFrame]], settings: dict[str, object]) -> list[tuple[int, str]]:
+def run_cells(spark: SparkSession, folder: str, cells: dict[tuple[int, str], Callable[[], DataFrame]], settings: dict[str, object]) -> list[tuple[int, str]]:
     """Store the panel of every (week, model) below folder and return those that were computed now.
 
     A cell's manifest is written last, so a cell without one is computed anew, and one whose manifest is of other
-    settings is an error: a finished run is taken up where it stopped, and never mixed with another.
+    settings is an error: a finished run is taken up where it stopped, and never mixed with another. Manifests lie beside
+    the panel, on the file system that Spark writes to.
     """
-    fresh = []
+    fresh, store = [], Store(spark, folder)
     for (week, name), build in cells.items():
         manifest: dict[str, object] = {"week": week, "model": name, "settings": settings}
-        note = os.path.join(folder, f"week={week}-model={name}.json")
-        if may_resume(note, manifest):
+        note = f"week={week}-model={name}.json"
+        if store.exists(note):
+            if store.read(note).get("signature") != signature(manifest):
+                raise ValueError(f"{note} belongs to another run; choose another folder")
             continue
-        os.makedirs(folder, exist_ok=True)
         write_table(build(), f"{folder}/panel/week={week}/model={name}")
-        write_json(manifest | {"signature": signature(manifest)}, note)
+        store.write(note, manifest | {"signature": signature(manifest)})
         fresh.append((week, name))
     return fresh
 

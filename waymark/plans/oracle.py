@@ -400,7 +400,7 @@ FROM (SELECT {K}, clicks_total IS NOT NULL AS v, assess_attempts IS NOT NULL AS
 _SCORES = "auc, pr_auc_risk, brier, ece"
 
 
-def _draws(n: int = 20, seed: int = 42) -> str:
+def _draws(n: int, seed: int = 42) -> str:
     return f"""
 named AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS nth FROM (SELECT DISTINCT cluster_id FROM pred)),
 drawn AS (
@@ -411,21 +411,22 @@ drawn AS (
 
 def _drawn_metrics(source: str, name: str) -> str:
     """CTEs that give `name` the metrics of source by dataset, week, model, protocol and draw."""
-    k = "dataset, week, model, protocol, draw"
+    k, cell = "cell, draw", "dataset, week, model, protocol"
     bins = "len(list_filter(" + str(EDGES) + ", lambda e: e <= p))"
     return f"""
+{name}_k AS (SELECT *, (row_number() OVER ())::INTEGER AS cell FROM (SELECT DISTINCT {cell} FROM {source})),
 {name}_c AS (
-  SELECT {k}, p, sum(s * w)::DOUBLE AS s, sum(f * w)::DOUBLE AS f
-  FROM (SELECT dataset, week, model, protocol, cluster_id, p_success AS p, sum(y) AS s, sum(1 - y) AS f FROM {source} GROUP BY ALL) JOIN drawn USING (cluster_id) GROUP BY ALL),
+  SELECT {k}, p, sum(s * w)::INTEGER AS s, sum(f * w)::INTEGER AS f
+  FROM (SELECT cell, cluster_id, p_success AS p, sum(y)::INTEGER AS s, sum(1 - y)::INTEGER AS f FROM {source} JOIN {name}_k USING ({cell}) GROUP BY ALL) JOIN (SELECT draw::INTEGER AS draw, cluster_id, w::INTEGER AS w FROM drawn) USING (cluster_id) GROUP BY ALL),
 {name}_r AS (
   SELECT *, sum(f) OVER (PARTITION BY {k} ORDER BY p ROWS UNBOUNDED PRECEDING) - f AS below, sum(f) OVER (PARTITION BY {k} ORDER BY 1 - p DESC) AS caught, sum(s + f) OVER (PARTITION BY {k} ORDER BY 1 - p DESC) AS flagged
   FROM {name}_c),
 {name}_b AS (SELECT {k}, sum(off) AS off FROM (SELECT {k}, {bins} AS bin, abs(sum(s - (s + f) * p)) AS off FROM {name}_c GROUP BY ALL) GROUP BY ALL),
 {name}_m AS (
-  SELECT {k}, CASE WHEN sum(s) > 0 AND sum(f) > 0 THEN sum(s * (below + f / 2)) / (sum(s) * sum(f)) END AS auc, CASE WHEN sum(s) > 0 AND sum(f) > 0 THEN sum(f * caught / flagged) / sum(f) END AS pr_auc_risk,
+  SELECT {k}, CASE WHEN sum(s) > 0 AND sum(f) > 0 THEN sum(s * (below + f / 2)) / (sum(s)::DOUBLE * sum(f)) END AS auc, CASE WHEN sum(s) > 0 AND sum(f) > 0 THEN sum(f * caught / flagged) / sum(f) END AS pr_auc_risk,
     CASE WHEN sum(s) > 0 AND sum(f) > 0 THEN sum(s * (1 - p) * (1 - p) + f * p * p) / sum(s + f) END AS brier, CASE WHEN sum(s) > 0 AND sum(f) > 0 THEN any_value(off) / sum(s + f) END AS ece
   FROM {name}_r JOIN {name}_b USING ({k}) GROUP BY {k}),
-{name} AS (SELECT * FROM {name}_m UNPIVOT INCLUDE NULLS (value FOR metric IN ({_SCORES})))"""
+{name} AS (SELECT * EXCLUDE (cell) FROM (SELECT * FROM {name}_m JOIN {name}_k USING (cell)) UNPIVOT INCLUDE NULLS (value FOR metric IN ({_SCORES})))"""
 
 
 def _contrasts(source: str, keys: str, name: str) -> str:
@@ -444,7 +445,6 @@ def _n(*names: str) -> str:
 
 _CI = "quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high"
 _POINT = [_metrics("pred", "dataset, week, model, protocol", "met"), "pnt AS (SELECT * FROM met UNPIVOT INCLUDE NULLS (value FOR metric IN (" + _SCORES + ")))"]
-_SPREAD = [_PRED, *_POINT, _draws(), _drawn_metrics("pred", "drm")]
 _CELL = "dataset, week, model"
 _PLAIN = _contrasts("pnt", _CELL, "pc")
 _DREW = _contrasts("drm", f"{_CELL}, draw", "dc")
@@ -476,39 +476,83 @@ def _sizes(source: str, keys: str) -> str:
     return f"(SELECT * FROM {source} UNION ALL BY NAME SELECT {keys}, 'absolute_evaluation_minus_absolute_training' AS contrast, {term('evaluation_population_shapley')} - {term('training_population_shapley')} AS value FROM {source} GROUP BY {keys})"
 
 
+def _bootstraps(n: int, suffix: str) -> None:
+    spread = [_PRED, *_POINT, _draws(n), _drawn_metrics("pred", "drm")]
+    _add(
+        f"B4_bootstrap_summary{suffix}",
+        f"""SELECT dataset, week, protocol, model, metric, {_n('point')}, n, n_clusters, 'presentation' AS cluster_unit, {_n('ci_low', 'ci_high')}
+    FROM (SELECT dataset, week, model, protocol, metric, value AS point FROM pnt) JOIN (SELECT dataset, week, model, protocol, count(*) AS n, count(DISTINCT cluster_id) AS n_clusters FROM pred GROUP BY ALL) USING (dataset, week, model, protocol)
+    LEFT JOIN (SELECT dataset, week, model, protocol, metric, {_CI} FROM drm GROUP BY ALL) USING (dataset, week, model, protocol, metric)""",
+        *spread,
+    )
+    _add(
+        f"B5_bootstrap_distortion{suffix}",
+        f"""SELECT dataset, week, model, protocol, metric, {_n('delta', 'ci_low', 'ci_high')}, 'cutoff_valid' AS reference_protocol
+    FROM (SELECT p.dataset, p.week, p.model, p.protocol, p.metric, p.value - r.value AS delta FROM pnt p JOIN pnt r USING (dataset, week, model, metric) WHERE p.protocol <> 'cutoff_valid' AND r.protocol = 'cutoff_valid')
+    LEFT JOIN (SELECT dataset, week, model, protocol, metric, {_CI} FROM (SELECT p.dataset, p.week, p.model, p.protocol, p.metric, p.value - r.value AS value FROM drm p JOIN drm r USING (dataset, week, model, metric, draw) WHERE p.protocol <> 'cutoff_valid' AND r.protocol = 'cutoff_valid') GROUP BY ALL)
+      USING (dataset, week, model, protocol, metric)""",
+        *spread,
+    )
+    _add(f"B6_decomposition{suffix}", _DEC, *spread, _PLAIN, _DREW, _DECOMPOSED)
+    _add(f"B7_module_clusters{suffix}", _DEC, _MODULES, *_POINT, _draws(n), _drawn_metrics("pred", "drm"), _PLAIN, _DREW, _DECOMPOSED)
+    _add(f"A26_exclusion_counts{suffix}", f"SELECT metric, contrast, count(*) AS cells, count_if(ci_low > 0 OR ci_high < 0)::BIGINT AS excluding_zero, {_n('median_delta', 'mean_delta')} FROM (SELECT *, median(delta) OVER g AS median_delta, avg(delta) OVER g AS mean_delta FROM dec WINDOW g AS (PARTITION BY metric, contrast)) GROUP BY metric, contrast, median_delta, mean_delta", *spread, _PLAIN, _DREW, _DECOMPOSED)
+    _add(
+        f"B8_aggregate{suffix}",
+        f"""SELECT metric, contrast, {_n('point_mean', 'bootstrap_mean', 'ci_low', 'ci_high')}, finite_draws, (SELECT count(*) FROM (SELECT DISTINCT dataset, week, model FROM pc)) AS cells
+    FROM (SELECT metric, contrast, value AS point_mean FROM {_sizes('pm', 'metric')})
+    JOIN (SELECT metric, contrast, avg(value) AS bootstrap_mean, {_CI}, count(value) AS finite_draws FROM {_sizes('dm', 'draw, metric')} GROUP BY ALL) USING (metric, contrast)""",
+        *spread, _PLAIN, _DREW, "pm AS (SELECT metric, contrast, avg(value) AS value FROM pc GROUP BY ALL)",
+        "dm AS (SELECT draw, metric, contrast, CASE WHEN count(value) = (SELECT count(*) FROM (SELECT DISTINCT dataset, week, model FROM pc)) THEN avg(value) END AS value FROM dc GROUP BY ALL)",
+    )
+    _add(
+        f"B9_paired_difference{suffix}",
+        f"""SELECT metric, contrast, {_n('bootstrap_mean', 'ci_low', 'ci_high')}, finite_draws
+    FROM (SELECT metric, contrast, avg(value) AS bootstrap_mean, {_CI}, count(value) AS finite_draws FROM (
+      SELECT metric, contrast, a.value - b.value AS value FROM (SELECT draw, metric, contrast, avg(value) AS value FROM ec GROUP BY ALL) a JOIN (SELECT draw, metric, contrast, avg(value) AS value FROM dc GROUP BY ALL) b USING (draw, metric, contrast)) GROUP BY ALL)""",
+        _PRED, _draws(n), _drawn_metrics("pred", "drm"), _DREW, _PRED.replace("pred AS", "pred2 AS").replace("7919", "6421"), _drawn_metrics("pred2", "erm"), _contrasts("erm", f"{_CELL}, draw", "ec"),
+    )
+
+
+_bootstraps(1000, "")
+_bootstraps(20, "_20_draws")
+
 _add(
-    "B4_bootstrap_summary_20_draws",
-    f"""SELECT dataset, week, protocol, model, metric, {_n('point')}, n, n_clusters, 'presentation' AS cluster_unit, {_n('ci_low', 'ci_high')}
-FROM (SELECT dataset, week, model, protocol, metric, value AS point FROM pnt) JOIN (SELECT dataset, week, model, protocol, count(*) AS n, count(DISTINCT cluster_id) AS n_clusters FROM pred GROUP BY ALL) USING (dataset, week, model, protocol)
-LEFT JOIN (SELECT dataset, week, model, protocol, metric, {_CI} FROM drm GROUP BY ALL) USING (dataset, week, model, protocol, metric)""",
-    *_SPREAD,
-)
-_add(
-    "B5_bootstrap_distortion_20_draws",
-    f"""SELECT dataset, week, model, protocol, metric, {_n('delta', 'ci_low', 'ci_high')}, 'cutoff_valid' AS reference_protocol
-FROM (SELECT p.dataset, p.week, p.model, p.protocol, p.metric, p.value - r.value AS delta FROM pnt p JOIN pnt r USING (dataset, week, model, metric) WHERE p.protocol <> 'cutoff_valid' AND r.protocol = 'cutoff_valid')
-LEFT JOIN (SELECT dataset, week, model, protocol, metric, {_CI} FROM (SELECT p.dataset, p.week, p.model, p.protocol, p.metric, p.value - r.value AS value FROM drm p JOIN drm r USING (dataset, week, model, metric, draw) WHERE p.protocol <> 'cutoff_valid' AND r.protocol = 'cutoff_valid') GROUP BY ALL)
-  USING (dataset, week, model, protocol, metric)""",
-    *_SPREAD,
-)
-_add("B6_decomposition_20_draws", _DEC, *_SPREAD, _PLAIN, _DREW, _DECOMPOSED)
-_add("B7_module_clusters_20_draws", _DEC, _MODULES, *_POINT, _draws(), _drawn_metrics("pred", "drm"), _PLAIN, _DREW, _DECOMPOSED)
-_add("A26_exclusion_counts_20_draws", f"SELECT metric, contrast, count(*) AS cells, count_if(ci_low > 0 OR ci_high < 0)::BIGINT AS excluding_zero, {_n('median_delta', 'mean_delta')} FROM (SELECT *, median(delta) OVER g AS median_delta, avg(delta) OVER g AS mean_delta FROM dec WINDOW g AS (PARTITION BY metric, contrast)) GROUP BY metric, contrast, median_delta, mean_delta", *_SPREAD, _PLAIN, _DREW, _DECOMPOSED)
-_add(
-    "B8_aggregate_20_draws",
-    f"""SELECT metric, contrast, {_n('point_mean', 'bootstrap_mean', 'ci_low', 'ci_high')}, finite_draws, (SELECT count(*) FROM (SELECT DISTINCT dataset, week, model FROM pc)) AS cells
-FROM (SELECT metric, contrast, value AS point_mean FROM {_sizes('pm', 'metric')})
-JOIN (SELECT metric, contrast, avg(value) AS bootstrap_mean, {_CI}, count(value) AS finite_draws FROM {_sizes('dm', 'draw, metric')} GROUP BY ALL) USING (metric, contrast)""",
-    *_SPREAD, _PLAIN, _DREW, "pm AS (SELECT metric, contrast, avg(value) AS value FROM pc GROUP BY ALL)",
-    "dm AS (SELECT draw, metric, contrast, CASE WHEN count(value) = (SELECT count(*) FROM (SELECT DISTINCT dataset, week, model FROM pc)) THEN avg(value) END AS value FROM dc GROUP BY ALL)",
+    "B11_precision_by_rows", f"SELECT dataset, week, model, protocol, draw, {_n('pr_auc_risk')} FROM (SELECT dataset, week, model, protocol, draw, value AS pr_auc_risk FROM drm WHERE metric = 'pr_auc_risk')",
+    _PRED, _draws(1000).replace("drawn AS", "all_drawn AS") + ",\ndrawn AS (SELECT * FROM all_drawn WHERE draw IN (0, 500, 999))", _drawn_metrics("pred", "drm"),
 )
+_add("B11_cross_check", "SELECT dataset, week, protocol, model, 0 AS draw, 0.0::DOUBLE AS first, 0.0::DOUBLE AS second, 0.0::DOUBLE AS difference FROM pred WHERE false", _PRED)
+_add("O4_first_occurrence", "SELECT code_module, in_debt, row_number() OVER (ORDER BY min(k)) - 1 AS nth FROM (SELECT row_number() OVER () AS k, c_mktsegment AS code_module, c_acctbal < 0 AS in_debt FROM customer) GROUP BY code_module, in_debt")
+_add("O7_first_labels", "SELECT o_custkey AS id_student, o_orderkey, (o_orderstatus = 'F')::INT AS label FROM (SELECT row_number() OVER () AS k, * FROM orders) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY k) = 1")
 _add(
-    "B9_paired_difference_20_draws",
-    f"""SELECT metric, contrast, {_n('bootstrap_mean', 'ci_low', 'ci_high')}, finite_draws
-FROM (SELECT metric, contrast, avg(value) AS bootstrap_mean, {_CI}, count(value) AS finite_draws FROM (
-  SELECT metric, contrast, a.value - b.value AS value FROM (SELECT draw, metric, contrast, avg(value) AS value FROM ec GROUP BY ALL) a JOIN (SELECT draw, metric, contrast, avg(value) AS value FROM dc GROUP BY ALL) b USING (draw, metric, contrast)) GROUP BY ALL)""",
-    _PRED, _draws(), _drawn_metrics("pred", "drm"), _DREW, _PRED.replace("pred AS", "pred2 AS").replace("7919", "6421"), _drawn_metrics("pred2", "erm"), _contrasts("erm", f"{_CELL}, draw", "ec"),
-)
+    "V1_landmark_audit",
+    f"""SELECT week, 7 * week AS cutoff_day, (SELECT count(*) FROM sub WHERE day < 7 * week) AS admissible_submissions,
+  (SELECT count(*) FROM (SELECT {K} FROM sub WHERE day < 7 * week UNION SELECT {K} FROM vle WHERE date >= 0 AND date < 7 * week)) AS activity_enrolments,
+  (SELECT coalesce(sum(sum_click), 0)::BIGINT FROM vle WHERE date >= 0 AND date < 7 * week) AS vle_clicks
+FROM (SELECT unnest([{', '.join(map(str, WEEKS))}])::INT AS week)""",
+    _PANEL,
+)
+_add("J2_incomplete_joins", "SELECT DISTINCT l_partkey AS id_site, 0::BIGINT AS matches FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_partkey % 17 = 0")
+
+_FOLDS = f"""WITH RECURSIVE {_BASE},
+grp AS (SELECT code_module || '::' || code_presentation AS split_group, count(*) FILTER (label = 0) AS bad, count(*) FILTER (label = 1) AS good FROM roster GROUP BY ALL),
+tot AS (SELECT greatest(sum(bad), 1)::DOUBLE AS b, greatest(sum(good), 1)::DOUBLE AS g FROM grp),
+shp AS (SELECT repeat, bad, good, count(*) AS m, row_number() OVER (PARTITION BY repeat ORDER BY abs(bad - good) DESC, md5(concat_ws(':', 41 + repeat, bad, good))) AS o FROM grp, (SELECT unnest(range(1, 6)) AS repeat) GROUP BY repeat, bad, good),
+stp AS (SELECT repeat, bad, good, i, row_number() OVER (PARTITION BY repeat ORDER BY o, i) AS k FROM (SELECT *, unnest(range(m % 5)) AS i FROM shp)),
+walk AS (
+  SELECT repeat, 0::BIGINT AS k, [0::DOUBLE, 0, 0, 0, 0] AS hb, [0::DOUBLE, 0, 0, 0, 0] AS hg, 0 AS fold FROM (SELECT DISTINCT repeat FROM shp)
+  UNION ALL
+  SELECT repeat, k, [hb[f] + CASE WHEN f = best THEN bad ELSE 0 END FOR f IN [1, 2, 3, 4, 5]], [hg[f] + CASE WHEN f = best THEN good ELSE 0 END FOR f IN [1, 2, 3, 4, 5]], best
+  FROM (
+    SELECT w.repeat, s.k, hb, hg, bad, good, list_sort([
+      {{'s': round((list_aggregate([(hb[x] + CASE WHEN x = f THEN bad ELSE 0 END) / b FOR x IN [1, 2, 3, 4, 5]], 'stddev_pop') + list_aggregate([(hg[x] + CASE WHEN x = f THEN good ELSE 0 END) / g FOR x IN [1, 2, 3, 4, 5]], 'stddev_pop')) / 2, 12),
+        't': hb[f] + hg[f], 'f': f}} FOR f IN [1, 2, 3, 4, 5]])[1].f AS best
+    FROM walk w JOIN stp s ON w.repeat = s.repeat AND s.k = w.k + 1, tot)),
+ranked AS (SELECT repeat, split_group, bad, good, row_number() OVER (PARTITION BY repeat, bad, good ORDER BY md5(concat_ws(':', 41 + repeat, split_group)), split_group) - 1 AS i FROM grp, (SELECT unnest(range(1, 6)) AS repeat)),
+maps AS (
+  SELECT r.repeat, split_group, coalesce(w.fold, (r.i - m % 5) % 5 + 1)::INT AS fold
+  FROM ranked r JOIN shp USING (repeat, bad, good) LEFT JOIN stp s ON s.repeat = r.repeat AND s.bad = r.bad AND s.good = r.good AND s.i = r.i LEFT JOIN walk w ON w.repeat = s.repeat AND w.k = s.k)
+SELECT {K}, label, 'presentation' AS split_unit, split_group, repeat::INT AS repeat, fold FROM roster JOIN maps ON split_group = code_module || '::' || code_presentation"""
+ORACLE_SQL["L8_folds"] = _FOLDS
 
 # Learner states on the graph of weeks and modalities: a row per learner, week and modality.
 _GRAPH = f"""

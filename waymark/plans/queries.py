@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.columns import KEY, day_to_week, group_id
-from waymark.operators import behaviour, bootstrap, checks, cohort, decide, evidence, hazard, metrics, models, represent, state, static, traversal
+from waymark.operators import behaviour, bootstrap, checks, cohort, decide, evidence, hazard, metrics, models, order, represent, state, static, traversal
 from waymark.sources.fixtures import WEEKS, Binding
 from waymark.sources.scratch import stored
 
@@ -291,6 +291,48 @@ def _(b: Binding) -> DataFrame:
     return bootstrap.tie_partition_audit(predictions(b))
 
 
+@query("B11_precision_by_rows")
+def _(b: Binding) -> DataFrame:
+    """The second way to the precision of the first, middle and last draw, of all cells."""
+    rows = scored(b)
+    chosen = draws(b, rows).where(F.col("draw").isin(0, DRAWS // 2, DRAWS - 1))
+    return rounded(bootstrap.row_weighted_precision(rows, chosen, ["dataset", "week", "protocol", "model"]), steady=True)
+
+
+@query("B11_cross_check")
+def _(b: Binding) -> DataFrame:
+    """Where the two ways differ: nowhere."""
+    rows = scored(b)
+    return bootstrap.cross_check(rows, stored(draws(b, rows), "draws"), ["dataset", "week", "protocol", "model"], [0, DRAWS // 2, DRAWS - 1])
+
+
+@query("O4_first_occurrence")
+def _(b: Binding) -> DataFrame:
+    """Modules and account states of the enrolments in the order in which the file first has them."""
+    rows = order.read_in_order(b.spark, f"{b.dir}/customer.parquet")
+    return order.first_occurrence(rows.select(F.col("c_mktsegment").alias("code_module"), (F.col("c_acctbal") < 0).alias("in_debt"), "source_order"), "code_module", "in_debt")
+
+
+@query("O7_first_labels")
+def _(b: Binding) -> DataFrame:
+    """A label for each learner from several: that of the first order in the file."""
+    rows = order.read_in_order(b.spark, f"{b.dir}/orders.parquet")
+    return order.keep_first(rows.select(F.col("o_custkey").alias("id_student"), "o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("label"), "source_order"), "id_student")
+
+
+@query("V1_landmark_audit")
+def _(b: Binding) -> DataFrame:
+    """What the raw days alone say of each landmark."""
+    return checks.landmark_audit(b.vle_events(), b.submissions(), b.assessments(), roster(b), WEEKS)
+
+
+@query("J2_incomplete_joins")
+def _(b: Binding) -> DataFrame:
+    """Interactions by site where the sites' table lacks every 17th one: a many-to-one join that is not complete."""
+    sites = b.sites().where("activity_type IS NOT NULL")
+    return checks.without_match(b.vle_events().select("id_site").distinct(), sites, ["id_site"])
+
+
 @query("O2_capacities")
 def _(b: Binding) -> DataFrame:
     return decide.capacities(predictions(b).where("protocol = 'cutoff_valid'"), decide.BUDGETS)
