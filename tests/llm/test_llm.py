@@ -226,8 +226,7 @@ def test_mined_rules_match_what_they_were_mined_from(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, quality int, toxic int")
     found = urls.mine(df.select("url", (F.col("quality") == 0).alias("bad")))
     assert [["h:spam"]] == [r["tokens"] for r in found.collect()]
-    for held in (urls.RULES_HELD, 0):
-        assert {r["page_id"] for r in urls.matches(df, found, held).where("mined").collect()} == {k for k in range(400) if k % 4 == 0}
+    assert {r["page_id"] for r in urls.matches(df, found).where("mined").collect()} == {k for k in range(400) if k % 4 == 0}
     got = urls.judge(df.select("page_id", "url"), df.selectExpr("page_id AS doc_id", "quality", "toxic"), [])
     assert got.where("(verdict = 'block') != mined").count() == 0 and got.where("mined").count() == 100
 
@@ -279,9 +278,33 @@ def test_mined_rules_against_brute_force(spark):
     assert got == brute_rules(rows, 0.01, urls.MIN_GAIN, urls.MIN_Z, urls.MIN_PAGES) and len(got) > 0
 
 
-def test_url_filter_mines_rules_on_the_tables(spark):
-    pages, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("pages", "labels"))
-    assert urls.judge(pages, labels).where("mined").count() > 0
+def test_rules_come_from_labels_that_held_out_labels_confirm(spark):
+    """Bad hosts are blocked where the labels say so, also on pages without label; chance combinations are not."""
+    r = random.Random(3)
+    rows = []
+    for k in range(3000):
+        host, word = r.choice(["casino.win", "news.site", "blog.place", "shop.market"]), r.choice(["a", "b", "c", "d"])
+        bad = r.random() < (0.9 if host == "casino.win" else 0.1)
+        rows.append((k, f"http://{host}.example.edu/{word}/{k}", int(not bad), None if k % 2 else 0))
+    df = spark.createDataFrame(rows, "page_id long, url string, quality int, toxic int")
+    labels = df.where("page_id % 3 = 0").selectExpr("page_id AS doc_id", "quality", "toxic")
+    rules = urls.label_rules(df, labels).collect()
+    assert rules and all({"h:casino", "h:win"} & set(x["tokens"]) for x in rules)
+    assert all(x["held_bad"] / x["held_pages"] > 0.7 for x in rules)
+    got = urls.judge(df, labels).collect()
+    assert {x["verdict"] for x in got if "casino" in x["host"]} == {"block"} and {x["verdict"] for x in got if "casino" not in x["host"]} == {"allow"}
+    # A rule that the held-out pages do not bear out goes.
+    good = df.select("url", F.lit(False).alias("bad"))
+    assert urls.confirm(spark.createDataFrame(rules), good).count() == 0
+    # Pages without label say nothing, so the labels' base rate alone counts.
+    assert urls.labelled(df, labels).count() == 1000
+
+
+def test_the_tables_labels_give_no_rule(spark):
+    """Their quality does not depend on the URL: no page is blocked but by a fixed rule."""
+    pages, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("pages", "labels"))
+    assert urls.label_rules(pages, labels).isEmpty()
+    assert urls.judge(pages, labels).where("mined OR (rule IS NULL AND verdict = 'block')").isEmpty()
 
 
 def test_url_filter_of_empty_and_odd_tables(spark):

@@ -1,15 +1,13 @@
 """URL filters: fixed host-and-path rules, and association rules mined from labelled pages.
 
-Labels are those of the fixed rules and of a table. Spark's FP-growth finds the combinations
-of URL tokens that go with a bad verdict; those that pass the support, confidence and significance bounds are kept if
-each of their tokens raises the confidence. A page is matched through an inverted index: each rule is listed under its
-rarest token, so a URL looks up its own tokens and tests only the rules found there.
+Spark's FP-growth finds the combinations of URL tokens that go with a bad label; those that pass the support, confidence
+and significance bounds are kept if each of their tokens raises the confidence, and if labelled pages that were held out
+of the mining confirm them. A page is matched through an inverted index: each rule is listed under its rarest token, so a
+URL's tokens meet only the rules found there.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +22,8 @@ MIN_SUPPORT, MIN_PAGES = 0.002, 20
 #: Its confidence takes away at least this share of what the base rate leaves open, and lies so many standard errors
 #: (of a binomial count at the base rate) above it.
 MIN_GAIN, MIN_Z = 0.5, 4.0
-#: Rules that are looked up in the plan itself; more of them are a table that the pages' tokens join.
-RULES_HELD = 10_000
+#: One labelled URL in so many is held out; on these a rule's bad pages lie so many standard errors above the base rate.
+HELD, HELD_Z = 3, 1.645
 BAD = "label=bad"
 
 
@@ -93,36 +91,56 @@ def mine(known: DataFrame, min_support: float = MIN_SUPPORT, min_gain: float = M
     return rules.join(idle, "tokens", "left_anti").select("tokens", rarest.alias("rarest"), "confidence", (F.col("confidence") / base).alias("lift"), F.col("pages").cast("long").alias("pages"), F.col("bad").cast("long").alias("bad"))
 
 
-def matches(rows: DataFrame, rules: DataFrame, held: int = RULES_HELD) -> DataFrame:
+def _hits(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """row and tokens: which rules the url of each row (row, url) holds all tokens of, through each rule's rarest."""
+    asked = rows.select("row", tokens(F.col("url")).alias("own")).withColumn("rarest", F.explode("own"))
+    return asked.join(rules.select("rarest", "tokens"), "rarest").where(F.size(F.array_except("tokens", "own")) == 0).select("row", "tokens")
+
+
+def confirm(rules: DataFrame, held: DataFrame, min_z: float = HELD_Z) -> DataFrame:
+    """rules with held_pages and held_bad, their pages among the held-out ones (url, bad), where these are worse than all
+    held-out pages by min_z standard errors."""
+    pages = stored(held.select("url", F.coalesce("bad", F.lit(False)).alias("bad")).withColumn("row", F.monotonically_increasing_id()), "held-pages")
+    n, n_bad = pages.select(F.count("*"), F.count_if("bad")).first()
+    base = n_bad / n if n else 0.0
+    found = _hits(pages, rules).join(pages.select("row", "bad"), "row").groupBy("tokens").agg(F.count("*").alias("held_pages"), F.count_if("bad").alias("held_bad"))
+    enough = F.col("held_bad") - F.col("held_pages") * base >= min_z * F.sqrt(F.col("held_pages") * base * (1 - base))
+    return rules.join(found.where(enough & (F.col("held_bad") > F.col("held_pages") * base)), "tokens")
+
+
+def matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """rows (with url) and mined: whether the tokens of the url hold all tokens of a rule (tokens, rarest)."""
-    own = tokens(F.col("url"))
-    index = rules.groupBy("rarest").agg(F.collect_list("tokens").alias("listed"))
-    if rules.count() <= held:
-        inverted = {r["rarest"]: r["listed"] for r in index.collect()}
-        if not inverted:
-            return rows.withColumn("mined", F.lit(False))
-        listed = F.from_json(F.lit(json.dumps(inverted)), "map<string,array<array<string>>>")
-        found = F.flatten(F.transform(own, lambda t: F.coalesce(F.try_element_at(listed, t), F.array().cast("array<array<string>>"))))
-        return rows.withColumn("mined", F.coalesce(F.exists(found, lambda rule: F.size(F.array_except(rule, own)) == 0), F.lit(False)))
+    if rules.isEmpty():
+        return rows.withColumn("mined", F.lit(False))
     named = stored(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
-    asked = named.select("row", own.alias("own")).withColumn("token", F.explode("own"))
-    hit = asked.join(rules.select(F.col("rarest").alias("token"), "tokens"), "token").where(F.size(F.array_except("tokens", "own")) == 0).select("row").distinct().withColumn("mined", F.lit(True))
+    hit = _hits(named, rules).select("row").distinct().withColumn("mined", F.lit(True))
     return named.join(hit, "row", "left").withColumn("mined", F.coalesce("mined", F.lit(False))).drop("row")
 
 
+def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """url, bad and held of each labelled page (doc_id = page_id): bad are those of quality 0 and the toxic ones, held is
+    a hash of the URL, so that equal URLs are not on both sides. Several labels of a page count each on their own."""
+    rows = pages.select("page_id", "url").join(labels.select(F.col("doc_id").alias("page_id"), "quality", "toxic"), "page_id")
+    bad = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.col("quality") == 0, F.col("toxic") == 1)
+    return rows.select("url", bad.alias("bad"), (F.pmod(F.xxhash64("url"), F.lit(HELD)) == 0).alias("held")).where("bad IS NOT NULL")
+
+
+def label_rules(pages: DataFrame, labels: DataFrame, **thresholds: float) -> DataFrame:
+    """The stored rules that the labels give and that held-out labels confirm; see mine and confirm."""
+    known = stored(labelled(pages, labels), "labelled-pages")
+    rules = stored(mine(known.where("NOT held"), **thresholds), "rules")
+    return rules.selectExpr("*", "0L AS held_pages", "0L AS held_bad") if rules.isEmpty() else stored(confirm(rules, known.where("held")), "confirmed")
+
+
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, **thresholds: float) -> DataFrame:
     """page_id, host, path, rule, verdict and mined (whether an association rule matches) for every row of pages.
 
     A fixed rule fits its host and all subdomains if the path starts with the rule's; of several the longest decides.
-    Without one, pages that an association rule matches are blocked and all others allowed. Rules are mined from all
-    pages: bad are those that a fixed rule blocks and, where none decides, those whose label (doc_id = page_id) has quality
-    0 or is toxic. Pages without a verdict or a label count as good, or else a combination would be judged by the part
-    of its pages that the fixed rules reach. Several labels of a page count each on their own. Null and repeated rows
-    give a row each; empty tables mine no rules. Other columns are not read.
+    Without one, pages that an association rule matches are blocked and all others allowed. Association rules come from
+    the labels alone, see label_rules; where no combination of tokens is significantly worse than the base rate there are
+    none, and all these pages are allowed. Pages without label are no evidence. Null and repeated rows give a row each;
+    empty tables mine no rules. Other columns are not read.
     """
-    rows = verdicts(pages.select("page_id", "url"), rules)
-    joined = rows.join(labels.select(F.col("doc_id").alias("page_id"), "quality", "toxic"), "page_id", "left")
-    known = joined.select("url", F.coalesce(F.col("best.verdict") == "block", (F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False)).alias("bad"))
-    rows = matches(rows, stored(mine(known, **thresholds), "rules"))
+    rows = matches(verdicts(pages.select("page_id", "url"), rules), label_rules(pages, labels, **thresholds))
     verdict = F.coalesce("best.verdict", F.when(F.col("mined"), "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "mined")
