@@ -448,13 +448,24 @@ def test_top_k_keeps_long_vectors(spark):
         scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), k) for k, v in whole.items() if k != q)
         expected |= {(q, n + 1, k, -s) for n, (s, k) in enumerate(scores[: topk.K])}
     assert {(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in got} == expected
-    # Parts of a sum may be over a long where the sum is not; a score or a component may not.
+    # Parts of a sum may be over a long where the sum is not.
     a, b = np.array([[2**40, 2**40, 3]]), np.array([[2**40, -(2**40), 5], [1, 2, 3]])
     assert topk._products(a, b).tolist() == [[15, 3 * 2**40 + 9]]
-    with pytest.raises(OverflowError):
-        topk._products(a, a)
-    with pytest.raises(Exception, match="does not fit a long"):
-        topk.whole_vectors(spark.createDataFrame([(1, [1e18])], "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()
+
+
+def test_top_k_saturates_where_a_long_ends(spark):
+    """One huge component ends no query: components stop at the last double below 2^63, scores at the ends of a long."""
+    r = random.Random(5)
+    last = 2**63 - 1024
+    vectors = {k: [r.uniform(-1, 1) for _ in range(3)] for k in range(40)} | {100: [1e300, 0.5, 0.0], 101: [-1e300, 1e18, 0.25], 102: [1e300, -1e300, 1e300], 110: [1e17, 1e17, 1e17]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    whole = {k: [max(-last, min(last, math.floor(x * 1024) if abs(x) < 1e290 else (last if x > 0 else -last))) for x in v] for k, v in vectors.items()}
+    expected = set()
+    for q in [k for k in whole if k % 10 == 0]:
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v)))), k) for k, v in whole.items() if k != q)
+        expected |= {(q, n + 1, k, -s) for n, (s, k) in enumerate(scores[: topk.K])}
+    got = topk.top_k(df, df.where("vec_id % 10 = 0")).collect()
+    assert {(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in got} == expected
 
 
 def test_packing_ids_of_special_tokens_are_the_librarys():

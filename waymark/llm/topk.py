@@ -33,8 +33,9 @@ COSINE = 0.25
 LEFT, MOST = 0.9, 0.75
 #: Queries whose products with a bucket are held at once.
 AT_ONCE = 256
-#: Scaled components and scores are below this in absolute value, or an error is raised.
+#: Scaled components and scores stop at the ends of a long; components at the last double before.
 LIMIT = 2**63
+LAST = 2.0**63 - 1024
 
 PACKED = "block long, dim int, n int, longest double, need double, ids binary, nums binary, norms binary, floors binary, vectors binary"
 
@@ -43,9 +44,9 @@ def whole_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int =
     """id, v (array<long>), dim and norm of the vectors that take part.
 
     Vectors that are null or hold a null or non-finite component, empty vectors and null ids take no part. A scaled
-    component that does not fit a long is an error.
+    component beyond LAST counts as LAST, with its sign.
     """
-    fits = lambda x: F.when(F.abs(x) < float(LIMIT), F.floor(x)).otherwise(F.raise_error(F.lit("a scaled component does not fit a long")).cast("long"))
+    fits = lambda x: F.floor(F.greatest(F.least(x, F.lit(LAST)), F.lit(-LAST)))
     scaled = F.transform(F.col(vector_col).cast("array<double>"), lambda x: fits(x * scale))
     valid = F.forall(F.col(vector_col), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where((F.size(vector_col) > 0) & valid)
@@ -110,16 +111,14 @@ class Block:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The products as integers; where a long could overflow on the way, by Python's integers."""
+    """The products as integers; where a long could overflow on the way, by Python's integers. A product that does not
+    fit a long is the nearest long."""
     most = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * a.shape[1]
     if most < 2**53:
         return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
     if most < LIMIT * (1 - 1e-9):
         return a.astype(np.int64) @ b.T.astype(np.int64)
-    exact = a.astype(object) @ b.T.astype(object)
-    if any(not -LIMIT <= x < LIMIT for x in exact.flat):
-        raise OverflowError("a score does not fit a long")
-    return exact.astype(np.int64)
+    return np.clip(a.astype(object) @ b.T.astype(object), -LIMIT, LIMIT - 1).astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +236,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
 
     Ties go to the smaller vec_id. Queries are compared with vectors of their own dimension only. A query row of a
     repeated id is answered once per distinct vector; a repeated vector is a candidate each time. See whole_vectors
-    for rows that take no part. Without candidates a query has no rows. Other columns are not read.
+    for rows that take no part. Scores that do not fit a long are the nearest long, and tie. Without candidates a query has no rows. Other columns are not read.
     """
     never = F.lit(float("-inf"))
     rows = stored(whole_vectors(vectors, id_col, vector_col, scale), "vectors")
