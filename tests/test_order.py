@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions.columns import KEY
-from waymark.operators import bootstrap, cohort, order
+from waymark.operators import baselines, bootstrap, cohort, models, order
 
 PANEL = "dataset string, week int, protocol string, model string, cluster_id string, cluster_unit string, y int, p_success double"
 
@@ -88,3 +88,12 @@ def test_only_tied_cells_are_renewed(spark, panel):
     assert none.isEmpty() and values(same) == values(right)
     with pytest.raises(ValueError, match="not one row"):
         bootstrap.renew_precision(old.where("model = 'u'"), panel, drawn)
+
+
+def test_baselines_of_a_panel(spark, tmp_path):
+    spark.createDataFrame([("flat_hgb",), ("base_svm",), ("base_knn",), ("base_svm",)], "model string").coalesce(1).write.parquet(f"{tmp_path}/panel")
+    panel = order.read_in_order(spark, f"{tmp_path}/panel")
+    got = {r["model"]: r for r in baselines.baseline_manifest(panel).collect()}
+    assert [m for m, r in sorted(got.items(), key=lambda x: x[1]["nth"])] == ["base_svm", "base_knn"] and got["base_knn"]["family"] == "k_nearest_neighbours"
+    assert baselines.baseline_manifest(panel.drop("source_order")).columns == baselines.COLUMNS
+    assert {b[0] for b in baselines.BASELINES} == {*models.LOGISTIC, *models.CLASSIC}
