@@ -39,6 +39,8 @@ POINT = -1
 PRODUCTS = 2_000_000
 #: A product of matrices takes so many cells in the time that a row takes when its weights are looked up.
 DENSE = 40
+#: Rows of draws that are broadcast at most; more are joined by a sort.
+HELD = 500_000
 #: Hexadecimal digits of a slot's hash that choose its cluster.
 DIGITS = 13
 _SUMS = ["successes", "failures", "auc_sum", "ap_sum", "brier_sum", *[f"off{k}" for k in range(len(EDGES) + 1)]]
@@ -306,7 +308,10 @@ def exclusion_counts(intervals: DataFrame) -> DataFrame:
 def row_weighted_precision(predictions: DataFrame, draws: DataFrame, keys: list[str]) -> DataFrame:
     """keys, draw, pr_auc_risk by a second way: every row weighed by its cluster's draw, rows of one risk taken together,
     and precision read off along the falling risk. For few draws, as rows are multiplied by them."""
-    rows = predictions.withColumn("cluster_id", F.col("cluster_id").cast("string")).join(draws.select("cluster_id", "draw", "w"), "cluster_id")
+    # Said which side is broadcast: the files of a stored panel are small for its rows, so Spark would take the panel.
+    drawn = draws.select("cluster_id", "draw", "w")
+    drawn = F.broadcast(drawn) if drawn.count() <= HELD else drawn.hint("merge")
+    rows = predictions.withColumn("cluster_id", F.col("cluster_id").cast("string")).join(drawn, "cluster_id")
     failures = F.col("w") * (1 - F.col("y"))
     tied = rows.groupBy(*keys, "draw", (1 - F.col("p_success")).alias("risk")).agg(F.sum(failures).alias("f"), F.sum("w").alias("n"))
     falling = Window.partitionBy(*keys, "draw").orderBy(F.desc("risk"))
