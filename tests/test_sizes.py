@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waymark.operators import bootstrap
 from waymark.plans import queries
 from waymark.plans.queries import QUERIES
+from waymark.sources import fixtures
 from waymark.sources.fixtures import Binding
 
 
@@ -28,3 +29,14 @@ def test_precision_by_rows_never_broadcasts_the_panel(spark, monkeypatch):
     many = bootstrap.row_weighted_precision(rows, drawn, ["dataset", "week", "protocol", "model"])
     assert "SortMergeJoin" in plan(many)
     assert same_rows(queries.rounded(many, steady=True), found)
+
+
+def test_weekly_evidence_of_large_tables_is_dealt_to_more_tasks(spark, monkeypatch):
+    for name in ("A1_vle_weekly", "A3_assess_weekly"):
+        plain = QUERIES[name](spark, SMALL)
+        with monkeypatch.context() as m:
+            m.setattr(fixtures, "LINES", 200)
+            dealt = QUERIES[name](spark, SMALL)
+        parts = -(-Binding(spark, SMALL).read("lineitem").count() // 200)
+        assert "o_custkey#" in plan(dealt) and f", {parts})" in plan(dealt)
+        assert same_rows(plain, dealt)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 BASE_DAY = "1995-01-01"
 WEEKS = [2, 4, 6, 8, 10, 12, 14, 16]
 MODELS = [1, 2, 3]
+#: Lines of orders that meet in one task, about.
+LINES = 400_000
 
 
 class Binding:
@@ -22,6 +24,12 @@ class Binding:
     def sql(self, query: str, **tables: DataFrame) -> DataFrame:
         return self.spark.sql(query, **tables)
 
+    def parts(self, name: str, each: int) -> int | None:
+        """So many tasks that each has about `each` rows of a table, by the counts in its files; None if the session's
+        tasks are as many, so that Spark chooses."""
+        n = -(-self.read(name).count() // each)
+        return n if n > self.spark.sparkContext.defaultParallelism else None
+
     def info(self) -> DataFrame:
         """studentInfo: one row per enrolment."""
         return self.sql(
@@ -49,11 +57,17 @@ class Binding:
         balance = self.read("customer").select(F.col("c_custkey").alias("id_student"), (F.col("c_acctbal") >= 3000).cast("int").alias("label"))
         return self.info().select("id_student", "code_module", "code_presentation").join(balance, "id_student")
 
+    def lines(self) -> DataFrame:
+        """Order lines with their orders and the orders' enrolments, dealt by enrolment to tasks of about LINES lines."""
+        n = self.parts("lineitem", LINES)
+        dealt = lambda df, key: df.repartition(n, key).hint("merge") if n else df
+        lines = dealt(self.read("lineitem"), "l_orderkey").join(dealt(self.read("orders"), "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        info = self.info().select("id_student", "code_module", "code_presentation")
+        return dealt(lines, "o_custkey").join(dealt(info, "id_student"), F.col("o_custkey") == F.col("id_student"))
+
     def vle_events(self) -> DataFrame:
         """studentVle: an order line is an interaction with its part."""
-        lines = self.read("lineitem").join(self.read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        events = lines.select(F.col("o_custkey").alias("id_student"), F.col("l_partkey").alias("id_site"), F.datediff(F.to_date("o_orderdate"), F.lit(BASE_DAY)).alias("date"), F.col("l_quantity").cast("long").alias("sum_click"))
-        return events.join(self.info().select("id_student", "code_module", "code_presentation"), "id_student")
+        return self.lines().select("id_student", F.col("l_partkey").alias("id_site"), F.datediff(F.to_date("o_orderdate"), F.lit(BASE_DAY)).alias("date"), F.col("l_quantity").cast("long").alias("sum_click"), "code_module", "code_presentation")
 
     def sites(self) -> DataFrame:
         """vle: every 17th site has no activity type."""
@@ -77,8 +91,7 @@ class Binding:
 
     def submissions(self) -> DataFrame:
         """studentAssessment: an order line is a submission."""
-        lines = self.read("lineitem").join(self.read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        mine = lines.join(self.info().select("id_student", "code_module", "code_presentation"), F.col("o_custkey") == F.col("id_student")).join(F.broadcast(self.presentations()), ["code_module", "code_presentation"])
+        mine = self.lines().join(F.broadcast(self.presentations()), ["code_module", "code_presentation"])
         return mine.select(
             (F.col("nth") * 8 + F.col("l_suppkey") % 8).cast("long").alias("id_assessment"), "id_student", F.datediff(F.to_date("l_shipdate"), F.lit(BASE_DAY)).alias("date_submitted"),
             ((F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 1)).cast("int").alias("is_banked"),
