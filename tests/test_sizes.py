@@ -40,3 +40,9 @@ def test_weekly_evidence_of_large_tables_is_dealt_to_more_tasks(spark, monkeypat
         parts = -(-Binding(spark, SMALL).read("lineitem").count() // 200)
         assert "o_custkey#" in plan(dealt) and f", {parts})" in plan(dealt)
         assert same_rows(plain, dealt)
+
+
+def test_submissions_are_not_dealt_by_assessment(spark):
+    assert "hashpartitioning(id_assessment" not in plan(QUERIES["A3_assess_weekly"](spark, SMALL))
+    timing = QUERIES["A11_timing_features"](spark, SMALL)
+    assert "hashpartitioning(id_assessment" not in plan(timing)

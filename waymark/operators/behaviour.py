@@ -36,7 +36,7 @@ def gap_features(events: DataFrame, weeks: list[int]) -> DataFrame:
 def timing_features(roster: DataFrame, submissions: DataFrame, assessments: DataFrame, weeks: list[int]) -> DataFrame:
     """Lateness and missed assessments of every enrolment of the roster, submitters or not."""
     schedule = assessments.select("id_assessment", *PRESENTATION, finite(F.col("date")).alias("due_day"), F.col("weight").cast("double").alias("weight"))
-    rows = at_landmarks(admissible_submissions(submissions).join(schedule, "id_assessment", "left"), weeks, "date_submitted")
+    rows = at_landmarks(admissible_submissions(submissions).join(F.broadcast(schedule), "id_assessment", "left"), weeks, "date_submitted")
     late = F.col("date_submitted") - F.col("due_day")
     rows = rows.withColumn("late", late).withColumn("was_due", is_true(F.col("due_day") < 7 * F.col("snapshot_week")))
     place = F.struct("date_submitted", "id_assessment")

@@ -54,11 +54,12 @@ def assess_weekly(submissions: DataFrame, assessments: DataFrame, competencies:
     """KEY, week_index, attempts and mean, greatest and weighted score (0 to 1).
 
     A null score adds its weight to the denominator of the weighted score and nothing above it. Submissions without
-    an assessment are an error that names their number.
+    an assessment are an error that names their number. The assessments, a few for each presentation, are broadcast: dealt
+    by their ids, all submissions would lie in a few hundred groups.
     """
     rows = admissible_submissions(submissions)
     meta = assessments.select("id_assessment", *PRESENTATION, F.col("weight").cast("double").alias("weight"), F.lit(True).alias("known"))
-    rows = rows.join(meta, "id_assessment", "left")
+    rows = rows.join(F.broadcast(meta), "id_assessment", "left")
     checked = F.when(F.col("known").isNull(), F.raise_error(F.lit("submission without an assessment")).cast("long")).otherwise(F.col("id_assessment"))
     rows = rows.withColumn("id_assessment", checked).withColumn("week_index", day_to_week(F.col("date_submitted")))
     rows = rows.withColumn("score_01", finite(F.col("score")) / 100).withColumn("weight_01", F.col("weight") / 100)
