@@ -46,3 +46,17 @@ def test_submissions_are_not_dealt_by_assessment(spark):
     assert "hashpartitioning(id_assessment" not in plan(QUERIES["A3_assess_weekly"](spark, SMALL))
     timing = QUERIES["A11_timing_features"](spark, SMALL)
     assert "hashpartitioning(id_assessment" not in plan(timing)
+
+
+def test_audit_leaves_later_days_in_the_scans(spark):
+    found = plan(QUERIES["V1_landmark_audit"](spark, SMALL))
+    assert found.count("< 112)") >= 3 and "hashpartitioning(id_assessment" not in found
+
+
+def test_enrolments_are_dealt_before_landmarks_multiply_them(spark, monkeypatch):
+    plain = QUERIES["A21_average_repeats"](spark, SMALL)
+    with monkeypatch.context() as m:
+        m.setattr(queries, "ENROLMENTS", 10)
+        dealt = QUERIES["A21_average_repeats"](spark, SMALL)
+    assert "REPARTITION_BY_NUM" in plan(dealt)
+    assert same_rows(plain, dealt)

@@ -62,7 +62,7 @@ def _second_evidence(events: DataFrame, submissions: DataFrame, assessments: Dat
     """Admissible submissions with their presentation, and both weekly tables, from the raw days: by days first and
     integer division, not by the builders' expressions."""
     sent = submissions.withColumn("date_submitted", F.col("date_submitted").try_cast("double")).where("date_submitted >= 0 AND NOT isnan(date_submitted) AND date_submitted < double('infinity') AND is_banked = 0")
-    sent = sent.select("id_assessment", "id_student", "score", F.expr("cast(date_submitted as long)").alias("day")).join(assessments.select("id_assessment", *PRESENTATION), "id_assessment")
+    sent = sent.select("id_assessment", "id_student", "score", F.expr("cast(date_submitted as long)").alias("day")).join(F.broadcast(assessments.select("id_assessment", *PRESENTATION)), "id_assessment")
     score = F.expr("try_cast(score as double)") / 100
     assess = sent.withColumn("week_index", F.expr("day div 7 + 1").cast("int")).groupBy(*KEY, "week_index").agg(F.count(F.lit(1)).alias("assess_attempts"), F.avg(score).alias("assess_score_mean"), F.max(score).alias("assess_score_max"))
     days = events.where("date >= 0").withColumn("day", F.expr("cast(date as long)")).groupBy(*KEY, "day").agg(F.sum("sum_click").alias("clicks"))
@@ -73,14 +73,17 @@ def _second_evidence(events: DataFrame, submissions: DataFrame, assessments: Dat
 def landmark_audit(events: DataFrame, submissions: DataFrame, assessments: DataFrame, roster: DataFrame, weeks: list[int]) -> DataFrame:
     """Per landmark, from the raw days alone: week, cutoff_day, admissible_submissions, activity_enrolments (of the roster,
     with any admissible event before the cutoff) and vle_clicks."""
-    sent, _, _ = _second_evidence(events, submissions, assessments)
+    # Days after the last cutoff say nothing of any landmark; left out here, they do not leave the scans.
+    last = 7 * max(weeks)
+    sent = _second_evidence(events, submissions, assessments)[0].where(F.col("day") < last)
+    events = events.where((F.col("date") >= 0) & (F.col("date") < last))
     each = F.explode(F.array(*map(F.lit, weeks))).alias("week")
-    first = sent.select(*KEY, "day").unionByName(events.where("date >= 0").select(*KEY, F.expr("cast(date as long)").alias("day"))).groupBy(*KEY).agg(F.min("day").alias("day"))
+    first = sent.select(*KEY, "day").unionByName(events.select(*KEY, F.expr("cast(date as long)").alias("day"))).groupBy(*KEY).agg(F.min("day").alias("day"))
     active = first.join(roster.select(*KEY).distinct(), KEY)
     by_day = [
         sent.groupBy("day").agg(F.count(F.lit(1)).alias("sent")).select("day", "sent", F.lit(0).alias("active"), F.lit(0).alias("clicks")),
         active.groupBy("day").agg(F.count(F.lit(1)).alias("active")).select("day", F.lit(0).alias("sent"), "active", F.lit(0).alias("clicks")),
-        events.where("date >= 0").groupBy(F.expr("cast(date as long)").alias("day")).agg(F.sum("sum_click").alias("clicks")).select("day", F.lit(0).alias("sent"), F.lit(0).alias("active"), "clicks"),
+        events.groupBy(F.expr("cast(date as long)").alias("day")).agg(F.sum("sum_click").alias("clicks")).select("day", F.lit(0).alias("sent"), F.lit(0).alias("active"), "clicks"),
     ]
     rows = by_day[0].unionByName(by_day[1]).unionByName(by_day[2])
     inside = rows.select("*", each).where(F.col("day") < 7 * F.col("week"))
