@@ -33,13 +33,17 @@ def at_landmarks(rows: DataFrame, weeks: list[int], day: str | None = None) -> D
     return rows.withColumn("snapshot_week", F.explode(F.filter(landmarks, lambda w: F.col(day) < 7 * w)))
 
 
-def membership(roster: DataFrame, evidence: DataFrame, weeks: list[int], dataset: str = "oulab") -> DataFrame:
+def membership(roster: DataFrame, evidence: DataFrame, weeks: list[int], dataset: str = "oulab", parts: int | None = None) -> DataFrame:
     """Every labelled enrolment at every landmark with its flags and class.
 
-    evidence has KEY and week_index; an enrolment is active at a landmark from its first week of evidence on.
+    evidence has KEY and week_index; an enrolment is active at a landmark from its first week of evidence on. Enrolments
+    are dealt to so many tasks (parts) before landmarks, and what callers add, multiply them; None leaves that to Spark,
+    which sees only how small they are before.
     """
-    first = evidence.where("week_index >= 1").groupBy(*KEY).agg(F.min("week_index").alias("first_week"))
-    rows = at_landmarks(roster.join(first, KEY, "left"), weeks).withColumnRenamed("snapshot_week", "week")
+    # Weeks after the last landmark make none active, and need not leave the scan.
+    first = evidence.where(F.col("week_index").between(1, max(weeks))).groupBy(*KEY).agg(F.min("week_index").alias("first_week"))
+    rows = roster.join(first, KEY, "left")
+    rows = at_landmarks(rows.repartition(parts, *KEY) if parts else rows, weeks).withColumnRenamed("snapshot_week", "week")
     rows = rows.withColumn("has_activity", is_true(F.col("first_week") <= F.col("week"))).drop("first_week")
     rows = rows.withColumn("no_activity", (~F.col("has_activity")).cast("int")).withColumn("cutoff_day", 7 * F.col("week"))
     if dataset == "oulab":

@@ -16,6 +16,8 @@ TYPES = [f"t{k}" for k in range(5)]
 SOURCES = ["click", "error", "purchase", "scroll", "view"]
 #: Draws of the bootstrap's queries, and of the same queries with their SQL over all draws.
 DRAWS, FEW_DRAWS = 1000, 20
+#: Enrolments in one task, about: landmarks, models, protocols and repeats make up to 300 rows of each.
+ENROLMENTS = 2_500
 #: Digits to which values that lie on the edge between two roundings by nature are rounded first.
 STEADY = 12
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +50,7 @@ def roster(b: Binding) -> DataFrame:
 def members(b: Binding, weeks: list[int] = WEEKS) -> DataFrame:
     """Membership by interactions alone."""
     active = b.vle_events().where("date >= 0").withColumn("week_index", day_to_week(F.col("date")))
-    return cohort.membership(roster(b), active, weeks)
+    return cohort.membership(roster(b), active, weeks, parts=b.parts("customer", ENROLMENTS))
 
 
 def panel(b: Binding) -> DataFrame:
