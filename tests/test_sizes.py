@@ -5,7 +5,7 @@ from __future__ import annotations
 from oracle import SMALL
 from pyspark.sql import functions as F
 
-from waymark.operators import bootstrap
+from waymark.operators import bootstrap, decide
 from waymark.plans import queries
 from waymark.plans.queries import QUERIES
 from waymark.sources import fixtures
@@ -60,3 +60,17 @@ def test_enrolments_are_dealt_before_landmarks_multiply_them(spark, monkeypatch)
         dealt = QUERIES["A21_average_repeats"](spark, SMALL)
     assert "REPARTITION_BY_NUM" in plan(dealt)
     assert same_rows(plain, dealt)
+
+
+def test_selections_are_the_same_however_they_are_dealt(spark, monkeypatch):
+    rows = queries.predictions(Binding(spark, SMALL))
+    plain = decide.budget_table(rows)[1]
+    overlap = decide.overlap_table(plain)
+    with monkeypatch.context() as m:
+        m.setattr(decide, "ROWS", 1000)
+        m.setattr(decide, "HELD", 0)
+        dealt = decide.selections(rows)
+        again = decide.overlap_table(dealt)
+    assert same_rows(plain.select(sorted(plain.columns)), dealt.select(sorted(plain.columns)))
+    assert same_rows(overlap.select(sorted(overlap.columns)), again.select(sorted(overlap.columns)))
+    assert "REPARTITION_BY_NUM" in plan(again)

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.columns import KEY, average_rank, correlation, finite
-from waymark.operators.bootstrap import AA, AV, VA, VV
+from waymark.operators.bootstrap import AA, AV, HELD, VA, VV
 from waymark.operators.metrics import METRICS, cell_metrics
-from waymark.sources.scratch import stored
+from waymark.sources.scratch import parts, stored
 
 CELL = ["dataset", "week", "model"]
 BUDGETS = [0.01, 0.05, 0.10, 0.20]
+#: Rows in one task, about, where stored rows are ranked or compared.
+ROWS = 500_000
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -24,13 +26,29 @@ def capacities(reference: DataFrame, budgets: list[float], by: list[str] = CELL)
     return sizes.select(*by, "budget", "cluster_id", F.greatest(F.lit(1), F.bround(F.col("budget") * F.col("size")).cast("int")).alias("capacity"))
 
 
-def select_at_budget(scored: DataFrame, capacity: DataFrame, by: list[str] = CELL, arm: str = "protocol") -> DataFrame:
-    """The riskiest of each cluster up to its capacity; equal risks in the order of KEY. Other clusters select none."""
+def select_at_budget(scored: DataFrame, capacity: DataFrame, by: list[str] = CELL, arm: str = "protocol", n: int | None = None) -> DataFrame:
+    """The riskiest of each cluster up to its capacity; equal risks in the order of KEY. Other clusters select none. Rows
+    are ranked in n tasks, or as many as Spark chooses."""
     # The order does not depend on the budget: rows are ranked once, and then meet only the budgets that reach them.
     nth = F.row_number().over(Window.partitionBy(*by, arm, "cluster_id").orderBy(F.desc("risk_score"), *KEY))
+    scored = scored.repartition(n, *by, arm, "cluster_id") if n else scored
     return scored.withColumn("nth", nth).join(capacity, [*by, "cluster_id"]).where("nth <= capacity").drop("nth", "capacity")
 
 
+def _chosen(rows: DataFrame, budgets: list[float], reference: str) -> DataFrame:
+    """The selected of stored rows, stored. Capacities are few where clusters are: then they are broadcast, as a join by
+    sorting would move all ranked rows again."""
+    capacity = stored(capacities(rows.where(F.col("protocol") == reference), budgets), "capacities")
+    capacity = F.broadcast(capacity) if capacity.count() <= HELD else capacity.hint("merge")
+    return stored(select_at_budget(rows, capacity, n=parts(rows, ROWS)), "selected")
+
+
+def selections(predictions: DataFrame, budgets: list[float] = BUDGETS, reference: str = VV) -> DataFrame:
+    """The selected rows of budget_table alone, without its marks."""
+    own = ["cluster_id", "risk", "risk_score", *CELL, "protocol"]
+    return _chosen(stored(predictions.select(*KEY, *own), "scored"), budgets, reference).select(*KEY, *own, "budget")
+
+
 def budget_table(predictions: DataFrame, budgets: list[float] = BUDGETS, reference: str = VV) -> tuple[DataFrame, DataFrame]:
     """Performance per cell, protocol and budget, and the selected rows.
 
@@ -40,7 +58,7 @@ def budget_table(predictions: DataFrame, budgets: list[float] = BUDGETS, referen
     own = F.coalesce(F.max(F.col("protocol") == reference).over(Window.partitionBy(*CELL, *KEY)), F.lit(False))
     marked = stored(predictions.select(*CELL, "protocol", *KEY, "cluster_id", "risk", "risk_score").withColumn("in_reference", own), "marked")
     ref = marked.where(F.col("protocol") == reference)
-    chosen = stored(select_at_budget(marked, capacities(ref, budgets)), "selected")
+    chosen = _chosen(marked, budgets, reference)
     everyone = marked.groupBy(*CELL, "protocol").agg(F.count(F.lit(1)).alias("n_candidates"), F.count_if("in_reference").alias("n_actionable_candidates"), F.sum("risk").alias("risks"))
     totals = ref.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_reference"), F.sum("risk").alias("reference_risks"))
     flagged = chosen.groupBy(*CELL, "protocol", "budget").agg(
@@ -69,6 +87,9 @@ def overlap_table(selections: DataFrame, reference: str = VV, dataset_with_cross
     """Jaccard agreement of selections: with the reference, across evaluation populations, and from landmark to landmark."""
     own = ["dataset", "week", "model", "budget"]
     selections = selections.select(*own, "protocol", *KEY)
+    # Both comparisons below are by enrolment and more, so that one shuffle by enrolment serves both.
+    n = parts(selections, ROWS)
+    dealt = selections.repartition(n, *KEY) if n else selections.repartition(*KEY)
     arms = sorted(r[0] for r in selections.select("protocol").distinct().collect())  # a handful
     pairs = [("protocol", arm, reference) for arm in arms if arm != reference] + [("evaluation_population", AA, AV), ("evaluation_population", VV, VA)]
     # Each row goes only to the comparisons that its own arm takes part in.
@@ -80,14 +101,14 @@ def overlap_table(selections: DataFrame, reference: str = VV, dataset_with_cross
             ]
         )
     )
-    sides = selections.select(*own, *KEY, part.alias("p")).select(*own, *KEY, "p.*").where((F.col("left") | F.col("right")) & ((F.col("comparison_type") == "protocol") | (F.col("dataset") == dataset_with_cross)))
+    sides = dealt.select(*own, *KEY, part.alias("p")).select(*own, *KEY, "p.*").where((F.col("left") | F.col("right")) & ((F.col("comparison_type") == "protocol") | (F.col("dataset") == dataset_with_cross)))
     by = ["comparison_type", *own, "protocol", "reference_protocol"]
     flags = sides.groupBy(*by, *KEY).agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right"))
     here = _overlap(flags, by, F.bool_or("left") & ((F.col("comparison_type") == "protocol") | F.bool_or("right"))).withColumn("week_from", F.col("week")).withColumn("week_to", F.col("week")).drop("week")
     series = ["dataset", "protocol", "model", "budget"]
     weeks = selections.select(*series, "week").distinct()
     steps = weeks.withColumn("week_to", F.lead("week").over(Window.partitionBy(*series).orderBy("week"))).where("week_to IS NOT NULL").withColumnRenamed("week", "week_from")
-    rows = selections.select(*series, "week", *KEY).join(steps, series).where("week = week_from OR week = week_to")
+    rows = dealt.select(*series, "week", *KEY).join(F.broadcast(steps), series).where("week = week_from OR week = week_to")
     flags = rows.groupBy(*series, "week_from", "week_to", *KEY).agg(F.bool_or(F.col("week") == F.col("week_from")).alias("left"), F.bool_or(F.col("week") == F.col("week_to")).alias("right"))
     time = _overlap(flags, [*series, "week_from", "week_to"]).withColumn("comparison_type", F.lit("time")).withColumn("reference_protocol", F.col("protocol"))
     return here.unionByName(time)
@@ -172,21 +193,38 @@ def subgroup_coverage(members: DataFrame, info: DataFrame, attributes: list[str]
     )
 
 
+def _sums_by_group(rows: DataFrame, by: list[str], attributes: list[str], sums: dict[str, Column]) -> DataFrame:
+    """by, attribute, group and sums. Rows are added up by all attributes at once, so that their combinations and not the
+    rows are multiplied."""
+    few = rows.groupBy(*by, *attributes).agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("group")) for a in attributes])).alias("a")
+    return few.select(*by, *sums, each).groupBy(*by, "a.attribute", "a.group").agg(*[F.sum(k).alias(k) for k in sums])
+
+
 def subgroup_allocation(members: DataFrame, info: DataFrame, predictions: DataFrame, selections: DataFrame, attributes: list[str] = ATTRIBUTES) -> DataFrame:
-    """Per selection and group: what a budget reaches among the valid; invalid selections use budget up for nothing."""
+    """Per selection and group: what a budget reaches among the valid; invalid selections use budget up for nothing.
+
+    Each population is counted by group where it lies, and only the counts meet: the valid are not multiplied by cells.
+    """
     own = [*CELL, "protocol", "budget"]
+    about = info.select(*KEY, *[F.coalesce(F.col(a).cast("string"), F.lit("nan")).alias(a) for a in attributes])
     valid = members.where("cutoff_valid").select("dataset", "week", *KEY, "risk")
-    cells = selections.select(*own).distinct()
-    marks = [(predictions.select(*CELL, "protocol", *KEY), [*CELL, "protocol", *KEY], "candidate"), (selections.select(*own, *KEY), [*own, *KEY], "selected")]
-    rows = cells.join(valid, ["dataset", "week"])
-    for table, on, name in marks:
-        rows = rows.join(table.distinct().withColumn(name, F.lit(True)), on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    # An enrolment's valid landmarks in one row: then all joins are by enrolment, and rows dealt by it stay where they are.
+    known = about.join(valid.groupBy(*KEY).agg(F.collect_list(F.struct("dataset", "week", "risk")).alias("valid")), KEY, "left")
+    here = F.filter("valid", lambda v: (v["dataset"] == F.col("dataset")) & (v["week"] == F.col("week")))
+    there = F.coalesce(F.array_size("here"), F.lit(0))
+    reached = F.coalesce(F.aggregate("here", F.lit(0).cast("long"), lambda total, v: total + F.coalesce(v["risk"], F.lit(0))), F.lit(0))
+    reference = _sums_by_group(valid.join(about, KEY), ["dataset", "week"], attributes, {"n_reference": F.lit(1), "risks": F.col("risk")})
+    candidates = predictions.select(*CELL, "protocol", *KEY).distinct().join(known, KEY).withColumn("here", here)
+    candidates = _sums_by_group(candidates, [*CELL, "protocol"], attributes, {"n_candidates": there})
+    n = parts(selections, ROWS)
+    dealt = selections.repartition(n, *KEY) if n else selections.repartition(*KEY)
+    times = dealt.groupBy(*own, *KEY).agg(F.count(F.lit(1)).alias("times")).join(known, KEY).withColumn("here", here)
+    selected = _sums_by_group(times, own, attributes, {"n_selected": F.col("times"), "n_actionable_selected": there, "caught": reached})
     by = [*own, "attribute", "group"]
-    base = _by_attribute(rows, info, attributes).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_reference"), F.count_if("candidate").alias("n_candidates"), F.count_if("selected").alias("n_actionable_selected"), F.sum("risk").alias("risks"), F.sum(F.when(F.col("selected"), F.col("risk")).otherwise(0)).alias("caught")
-    )
-    taken = _by_attribute(selections.select(*own, *KEY), info, attributes).groupBy(*by).agg(F.count(F.lit(1)).alias("n_selected"))
-    rows = base.join(taken, by, "left").fillna(0, ["n_selected"])
+    cells = selections.select(*own).distinct()
+    base = cells.join(reference, ["dataset", "week"]).join(candidates, [*CELL, "protocol", "attribute", "group"], "left")
+    rows = base.join(selected, by, "left").fillna(0, ["n_candidates", "n_selected", "n_actionable_selected", "caught"])
     some = lambda a, b: F.when(F.col(b) > 0, ratio(a, F.nullif(F.col(b), F.lit(0))))
     return rows.select(
         *by, "n_reference", "n_candidates", "n_selected", "n_actionable_selected", some(F.col("n_candidates"), "n_reference").alias("candidate_coverage"), some(F.col("n_actionable_selected"), "n_reference").alias("selection_rate"),

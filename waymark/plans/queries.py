@@ -342,7 +342,7 @@ def _(b: Binding) -> DataFrame:
 
 @query("O1_selections")
 def _(b: Binding) -> DataFrame:
-    return rounded(decide.budget_table(predictions(b))[1].select("week", "model", "protocol", "budget", "cluster_id", "id_student", "risk", "risk_score"))
+    return rounded(decide.selections(predictions(b)).select("week", "model", "protocol", "budget", "cluster_id", "id_student", "risk", "risk_score"))
 
 
 @query("D1_budget_table")
@@ -352,7 +352,7 @@ def _(b: Binding) -> DataFrame:
 
 @query("D2_overlap_table")
 def _(b: Binding) -> DataFrame:
-    return rounded(decide.overlap_table(decide.budget_table(predictions(b))[1]))
+    return rounded(decide.overlap_table(decide.selections(predictions(b))))
 
 
 @query("D3_ranking_stability")
@@ -388,14 +388,14 @@ def _(b: Binding) -> DataFrame:
 @query("A23_subgroup_allocation")
 def _(b: Binding) -> DataFrame:
     rows = predictions(b).where("week = 16")
-    return rounded(decide.subgroup_allocation(members(b, [16]), b.info(), rows, decide.budget_table(rows, [0.05, 0.2])[1]))
+    return rounded(decide.subgroup_allocation(members(b, [16]), b.info(), rows, decide.selections(rows, [0.05, 0.2])))
 
 
 @query("A23_subgroup_allocation_all")
 def _(b: Binding) -> DataFrame:
     """All landmarks; the query above is defined at the last one."""
     rows = predictions(b)
-    return rounded(decide.subgroup_allocation(members(b), b.info(), rows, decide.budget_table(rows, [0.05, 0.2])[1]))
+    return rounded(decide.subgroup_allocation(members(b), b.info(), rows, decide.selections(rows, [0.05, 0.2])))
 
 
 @query("A24_excluded_categorical")

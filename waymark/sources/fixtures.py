@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.sources.scratch import parts
+
 BASE_DAY = "1995-01-01"
 WEEKS = [2, 4, 6, 8, 10, 12, 14, 16]
 MODELS = [1, 2, 3]
@@ -25,10 +27,7 @@ class Binding:
         return self.spark.sql(query, **tables)
 
     def parts(self, name: str, each: int) -> int | None:
-        """So many tasks that each has about `each` rows of a table, by the counts in its files; None if the session's
-        tasks are as many, so that Spark chooses."""
-        n = -(-self.read(name).count() // each)
-        return n if n > self.spark.sparkContext.defaultParallelism else None
+        return parts(self.read(name), each)
 
     def info(self) -> DataFrame:
         """studentInfo: one row per enrolment."""

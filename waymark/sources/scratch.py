@@ -23,3 +23,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{where.rstrip('/')}/waymark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def parts(rows: DataFrame, each: int) -> int | None:
+    """So many tasks that each has about `each` of the rows, which are counted: by their files if they are read as they
+    are. None if the session's tasks are as many, so that Spark chooses."""
+    n = -(-rows.count() // each)
+    return n if n > rows.sparkSession.sparkContext.defaultParallelism else None
