@@ -78,8 +78,8 @@ def predictions(b: Binding, factor: int = 7919) -> DataFrame:
 
 
 def scored(b: Binding, factor: int = 7919) -> DataFrame:
-    """The panel, stored: bootstraps read it for the clusters, the point values and the draws."""
-    return stored(predictions(b, factor), "panel")
+    """What bootstraps read of the panel, stored: for the clusters, the point values and the draws."""
+    return stored(predictions(b, factor).select("dataset", "week", "protocol", "model", "code_module", "cluster_id", "cluster_unit", "y", "p_success"), "panel")
 
 
 def draws(b: Binding, rows: DataFrame, n: int = DRAWS) -> DataFrame:
