@@ -74,3 +74,22 @@ def test_selections_are_the_same_however_they_are_dealt(spark, monkeypatch):
     assert same_rows(plain.select(sorted(plain.columns)), dealt.select(sorted(plain.columns)))
     assert same_rows(overlap.select(sorted(overlap.columns)), again.select(sorted(overlap.columns)))
     assert "REPARTITION_BY_NUM" in plan(again)
+
+
+def test_stack_takes_the_landmark_days_from_the_lines_once(spark, monkeypatch):
+    read, name = [], QUERIES["R6_stack_7_full"]
+    lines = Binding.lines
+    monkeypatch.setattr(Binding, "lines", lambda b: read.append(b) or lines(b))
+    plain = name(spark, SMALL)
+    assert len(read) == 2
+    assert "l_orderkey" not in plan(plain)
+    monkeypatch.setattr(queries, "LEARNERS", 10)
+    assert same_rows(plain, name(spark, SMALL))
+
+
+def test_panel_is_dealt_before_its_columns_multiply(spark, monkeypatch):
+    with monkeypatch.context() as m:
+        m.setattr(queries, "LEARNERS", 10)
+        dealt = QUERIES["A17_temporal_features"](spark, SMALL)
+    assert "REPARTITION_BY_NUM" in plan(dealt)
+    assert same_rows(QUERIES["A17_temporal_features"](spark, SMALL), dealt)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.columns import KEY, day_to_week, group_id
 from waymark.operators import behaviour, bootstrap, checks, cohort, decide, evidence, hazard, metrics, models, order, represent, state, static, traversal
-from waymark.sources.fixtures import WEEKS, Binding
+from waymark.sources.fixtures import WEEKS, Binding, Until
 from waymark.sources.scratch import stored
 
 TYPES = [f"t{k}" for k in range(5)]
@@ -18,6 +18,8 @@ SOURCES = ["click", "error", "purchase", "scroll", "view"]
 DRAWS, FEW_DRAWS = 1000, 20
 #: Enrolments in one task, about: landmarks, models, protocols and repeats make up to 300 rows of each.
 ENROLMENTS = 2_500
+#: The same where nothing multiplies them, but their features are many columns and array expressions.
+LEARNERS = 20_000
 #: Digits to which values that lie on the edge between two roundings by nature are rounded first.
 STEADY = 12
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +62,13 @@ def panel(b: Binding) -> DataFrame:
     return evidence.weekly_panel(vle, assess, WEEKS[-1])
 
 
+def dealt_panel(b: Binding) -> DataFrame:
+    """The panel by enrolment, before features of many columns or array expressions make its few bytes much work: Spark
+    would leave it to a task or two, and move sums of every column and week instead of rows."""
+    n = b.parts("customer", LEARNERS)
+    return panel(b).repartition(n, *KEY) if n else panel(b)
+
+
 def predictions(b: Binding, factor: int = 7919) -> DataFrame:
     """A deterministic scored panel: five protocols, three models, tied scores. Another factor gives other scores."""
     rows = members(b).withColumn("model", F.explode(F.array(*map(F.lit, ("m1", "m2", "m3")))))
@@ -188,17 +197,17 @@ def _(b: Binding) -> DataFrame:
 
 @query("A16_flat_features")
 def _(b: Binding) -> DataFrame:
-    return rounded(represent.flat_features(panel(b), 16))
+    return rounded(represent.flat_features(dealt_panel(b), 16))
 
 
 @query("A17_temporal_features")
 def _(b: Binding) -> DataFrame:
-    return rounded(represent.temporal_features(panel(b), 4))
+    return rounded(represent.temporal_features(dealt_panel(b), 4))
 
 
 @query("J7_align_to_roster")
 def _(b: Binding) -> DataFrame:
-    flat = represent.flat_features(panel(b), 8).select(*KEY, "clicks_total", "active_days", "assess_attempts")
+    flat = represent.flat_features(dealt_panel(b), 8).select(*KEY, "clicks_total", "active_days", "assess_attempts")
     extra = static.static_features(b.info(), b.registration(), []).select(*KEY, F.col("stat_studied_credits").alias("clicks_total"))
     return rounded(represent.align_to_roster(roster(b), flat, [extra]))
 
@@ -410,30 +419,31 @@ def _(b: Binding) -> DataFrame:
 
 @query("R1_chain_features")
 def _(b: Binding) -> DataFrame:
-    return rounded(state.chain_features(panel(b), 8))
+    return rounded(state.chain_features(dealt_panel(b), 8))
 
 
 @query("R1_chain_none")
 def _(b: Binding) -> DataFrame:
-    return rounded(state.chain_features(panel(b), 8, "none", uncertainty=False))
+    return rounded(state.chain_features(dealt_panel(b), 8, "none", uncertainty=False))
 
 
 @query("R2_graph_features")
 def _(b: Binding) -> DataFrame:
-    return rounded(state.graph_features(panel(b), 8))
+    return rounded(state.graph_features(dealt_panel(b), 8))
 
 
 @query("R2_graph_residual")
 def _(b: Binding) -> DataFrame:
-    return rounded(state.graph_features(panel(b), 8, "residual"))
+    return rounded(state.graph_features(dealt_panel(b), 8, "residual"))
 
 
 @query("R6_stack_7_full")
 def _(b: Binding) -> DataFrame:
     week = 8
+    b = Until(b, 7 * week)
     base = static.static_features(b.info(), b.registration())
     behavioural = behaviour.behavioural_features(b.vle_events(), roster(b), b.submissions(), b.assessments(), [week])
-    built = represent.representations(panel(b), week, base, behavioural, traversal.traversal_features(b.vle_events(), [week]))
+    built = represent.representations(dealt_panel(b), week, base, behavioural, traversal.traversal_features(b.vle_events(), [week]))
     return rounded(built["stack_7_full"]())
 
 
@@ -446,7 +456,8 @@ def _(b: Binding) -> DataFrame:
 def _(b: Binding) -> DataFrame:
     """One fold structure, the temporal representation and logistic regression at one landmark."""
     week, config = 16, models.Config(folds=2, repeats=1)
-    features = represent.align_to_roster(roster(b), represent.temporal_features(panel(b), week), [])
+    b = Until(b, 7 * week)
+    features = represent.align_to_roster(roster(b), represent.temporal_features(dealt_panel(b), week), [])
     names = [c for c in features.columns if c not in KEY]
     base = members(b, [week]).drop("no_activity").join(features, KEY)
     return models.benchmark(b.spark, base, models.fold_table(roster(b), config), "base_lr_weekly", names, week, config)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.sources.scratch import parts
+from waymark.sources.scratch import parts, stored
 
 BASE_DAY = "1995-01-01"
 WEEKS = [2, 4, 6, 8, 10, 12, 14, 16]
@@ -112,3 +112,21 @@ class Binding:
         courses = self.kdd_enrolments().select("course_id").distinct()
         known = F.col("course_id") != "MACHINERY"
         return courses.select("course_id", F.when(known, F.to_date(F.lit("2024-01-01"))).alias("from"), F.when(known, F.to_date(F.lit("2024-02-03"))).alias("to"))
+
+
+class Until(Binding):
+    """The tables of another binding with the interactions and submissions of days 0 to `day`, without it. Both are taken from
+    the order lines once and stored: the operators of one query read them up to seven times, and each time all lines
+    would be dealt and sorted anew for the few of those days."""
+
+    def __init__(self, b: Binding, day: int):
+        super().__init__(b.spark, b.dir)
+        within = lambda c: (F.col(c) >= 0) & (F.col(c) < day)
+        self._events = stored(b.vle_events().where(within("date")), "interactions")
+        self._submissions = stored(b.submissions().where(within("date_submitted")), "submissions")
+
+    def vle_events(self) -> DataFrame:
+        return self._events
+
+    def submissions(self) -> DataFrame:
+        return self._submissions
