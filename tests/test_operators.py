@@ -458,3 +458,23 @@ def test_sensitivity_is_in_the_columns_and_their_names(spark):
     assert "gap_age" not in static.without_sensitive(marked, "all").columns and static.without_sensitive(marked).columns == df.columns
     with pytest.raises(ValueError, match="mode"):
         static.without_sensitive(df, "some")
+
+
+def test_logistic_fits_run_beside_each_other(spark, monkeypatch):
+    """Six fits wait for each other at a barrier: one after the other they would never pass it."""
+    from threading import Barrier
+
+    from waymark.operators import models
+
+    rows = spark.range(24).selectExpr("id AS id_student", "'a' AS code_module", "'b' AS code_presentation", "cast(id % 2 AS int) AS label", "cast(1 - id % 2 AS int) AS risk", "'oulab' AS dataset", "true AS has_activity", "0 AS no_activity", "false AS outcome_realized", "true AS cutoff_valid", "'eligible_active' AS membership_class", "true AS activity_conditioned", "true AS static_full", "cast(id AS double) AS clicks")
+    folds = spark.range(24).selectExpr("id AS id_student", "'a' AS code_module", "'b' AS code_presentation", "1 AS repeat", "cast(1 + (id div 2) % 2 AS int) AS fold")
+    barrier, fit = Barrier(6, timeout=60), models.fit_and_score
+
+    def waits(*args):
+        barrier.wait()
+        return fit(*args)
+
+    monkeypatch.setattr(models, "fit_and_score", waits)
+    found = models.benchmark(spark, rows, folds, "base_lr_weekly", ["clicks"], 16, models.Config(folds=2, repeats=1))
+    assert found.count() == 5 * 24
+    assert found.select("protocol").distinct().count() == 5

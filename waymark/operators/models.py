@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -27,6 +30,9 @@ from waymark.sources.tables import write_table
 #: Models by name; others are gradient boosting.
 LOGISTIC = ("base_lr_profile", "base_lr_clickstream", "base_lr_weekly")
 CLASSIC = ("base_rf_gini", "base_rf_entropy", "base_svm", "base_knn", "base_dffnn")
+#: Logistic fits at a time, and training rows that one task of theirs sums, at least: an iteration is a job, and on few
+#: rows its tasks' start is nearly all it takes.
+FITS, INSTANCES = 6, 50_000
 #: Training population: the protocols it is scored under and their evaluation populations.
 SPECS = {
     "activity_conditioned": [("activity_conditioned", "activity_conditioned"), ("activity_to_cutoff_valid", "cutoff_valid")],
@@ -161,7 +167,8 @@ def fit_and_score(name: str, train: DataFrame, test: DataFrame, features: list[s
     if name == "base_dffnn":
         return fit_network(train, vector_to_array(column), Training(**limits), seed).score(test, vector_to_array(column))
     if name in LOGISTIC:
-        model = LogisticRegression(featuresCol=column, labelCol="y", regParam=1.0 / max(train.count(), 1), maxIter=200)
+        n = max(train.count(), 1)
+        model, train = LogisticRegression(featuresCol=column, labelCol="y", regParam=1.0 / n, maxIter=200), train.coalesce(-(-n // INSTANCES))
     else:
         train = _balanced(train)
         model = RandomForestClassifier(featuresCol=column, labelCol="y", numTrees=300, impurity=name.removeprefix("base_rf_"), minInstancesPerNode=5, maxDepth=30, weightCol="weight", seed=seed)
@@ -176,26 +183,29 @@ def benchmark(spark: SparkSession, base: DataFrame, folds: DataFrame, name: str,
     are evaluations whose test rows do. The rows are stored, as every fit reads them.
     """
     rows = stored(base.withColumn("y", F.col("label").cast("int")).join(folds.select(*KEY, "repeat", "fold"), KEY), "benchmark")
-    out: DataFrame | None = None
-    for repeat in range(1, config.repeats + 1):
-        for population, cells in specs.items():
-            for fold in range(1, config.folds + 1):
-                mine = rows.where(F.col("repeat") == repeat)
-                train = mine.where((F.col("fold") != fold) & F.col(population))
-                classes = lambda e: F.countDistinct(F.when((F.col("fold") == fold) & F.col(e), F.col("y")))  # noqa: B023, E731
-                sizes = mine.agg(F.countDistinct(F.when((F.col("fold") != fold) & F.col(population), F.col("y"))), *[classes(e) for _, e in cells]).first()
-                told = [cell for cell, n in zip(cells, sizes[1:]) if n > 1]
-                if sizes[0] < 2 or not told:
-                    continue
-                test = mine.where((F.col("fold") == fold) & F.array_contains(F.array(*[F.col(e) for _, e in told]), True))
-                scored = fit_and_score(name, train, test, features, config.seed + repeat * 100 + fold, limits)
-                each = F.explode(F.array(*[F.struct(F.lit(p).alias("protocol"), F.lit(population).alias("train_protocol"), F.lit(e).alias("eval_protocol"), F.col(e).alias("use")) for p, e in told]))
-                kept = scored.withColumn("cell", each).where("cell.use")
-                kept = kept.select(
-                    "dataset", F.lit(week).alias("week"), "cell.protocol", "cell.train_protocol", "cell.eval_protocol", F.lit(name).alias("model"), *KEY, "y", "risk", "has_activity", "no_activity", "outcome_realized", "cutoff_valid", "membership_class",
-                    group_id("presentation").alias("cluster_id"), F.lit("presentation").alias("cluster_unit"), "repeat", "fold", "p_success", (1 - F.col("p_success")).alias("risk_score"),
-                )
-                out = kept if out is None else out.unionByName(kept)
+
+    def cell(repeat: int, population: str, fold: int) -> DataFrame | None:
+        cells, mine = specs[population], rows.where(F.col("repeat") == repeat)
+        train = mine.where((F.col("fold") != fold) & F.col(population))
+        classes = lambda e: F.countDistinct(F.when((F.col("fold") == fold) & F.col(e), F.col("y")))
+        sizes = mine.agg(F.countDistinct(F.when((F.col("fold") != fold) & F.col(population), F.col("y"))), *[classes(e) for _, e in cells]).first()
+        told = [cell for cell, n in zip(cells, sizes[1:]) if n > 1]
+        if sizes[0] < 2 or not told:
+            return None
+        test = mine.where((F.col("fold") == fold) & F.array_contains(F.array(*[F.col(e) for _, e in told]), True))
+        scored = fit_and_score(name, train, test, features, config.seed + repeat * 100 + fold, limits)
+        each = F.explode(F.array(*[F.struct(F.lit(p).alias("protocol"), F.lit(population).alias("train_protocol"), F.lit(e).alias("eval_protocol"), F.col(e).alias("use")) for p, e in told]))
+        kept = scored.withColumn("cell", each).where("cell.use")
+        return kept.select(
+            "dataset", F.lit(week).alias("week"), "cell.protocol", "cell.train_protocol", "cell.eval_protocol", F.lit(name).alias("model"), *KEY, "y", "risk", "has_activity", "no_activity", "outcome_realized", "cutoff_valid", "membership_class",
+            group_id("presentation").alias("cluster_id"), F.lit("presentation").alias("cluster_unit"), "repeat", "fold", "p_success", (1 - F.col("p_success")).alias("risk_score"),
+        )
+
+    # Fits do not depend on each other, and an iteration of one is a job too small to keep all cores busy.
+    cells = [(repeat, population, fold) for repeat in range(1, config.repeats + 1) for population in specs for fold in range(1, config.folds + 1)]
+    with ThreadPool(FITS if name in LOGISTIC else 1) as pool:
+        panels = [df for df in pool.map(inheritable_thread_target(spark)(lambda c: cell(*c)), cells, chunksize=1) if df is not None]
+    out = reduce(DataFrame.unionByName, panels) if panels else None
     if out is None:
         raise ValueError("no fold has two classes to train on")
     return out
