@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from oracle import SMALL
 from pyspark.sql import functions as F
 
@@ -76,6 +78,30 @@ def test_selections_are_the_same_however_they_are_dealt(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in plan(again)
 
 
+def by_enrolment(df) -> list[str]:
+    """Broadcasts whose key is an enrolment, in the plan that ran: Spark chooses most of them only then."""
+    df.collect()
+    return re.findall(r"HashedRelationBroadcastMode\(List\(input\[\d+, bigint, \w+\], input\[\d+, string.*", plan(df))
+
+
+def test_allocation_never_broadcasts_enrolments(spark):
+    found = QUERIES["A23_subgroup_allocation_all"](spark, SMALL)
+    assert not by_enrolment(found)
+    assert "l_orderkey" not in plan(found)
+
+
+def test_many_enrolments_are_never_broadcast(spark, monkeypatch):
+    plain = QUERIES["P9_membership"](spark, SMALL)
+    assert by_enrolment(plain)
+    with monkeypatch.context() as m:
+        m.setattr(queries, "ENROLMENTS", 10)
+        m.setattr(fixtures, "CUSTOMERS", 10)
+        m.setattr(fixtures, "LINES", 200)
+        merged = QUERIES["P9_membership"](spark, SMALL)
+        assert not by_enrolment(merged)
+    assert same_rows(plain, merged)
+
+
 def test_stack_takes_the_landmark_days_from_the_lines_once(spark, monkeypatch):
     read, name = [], QUERIES["R6_stack_7_full"]
     lines = Binding.lines

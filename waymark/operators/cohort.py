@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from waymark.functions.columns import KEY, is_true
 
 
-def load_roster(labels: DataFrame, registration: DataFrame | None = None) -> DataFrame:
+def load_roster(labels: DataFrame, registration: DataFrame | None = None, many: bool = False) -> DataFrame:
     """KEY, label, registration days and risk, one row per KEY: of several labels the first in the source, where the rows
-    have a source_order (see order.read_in_order), or else the least."""
+    have a source_order (see order.read_in_order), or else the least. Of many enrolments none are broadcast."""
     chosen = F.min_by("label", "source_order") if "source_order" in labels.columns else F.min("label")
     roster = labels.groupBy(*KEY).agg(chosen.cast("int").alias("label"))
     if registration is None:
         roster = roster.withColumn("date_registration", F.lit(None).cast("double")).withColumn("date_unregistration", F.lit(None).cast("double"))
     else:
         days = registration.groupBy(*KEY).agg(F.min("date_registration").alias("date_registration"), F.min("date_unregistration").alias("date_unregistration"))
-        roster = roster.join(days, KEY, "left")
+        roster = roster.join(days.hint("merge") if many else days, KEY, "left")
     return roster.withColumn("risk", 1 - F.col("label"))
 
 
@@ -42,7 +42,7 @@ def membership(roster: DataFrame, evidence: DataFrame, weeks: list[int], dataset
     """
     # Weeks after the last landmark make none active, and need not leave the scan.
     first = evidence.where(F.col("week_index").between(1, max(weeks))).groupBy(*KEY).agg(F.min("week_index").alias("first_week"))
-    rows = roster.join(first, KEY, "left")
+    rows = roster.join(first.hint("merge") if parts else first, KEY, "left")
     rows = at_landmarks(rows.repartition(parts, *KEY) if parts else rows, weeks).withColumnRenamed("snapshot_week", "week")
     rows = rows.withColumn("has_activity", is_true(F.col("first_week") <= F.col("week"))).drop("first_week")
     rows = rows.withColumn("no_activity", (~F.col("has_activity")).cast("int")).withColumn("cutoff_day", 7 * F.col("week"))

@@ -210,11 +210,13 @@ def subgroup_allocation(members: DataFrame, info: DataFrame, predictions: DataFr
     about = info.select(*KEY, *[F.coalesce(F.col(a).cast("string"), F.lit("nan")).alias(a) for a in attributes])
     valid = members.where("cutoff_valid").select("dataset", "week", *KEY, "risk")
     # An enrolment's valid landmarks in one row: then all joins are by enrolment, and rows dealt by it stay where they are.
-    known = about.join(valid.groupBy(*KEY).agg(F.collect_list(F.struct("dataset", "week", "risk")).alias("valid")), KEY, "left")
+    # Enrolments are a row each in few bytes of files, but hundreds of bytes in memory: Spark would broadcast them.
+    known = valid.groupBy(*KEY).agg(F.collect_list(F.struct("dataset", "week", "risk")).alias("valid"))
+    known = about.hint("merge").join(known.hint("merge"), KEY, "left").hint("merge")
     here = F.filter("valid", lambda v: (v["dataset"] == F.col("dataset")) & (v["week"] == F.col("week")))
     there = F.coalesce(F.array_size("here"), F.lit(0))
     reached = F.coalesce(F.aggregate("here", F.lit(0).cast("long"), lambda total, v: total + F.coalesce(v["risk"], F.lit(0))), F.lit(0))
-    reference = _sums_by_group(valid.join(about, KEY), ["dataset", "week"], attributes, {"n_reference": F.lit(1), "risks": F.col("risk")})
+    reference = _sums_by_group(valid.join(about.hint("merge"), KEY), ["dataset", "week"], attributes, {"n_reference": F.lit(1), "risks": F.col("risk")})
     candidates = predictions.select(*CELL, "protocol", *KEY).distinct().join(known, KEY).withColumn("here", here)
     candidates = _sums_by_group(candidates, [*CELL, "protocol"], attributes, {"n_candidates": there})
     n = parts(selections, ROWS)

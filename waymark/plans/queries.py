@@ -46,7 +46,7 @@ def rounded(df: DataFrame, digits: int = 7, steady: bool = False) -> DataFrame:
 
 
 def roster(b: Binding) -> DataFrame:
-    return cohort.load_roster(b.labels(), b.registration())
+    return cohort.load_roster(b.labels(), b.registration(), b.many)
 
 
 def members(b: Binding, weeks: list[int] = WEEKS) -> DataFrame:
@@ -69,9 +69,17 @@ def dealt_panel(b: Binding) -> DataFrame:
     return panel(b).repartition(n, *KEY) if n else panel(b)
 
 
-def predictions(b: Binding, factor: int = 7919) -> DataFrame:
-    """A deterministic scored panel: five protocols, three models, tied scores. Another factor gives other scores."""
-    rows = members(b).withColumn("model", F.explode(F.array(*map(F.lit, ("m1", "m2", "m3")))))
+def held_members(b: Binding) -> DataFrame:
+    """Membership, stored and dealt by enrolment, for queries that read it several times: else each time is one more copy of
+    the plan, with broadcasts of its own, and the driver holds all of them at once."""
+    n, rows = b.parts("customer", ENROLMENTS), stored(members(b), "members")
+    return rows.repartition(n, *KEY) if n else rows
+
+
+def predictions(b: Binding, factor: int = 7919, rows: DataFrame | None = None) -> DataFrame:
+    """A deterministic scored panel: five protocols, three models, tied scores. Another factor gives other scores. rows are
+    the members if they are at hand."""
+    rows = (members(b) if rows is None else rows).withColumn("model", F.explode(F.array(*map(F.lit, ("m1", "m2", "m3")))))
     arms = [(p, t, e) for t, cells in models.SPECS.items() for p, e in cells]
     cell = F.explode(F.array(*[F.struct(F.lit(p).alias("protocol"), F.lit(t).alias("train_protocol"), F.lit(e).alias("eval_protocol"), F.col(e).alias("use"), F.lit(i % 3).alias("shift")) for i, (p, t, e) in enumerate(arms)]))
     arm = {"activity_conditioned": 0, "static_full": 1, "cutoff_valid": 2}
@@ -403,8 +411,9 @@ def _(b: Binding) -> DataFrame:
 @query("A23_subgroup_allocation_all")
 def _(b: Binding) -> DataFrame:
     """All landmarks; the query above is defined at the last one."""
-    rows = predictions(b)
-    return rounded(decide.subgroup_allocation(members(b), b.info(), rows, decide.selections(rows, [0.05, 0.2])))
+    everyone = held_members(b)
+    rows = predictions(b, rows=everyone)
+    return rounded(decide.subgroup_allocation(everyone, b.info(), rows, decide.selections(rows, [0.05, 0.2])))
 
 
 @query("A24_excluded_categorical")

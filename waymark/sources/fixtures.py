@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ WEEKS = [2, 4, 6, 8, 10, 12, 14, 16]
 MODELS = [1, 2, 3]
 #: Lines of orders that meet in one task, about.
 LINES = 400_000
+#: Customers up to which Spark may broadcast them: about 200 bytes each in a join by enrolment, of which files show few.
+CUSTOMERS = 50_000
 
 
 class Binding:
@@ -29,6 +33,11 @@ class Binding:
     def parts(self, name: str, each: int) -> int | None:
         return parts(self.read(name), each)
 
+    @cached_property
+    def many(self) -> bool:
+        """Whether enrolments are too many to be broadcast."""
+        return self.read("customer").count() > CUSTOMERS
+
     def info(self) -> DataFrame:
         """studentInfo: one row per enrolment."""
         return self.sql(
@@ -54,7 +63,7 @@ class Binding:
     def labels(self) -> DataFrame:
         """KEY and label: 1 for a balance of 3000 and more."""
         balance = self.read("customer").select(F.col("c_custkey").alias("id_student"), (F.col("c_acctbal") >= 3000).cast("int").alias("label"))
-        return self.info().select("id_student", "code_module", "code_presentation").join(balance, "id_student")
+        return self.info().select("id_student", "code_module", "code_presentation").join(balance.hint("merge") if self.many else balance, "id_student")
 
     def lines(self) -> DataFrame:
         """Order lines with their orders and the orders' enrolments, dealt by enrolment to tasks of about LINES lines."""
