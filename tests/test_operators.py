@@ -478,3 +478,57 @@ def test_logistic_fits_run_beside_each_other(spark, monkeypatch):
     found = models.benchmark(spark, rows, folds, "base_lr_weekly", ["clicks"], 16, models.Config(folds=2, repeats=1))
     assert found.count() == 5 * 24
     assert found.select("protocol").distinct().count() == 5
+
+
+def test_all_fits_at_once_equal_fits_one_by_one(spark):
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+
+    from waymark.operators import logistic
+
+    base, config = benchmark_base(spark), models.Config(folds=6, repeats=2)
+    folds = models.fold_table(base.select(*KEY, "label"), config)
+    # At week 6 one feature is constant, and rows occur that are equal but for their keys.
+    cells = {4: (base, ["a", "b"]), 6: (base.withColumns({"b": F.lit(3.0), "a": F.round("a")}), ["a", "b", "a"])}
+    rows = reduce(DataFrame.unionByName, [df.withColumn("week", F.lit(w)).withColumn("x", F.array(*names)) for w, (df, names) in cells.items()])
+    got = logistic.benchmark_all({"base_lr_weekly": rows}, folds, [4, 6], logistic.Layout(models.SPECS, 2, 6))
+    one = models.benchmark(spark, base, folds, "base_lr_weekly", ["a", "b"], 4, config, limits={"tol": 1e-12})
+    assert got.columns == one.columns
+    assert got.select([c for c in got.columns if c not in ("p_success", "risk_score")]).where("week = 4").exceptAll(one.drop("p_success", "risk_score")).count() == 0
+    values = {(r["id_student"], r["protocol"], r["repeat"]): r["p_success"] for r in got.where("week = 4").collect()}
+    plain = {(r["id_student"], r["protocol"], r["repeat"]): r["p_success"] for r in one.collect()}
+    assert values.keys() == plain.keys() and all(math.isclose(values[k], plain[k], abs_tol=1e-6) for k in plain)
+    # Twice the same feature and a constant: the optimum by plain gradient steps.
+    fitted = got.where("week = 6 AND protocol = 'static_full' AND repeat = 1 AND fold = 1").toPandas()
+    held = rows.where("week = 6").join(folds.where("repeat = 1").drop("label"), KEY).select("id_student", "a", "label", "fold").toPandas()
+    train = held[held["fold"] != 1]
+    mean, spread = train["a"].mean(), train["a"].std()
+    x, y, w = ((train["a"] - mean) / spread).to_numpy(), train["label"].to_numpy(), np.zeros(2)
+    for _ in range(20_000):
+        off = 1 / (1 + np.exp(-(w[0] + 2 * w[1] * x))) - y
+        w -= 0.002 * np.array([off.sum(), (off * x).sum() + w[1]])
+    a = fitted.merge(held[["id_student", "a"]], on="id_student")
+    assert len(fitted) and np.allclose(a["p_success"], 1 / (1 + np.exp(-(w[0] + 2 * w[1] * (a["a"] - mean) / spread))), atol=1e-6)
+
+
+def test_features_of_all_landmarks_equal_those_of_each(spark):
+    from oracle import SMALL
+
+    from waymark.operators import represent
+    from waymark.plans import queries
+    from waymark.sources.fixtures import Binding
+
+    b, weeks = Binding(spark, SMALL), [2, 16]
+    everyone, panel = queries.members(b, weeks), queries.panel(b)
+    about = static.static_features(b.info(), b.registration())
+    found = represent.logistic_features(everyone, panel, about, weeks)
+    assert sorted(found) == sorted(models.LOGISTIC)
+    for name, rows in found.items():
+        for week in weeks:
+            built = represent.representations(panel, week, about, about, about)[name]()
+            plain = represent.align_to_roster(everyone.where(F.col("week") == week), built, [about])
+            names = [c for c in plain.columns if c not in KEY]
+            a = {r["id_student"]: r["x"] for r in rows.where(F.col("week") == week).collect()}
+            e = {r[KEY[0]]: [float(r[c]) for c in names] for r in plain.collect()}
+            assert a.keys() == e.keys() and all(np.allclose(a[k], e[k], rtol=1e-12) for k in e), (name, week)

@@ -37,3 +37,14 @@ def test_entry_has_all(spark):
     assert QUERIES.keys() <= entry.queries().keys()
     assert entry.oracle_sql().keys() <= entry.queries().keys()
     assert entry.entry(spark).count() == 8
+
+
+def test_logistic_benchmark_is_whole(spark):
+    """All landmarks, logistic models, repeats and folds, and every enrolment once in each of them."""
+    from waymark.operators.models import LOGISTIC
+    from waymark.sources.fixtures import WEEKS
+
+    rows = QUERIES["L2_benchmark_logistic"](spark, SMALL).where("protocol = 'static_full'").select("week", "model", "repeat", "fold", "id_student").toPandas()
+    assert set(rows["week"]) == set(WEEKS) and set(rows["model"]) == set(LOGISTIC)
+    assert set(rows["repeat"]) == {1, 2, 3, 4, 5} == set(rows["fold"])
+    assert (rows.groupby(["week", "model", "repeat"])["id_student"].nunique() == rows["id_student"].nunique()).all() and not rows.duplicated().any()

@@ -38,6 +38,48 @@ def temporal_features(panel: DataFrame, week: int) -> DataFrame:
     return _weekly_means(panel, week, ["clicks_total", "active_days", *ASSESS]).withColumn("snapshot_week", F.lit(week))
 
 
+def flat_at_landmarks(panel: DataFrame, weeks: list[int]) -> DataFrame:
+    """flat_features of several landmarks by one plan, each with its snapshot_week."""
+    columns = [c for c in panel.columns if c not in NOT_NUMERIC]
+    after = F.explode(F.filter(F.array(*map(F.lit, weeks)), lambda w: (F.col("week_index") >= 1) & (F.col("week_index") <= w)))
+    return panel.withColumn("snapshot_week", after).groupBy(*KEY, "snapshot_week").agg(*[F.sum(number(F.col(c))).alias(c) for c in columns])
+
+
+def temporal_at_landmarks(panel: DataFrame, weeks: list[int]) -> DataFrame:
+    """temporal_features of several landmarks by one plan: KEY, snapshot_week and their values in the order of the columns, of
+    which each landmark has as many as weeks, as the array `values`."""
+    columns = ["clicks_total", "active_days", *ASSESS]
+    first = _up_to(panel, max(weeks)).groupBy(*KEY).agg(F.min("week_index").alias("first_week"))
+    rows = _weekly_means(panel, max(weeks), columns).join(first.hint("merge"), KEY)
+    rows = rows.withColumn("snapshot_week", F.explode(F.filter(F.array(*map(F.lit, weeks)), lambda w: F.col("first_week") <= w)))
+    each = [F.slice(F.array(*[F.col(f"{c}_week{k}") for k in range(1, max(weeks) + 1)]), F.lit(1), F.col("snapshot_week")) for c in columns]
+    return rows.select(*KEY, "snapshot_week", F.concat(*each).alias("values"))
+
+
+def logistic_features(members: DataFrame, panel: DataFrame, static: DataFrame, weeks: list[int]) -> dict[str, DataFrame]:
+    """members (a row per enrolment and landmark, as week) with x by logistic model: the features of the representation, aligned
+    as by align_to_roster with the static features as supplement, and at the end no_activity.
+
+    One plan serves all landmarks. Of a profile alone the supplement has all columns, so that the silent have theirs too.
+    No table is broadcast: files show few of the bytes that an enrolment's features take in memory.
+    """
+    by = [*KEY, "week"]
+    about = [c for c in static.columns if c.split("_")[0] == "stat"]
+    flat = flat_at_landmarks(panel, weeks).withColumnRenamed("snapshot_week", "week")
+    sums = [c for c in flat.columns if c not in by]
+    flat = flat.select(*by, F.array(*[number(F.col(c)) for c in sums]).alias("values"))
+    temporal = temporal_at_landmarks(panel, weeks).withColumnRenamed("snapshot_week", "week")
+    active = _up_to(panel, max(weeks)).groupBy(*KEY).agg(F.min("week_index").alias("first_week"))
+    rows = members.join(active.hint("merge"), KEY, "left").withColumn("_silent", F.when(F.col("first_week") <= F.col("week"), 0.0).otherwise(1.0)).drop("first_week")
+    profile = static.select(*KEY, F.array(*[number(F.col(c)) for c in about]).alias("values"))
+    none = {"base_lr_clickstream": F.lit(len(sums)), "base_lr_weekly": F.col("week") * (2 + len(ASSESS)), "base_lr_profile": F.lit(len(about))}
+    blocks = {"base_lr_profile": (profile, KEY), "base_lr_clickstream": (flat, by), "base_lr_weekly": (temporal, by)}
+    return {
+        name: rows.join(block.hint("merge"), on, "left").withColumn("x", F.concat(F.coalesce("values", F.array_repeat(F.lit(0.0), none[name])), F.array("_silent"))).drop("values", "_silent")
+        for name, (block, on) in blocks.items()
+    }
+
+
 def with_assessment_weeks(base: DataFrame, panel: DataFrame, week: int) -> DataFrame:
     return with_block(base, _weekly_means(panel, week, ASSESS))
 

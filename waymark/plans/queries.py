@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.columns import KEY, day_to_week, group_id
-from waymark.operators import behaviour, bootstrap, checks, cohort, decide, evidence, hazard, metrics, models, order, represent, state, static, traversal
+from waymark.operators import behaviour, bootstrap, checks, cohort, decide, evidence, hazard, logistic, metrics, models, order, represent, state, static, traversal
 from waymark.sources.fixtures import WEEKS, Binding, Until
 from waymark.sources.scratch import stored
 
@@ -463,13 +463,14 @@ def _(b: Binding) -> DataFrame:
 
 @query("L2_benchmark_logistic")
 def _(b: Binding) -> DataFrame:
-    """One fold structure, the temporal representation and logistic regression at one landmark."""
-    week, config = 16, models.Config(folds=2, repeats=1)
-    b = Until(b, 7 * week)
-    features = represent.align_to_roster(roster(b), represent.temporal_features(dealt_panel(b), week), [])
-    names = [c for c in features.columns if c not in KEY]
-    base = members(b, [week]).drop("no_activity").join(features, KEY)
-    return models.benchmark(b.spark, base, models.fold_table(roster(b), config), "base_lr_weekly", names, week, config)
+    """The logistic regressions at all landmarks, with all folds, repeats and training populations."""
+    config = models.Config()
+    b = Until(b, 7 * WEEKS[-1])
+    everyone, about, n = held_members(b), stored(static.static_features(b.info(), b.registration()), "static"), b.parts("customer", LEARNERS)
+    weekly = stored(panel(b), "weekly")
+    built = represent.logistic_features(everyone, weekly.repartition(n, *KEY) if n else weekly, about, WEEKS)
+    layout = logistic.Layout(models.SPECS, config.repeats, config.folds)
+    return logistic.benchmark_all({name: built[name] for name in models.LOGISTIC}, models.fold_table(roster(b), config), WEEKS, layout)
 
 
 @query("H1_hazard_frame")
